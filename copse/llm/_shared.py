@@ -5,7 +5,6 @@ Nothing outside ``copse.llm`` imports this module.
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +47,15 @@ def drop_tables(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows that go to a Python worker at once; whole texts of any length go with them.
+ARROW_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table. Batches for Python workers are kept small from here on, as texts are."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,5 +64,20 @@ def text_of(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def partitions_for(rows: int, each: int, least: int = 1) -> int:
-    return max(least, math.ceil(rows / each))
+class Memo(dict):
+    """Results by text, in two generations: when one is full the last but one is forgotten."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def missing(self, keys: set) -> list:
+        """Keys that neither generation has; those of the older one move to the newer."""
+        new = [k for k in keys if k not in self]
+        if len(self) + len(new) > self.most:
+            self.old = dict(self)
+            self.clear()
+            new = list(keys)
+        old = self.old
+        self.update((k, old[k]) for k in new if k in old)
+        return [k for k in new if k not in old]

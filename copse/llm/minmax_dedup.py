@@ -8,9 +8,9 @@ the signature propose pairs; every link is confirmed on the full shingle sets.
 How a crowded band is searched without all its pairs: documents with equal sets are
 one class first. Then every class is compared with the hub of each of its bands, the
 member whose bands are the most crowded (the original of a family of near copies).
-Only bands that still hold several components compare members across components. So
-every candidate pair is either confirmed or refused on its full sets, or its ends are
-already connected.
+Only bands that still hold several components compare members across components, in
+blocks that return a forest. So every candidate pair is either confirmed or refused on its
+full sets, or its ends are already connected.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from copse.llm.components import connected_components
 
 PERMUTATIONS = 63
 _MEMO = 400_000
+BLOCK_SHINGLES = 500_000
 
 
 class WordHashes(dict):
@@ -129,17 +131,70 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose full shingle sets reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    first = wanted.join(classes.select("class", "first_id"), "class")
+def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``class, shingles`` of the wanted classes, from the text of each one's first document."""
+    first = wanted.distinct().join(classes.select("class", "first_id"), "class")
     texts = docs.select(F.col("doc_id").alias("first_id"), "text").join(first, "first_id")
     sets = texts.select("class", "text").mapInArrow(lambda it: _sets(it, size), "found binary, class binary, shingles binary")
-    sets = written(sets.filter("found = class").select("class", "shingles").dropDuplicates(["class"]), "sets")
+    return written(sets.filter("found = class").select("class", "shingles").dropDuplicates(["class"]), "sets")
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose full shingle sets reach the threshold."""
+    sets = full_sets(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))), classes, docs, size)
     joined = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
     return joined.select("a", "b", "sa", "sb").mapInArrow(lambda it: _confirmed(it, percent), "a binary, b binary")
 
 
+def _block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between components within two blocks of a band, as a forest: no link whose ends are connected already."""
+    i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(shingle, kind="stable")
+    holders, ends = owner[order], np.cumsum(np.bincount(shingle))
+    block, classes = rows["block"].to_numpy(), rows["class"].tolist()
+    up = {r: r for r in rows["root"]}
+
+    def top(r):
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        return r
+
+    roots, out, at = rows["root"].tolist(), [], np.cumsum(sizes) - sizes
+    for v in range(len(sets)):
+        if i != j and block[v] != i:
+            continue
+        mine = shingle[at[v] : at[v] + sizes[v]]
+        both = np.bincount(np.concatenate([holders[ends[s - 1] if s else 0 : ends[s]] for s in mine]), minlength=len(sets))
+        near = 100 * both >= percent * (sizes + sizes[v] - both)
+        near[v] = False
+        if i != j:
+            near &= block != i
+        for u in np.flatnonzero(near):
+            x, y = top(roots[v]), top(roots[u])
+            if x != y:
+                up[x] = y
+                out.append((classes[v], classes[u]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def blockwise(left: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components in bands ``(band, class, n, root, mass)``.
+
+    A band's members are dealt into blocks of bounded mass (shingles) and each pair of blocks is
+    searched by one task, which returns a forest. Every pair of members of other components is
+    compared on its full sets; what grows is a row for each member and block, not for each pair.
+    """
+    blocks = F.ceil(F.col("mass") / BLOCK_SHINGLES).cast("int")
+    rows = left.withColumn("block", F.pmod(F.hash("class"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("band", "class", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = rows.join(full_sets(left.select("class"), classes, docs, size), "class")
+    return rows.groupBy("band", "i", "j").applyInPandas(lambda r: _block_links(r, percent), "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -173,15 +228,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links = written(confirm(stars, classes, docs, shingle, percent), "confirmed")
     found = written(connected_components(links), "components")
 
-    # What the hubs have not connected: members of other components in the same band.
+    # What the hubs have not connected: members of other components in the same band, block against block.
     placed = members.join(found.withColumnRenamed("node", "class"), "class", "left").select("band", "class", "n", F.coalesce("root", "class").alias("root"))
-    split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("crowd")).filter("lo <> hi and crowd > 2").select("band")
-    left = written(placed.join(split, "band"), "left")
-    other = left.select("band", F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    rest = left.join(other, "band").filter(f"class < b and root <> other and {close}").select(F.col("class").alias("a"), "b").distinct()
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.union(confirm(rest, classes, docs, shingle, percent))
+    split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("crowd"), F.sum("n").alias("mass"))
+    left = written(placed.join(split.filter("lo <> hi and crowd > 2").select("band", "mass"), "band"), "left")
+    if not left.isEmpty():
+        links = links.union(blockwise(left, classes, docs, shingle, percent))
         found = written(connected_components(links), "components")
 
     ids = classes.join(found.withColumnRenamed("node", "class"), "class", "left").select("class", "first_id", F.coalesce("root", "class").alias("root"))

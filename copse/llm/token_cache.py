@@ -8,6 +8,7 @@ distinct misses are encoded, and their counts are appended to the cache.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,9 +17,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.llm._shared import scratch, shared_dir, table, text_of, written
+from copse.llm._shared import Memo, scratch, shared_dir, table, text_of, written
 
-_MEMO = 400_000
+_MEMO = 300_000
+_UNITS = re.compile(r"[A-Za-z]++(?=[\x20\x09-\x0D.,;:!?]|\Z)|[^\x20\x09-\x0D]++").findall
 
 
 def tokenizer_version(content: bytes, kind: str) -> str:
@@ -34,7 +36,7 @@ class Counter:
     """Number of tokens of a text, as the library gives it, without truncation, padding or added begin and end."""
 
     def __init__(self, content: bytes, kind: str):
-        self.memo: dict[bytes, int] = {}
+        self.memo = Memo(_MEMO)
         if kind == "model":
             import sentencepiece
 
@@ -51,17 +53,14 @@ class Counter:
             self.by_word = drops_space(content)
 
     def counts(self, texts: list[str]) -> list[int]:
-        """A tokenizer that drops white space cannot make a token of two words: its words are counted once each."""
+        """A tokenizer that drops white space cannot make a token of two words, nor of a word and a mark after it: they are counted once each."""
         if not self.by_word:
             return self.whole(texts)
         memo, out = self.memo, []
         for text in texts:
-            words = text.encode("utf-8", "replace").split()
-            if new := [w for w in set(words) if w not in memo]:
-                if len(memo) + len(new) > _MEMO:
-                    memo.clear()
-                    new = list(set(words))
-                memo.update(zip(new, self.whole([w.decode() for w in new])))
+            words = _UNITS(text)
+            if new := memo.missing(set(words)):
+                memo.update(zip(new, self.whole(new)))
             out.append(sum(map(memo.__getitem__, words)))
         return out
 

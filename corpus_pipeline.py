@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from copse.llm._shared import table, written
 from copse.llm.bpe_codec import bpe_stage
+from copse.llm.curriculum import mix_stage
+from copse.llm.fuzzy_lines import lines_stage
 from copse.llm.minmax_dedup import minhash_stage
+from copse.llm.risk_rules import quality_stage
 
 STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", lines_stage),
     ("minhash_near_dedup", minhash_stage),
+    ("source_mixing", mix_stage),
     ("byte_bpe", bpe_stage),
 ]
 
+#: Near-duplicate groups and token ids are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
