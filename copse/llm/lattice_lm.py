@@ -81,11 +81,11 @@ class Vocabulary:
 
 
 class Lattice:
-    """All segmentations of a word under given log probabilities."""
+    """All segmentations of a word, under the log probabilities of each class."""
 
     def __init__(self, vocabulary: Vocabulary, log_p: np.ndarray):
         self.v = vocabulary
-        self.log_p = log_p.tolist()
+        self.log_p = [p.tolist() for p in log_p]
         self.trie: dict = {}  # by character; the piece's id at ""
         for piece, i in vocabulary.id_of.items():
             at = self.trie
@@ -93,11 +93,11 @@ class Lattice:
                 at = at.setdefault(c, {})
             at[""] = i
 
-    def arcs(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """By end position: (start, log probability, ids) of each arc. Characters without a piece, and word marks inside a word, are spelt in bytes."""
+    def arcs(self, word: str) -> list[list[tuple[int, tuple[int, ...]]]]:
+        """By end position: (start, ids) of each arc. Characters without a piece, and word marks inside a word, are spelt in bytes."""
         s = MARK + word.replace(MARK, "\0")
-        n, p, trie = len(s), self.log_p, self.trie
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
+        n, trie = len(s), self.trie
+        into: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         for i in range(n):
             at = trie
             for j in range(i, n):
@@ -106,43 +106,47 @@ class Lattice:
                     break
                 k = at.get("")
                 if k is not None:
-                    into[j + 1].append((i, p[k], (k,)))
+                    into[j + 1].append((i, (k,)))
             first = trie.get(s[i])
             if first is None or "" not in first:
-                spelt = tuple(self.v.byte[b] for b in (word[i - 1] if i else MARK).encode("utf-8", "replace"))
-                into[i + 1].append((i, sum(p[k] for k in spelt), spelt))
+                into[i + 1].append((i, tuple(self.v.byte[b] for b in (word[i - 1] if i else MARK).encode("utf-8", "replace"))))
         return into
 
-    def forward(self, into) -> list[float]:
-        """Log of the summed probability of all paths to each position."""
-        exp, log = math.exp, math.log
+    def forward(self, into, of: int) -> list[float]:
+        """Log of the summed probability of all paths to each position, in a class."""
+        exp, log, p = math.exp, math.log, self.log_p[of]
         alpha = [0.0]
         for arcs in into[1:]:
-            terms = [alpha[i] + w for i, w, _ in arcs]
-            m = max(terms, default=-math.inf)
-            if len(terms) < 2 or m == -math.inf:
-                alpha.append(m)
-            else:
+            terms = [alpha[i] + (p[ids[0]] if len(ids) == 1 else sum([p[k] for k in ids])) for i, ids in arcs]
+            if len(terms) == 1:
+                alpha.append(terms[0])
+            elif terms:
+                m = max(terms)
                 alpha.append(m + log(sum([exp(t - m) for t in terms])))
+            else:
+                alpha.append(-math.inf)
         return alpha
 
-    def log_probability(self, word: str) -> float:
-        return self.forward(self.arcs(word))[-1]
+    def log_probability(self, word: str) -> list[float]:
+        """By class."""
+        into = self.arcs(word)
+        return [self.forward(into, of)[-1] for of in range(len(self.log_p))]
 
-    def expect(self, word: str, count: float, into_counts: list[float]) -> None:
-        """Add the expected number of uses of each piece, over all segmentations, ``count`` times."""
+    def expect(self, word: str, of: list[int], counts: list[list[float]]) -> None:
+        """Add the expected number of uses of each piece, over all segmentations, in each of the classes ``of``."""
         into = self.arcs(word)
-        alpha = self.forward(into)
         n, exp = len(into) - 1, math.exp
-        share = [0.0] * n + [count]  # of the paths through each position
-        for j in range(n, 0, -1):
-            at, base = share[j], alpha[j]
-            if at:
-                for i, w, ids in into[j]:
-                    x = at * exp(alpha[i] + w - base)
-                    share[i] += x
-                    for k in ids:
-                        into_counts[k] += x
+        for z in of:
+            alpha, p, into_counts = self.forward(into, z), self.log_p[z], counts[z]
+            share = [0.0] * n + [1.0]  # of the paths through each position
+            for j in range(n, 0, -1):
+                at, base = share[j], alpha[j]
+                if at:
+                    for i, ids in into[j]:
+                        x = at * exp(alpha[i] + (p[ids[0]] if len(ids) == 1 else sum([p[k] for k in ids])) - base)
+                        share[i] += x
+                        for k in ids:
+                            into_counts[k] += x
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.RecordBatch]:
@@ -195,19 +199,20 @@ def _chunks(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.Reco
 
 def _expected(batches: Iterator[pa.RecordBatch], model: bytes, log_p: np.ndarray) -> Iterator[pa.RecordBatch]:
     lattice = Lattice(Vocabulary(model), log_p)
-    counts = [0.0] * lattice.v.size
+    counts = [[0.0] * lattice.v.size for _ in log_p]
     for batch in batches:
-        for word in batch.column("word").to_pylist():
-            lattice.expect(word.decode("utf-8", "replace"), 1.0, counts)
-    used = [i for i, x in enumerate(counts) if x]
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([counts[i] for i in used], pa.float64())], ["piece", "expected"])
+        for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
+            lattice.expect(word.decode("utf-8", "replace"), [z for z, n in enumerate(c) if n], counts)
+    found = np.array(counts)
+    of, used = np.nonzero(found)
+    yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(used, pa.int32()), pa.array(found[of, used], pa.float64())], ["class", "piece", "expected"])
 
 
 def _scored_words(batches: Iterator[pa.RecordBatch], model: bytes, log_p: np.ndarray) -> Iterator[pa.RecordBatch]:
     lattice = Lattice(Vocabulary(model), log_p)
     for batch in batches:
         s = [lattice.log_probability(w.decode("utf-8", "replace")) for w in batch.column("word").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(s, pa.float64())], ["word", "c", "s"])
+        yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(s, pa.list_(pa.float64()))], ["word", "c", "s"])
 
 
 class WordModel:
@@ -227,15 +232,15 @@ class WordModel:
         """Log probability of words (rows) in each class: the whole-word arc with the counts, and the pieces."""
         least = max(self.v, 1)
         with np.errstate(divide="ignore"):
-            pooled = np.logaddexp(np.log(by_class.sum(axis=1)), math.log(least) + log_pieces) - math.log(self.n + least)
+            pooled = np.logaddexp(np.log(by_class.sum(axis=1, keepdims=True)), math.log(least) + log_pieces) - math.log(self.n + least)
             back = np.maximum(self.types, 1)
-            return np.logaddexp(np.log(by_class), np.log(back) + pooled[:, None]) - np.log(self.tokens + back)
+            return np.logaddexp(np.log(by_class), np.log(back) + pooled) - np.log(self.tokens + back)
 
     def log_end(self) -> np.ndarray:
         """The end has no pieces; without training documents it is as likely as not."""
         if not self.known_end:
             return np.full(len(self.ends), math.log(0.5))
-        return self.log_words(self.ends[None, :], np.array([-np.inf]))[0]
+        return self.log_words(self.ends[None, :], np.full((1, len(self.ends)), -np.inf))[0]
 
 
 def _scored_docs(docs: pd.DataFrame, words: pd.DataFrame, model: WordModel) -> pd.DataFrame:
@@ -245,7 +250,7 @@ def _scored_docs(docs: pd.DataFrame, words: pd.DataFrame, model: WordModel) -> p
     if size:
         at, c = words["number"].to_numpy(), np.stack(words["c"].to_numpy()).astype(float)
         total = c.sum(axis=1)
-        base[at], known[at], logs[at] = model.base(total), total > 0, model.log_words(c, words["s"].to_numpy())
+        base[at], known[at], logs[at] = model.base(total), total > 0, model.log_words(c, np.stack(words["s"].to_numpy()))
     end_base, end = float(model.base(model.ends.sum())), model.log_end()
     rows = []
     for raw in docs["numbers"]:
@@ -299,15 +304,15 @@ def lattice_scores(docs: DataFrame, model_path: str, held_out, class_col: str |
     any_end = int(sum(ends) > 0)
     word_model = WordModel([found[2 * i] + ends[i] for i in range(k)], [found[2 * i + 1] + (ends[i] > 0) for i in range(k)], ends, found[-1] + any_end)
 
-    log_p = vocabulary.first_weights()
+    log_p = np.stack([vocabulary.first_weights()] * k)
     for _ in range(rounds if found[-1] else 0):
-        learnt = words.filter(seen).select("word").mapInArrow(lambda it, w=log_p: _expected(it, model, w), "piece int, expected double")
-        expected = np.zeros(vocabulary.size)
-        for row in learnt.groupBy("piece").agg(F.sum("expected").alias("x")).collect():  # a row a piece at most
-            expected[row["piece"]] = row["x"]
-        expected[vocabulary.end] = found[-1]
-        log_p = vocabulary.weights(expected)
-    scored = words.mapInArrow(lambda it: _scored_words(it, model, log_p), "word binary, c array<long>, s double")
+        learnt = words.filter(seen).mapInArrow(lambda it, w=log_p: _expected(it, model, w), "class int, piece int, expected double")
+        expected = np.zeros((k, vocabulary.size))
+        for row in learnt.groupBy("class", "piece").agg(F.sum("expected").alias("x")).collect():  # a row a class and piece at most
+            expected[row["class"], row["piece"]] = row["x"]
+        expected[:, vocabulary.end] = [found[2 * i + 1] for i in range(k)]
+        log_p = np.stack([vocabulary.weights(x + 0.001 * expected.sum(axis=0)) for x in expected])
+    scored = words.mapInArrow(lambda it: _scored_words(it, model, log_p), "word binary, c array<long>, s array<double>")
     filled = entries.select("chunk", "number", "word").join(scored, "word").select(F.col("chunk").alias("of"), "number", "c", "s")
     out = texts.groupBy("chunk").cogroup(filled.groupBy("of")).applyInPandas(
         lambda d, w: _scored_docs(d, w, word_model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
