@@ -1 +1 @@
-
+"""Operators on tables of rows, nodes, bags and leaves."""

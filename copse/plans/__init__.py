@@ -1 +1 @@
-
+"""Storage, estimators and the registered queries."""

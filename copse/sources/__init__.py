@@ -1 +1 @@
-
+"""Readers and sample data."""
