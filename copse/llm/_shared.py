@@ -65,19 +65,26 @@ def text_of(col: str = "text"):
 
 
 class Memo(dict):
-    """Results by text, in two generations: when one is full the last but one is forgotten."""
+    """Results by key, made at first use, in two generations: when one is full the one before it is forgotten."""
 
-    def __init__(self, most: int):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.most, self.old = most, {}
+        self.make, self.most, self.old = make, most, {}
 
-    def missing(self, keys: set) -> list:
-        """Keys that neither generation has; those of the older one move to the newer."""
-        new = [k for k in keys if k not in self]
-        if len(self) + len(new) > self.most:
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-            new = list(keys)
-        old = self.old
-        self.update((k, old[k]) for k in new if k in old)
-        return [k for k in new if k not in old]
+        if len(key) <= 64:
+            self[key] = value
+        return value
+
+
+def byte_characters() -> list[str]:
+    """The character that byte-level BPE files write for each byte: visible Latin-1 for itself, then code points from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(rest)) for b in range(256)]

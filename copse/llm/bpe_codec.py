@@ -20,18 +20,11 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.llm._shared import table
+from copse.llm._shared import byte_characters, table
 
 _MEMO = 400_000
 
 
-def byte_characters() -> list[str]:
-    """One printable character for each byte: visible Latin-1 for itself, then code points from 256 on."""
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in visible else chr(next(rest)) for b in range(256)]
-
-
 def read_ranks(content: bytes) -> dict[bytes, int]:
     """Token bytes and rank of each line of a rank file."""
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in content.splitlines() if line)}

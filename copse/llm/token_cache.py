@@ -17,10 +17,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.llm._shared import Memo, scratch, shared_dir, table, text_of, written
+from copse.llm._shared import Memo, byte_characters, scratch, shared_dir, table, text_of, written
 
-_MEMO = 300_000
-_UNITS = re.compile(r"[A-Za-z]++(?=[\x20\x09-\x0D.,;:!?]|\Z)|[^\x20\x09-\x0D]++").findall
+_MEMO = 200_000
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_UNITS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\x20\x09-\x0D.,;:!?]|\Z)|[^\x20\x09-\x0D]++").findall
 
 
 def tokenizer_version(content: bytes, kind: str) -> str:
@@ -33,36 +34,42 @@ def tokenizer_version(content: bytes, kind: str) -> str:
 
 
 class Counter:
-    """Number of tokens of a text, as the library gives it, without truncation, padding or added begin and end."""
+    """Number of tokens of a text, as the library gives it, without truncation, padding or added begin and end.
+
+    A tokenizer that drops white space cannot make a token of two words, nor of a word and a
+    mark after it: these are counted once each. For a word of Latin letters, which is one
+    pre-token, the library's model is asked directly.
+    """
 
     def __init__(self, content: bytes, kind: str):
-        self.memo = Memo(_MEMO)
         if kind == "model":
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_proto=content)
             self.whole = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
             self.by_word = False
-        else:
-            from tokenizers import Tokenizer
-
-            t = Tokenizer.from_str(content.decode())
-            t.no_truncation()
-            t.no_padding()
-            self.whole = lambda texts: [len(x.ids) for x in t.encode_batch_fast(texts, add_special_tokens=False)]
-            self.by_word = drops_space(content)
+            return
+        from tokenizers import Tokenizer
+
+        self.t = Tokenizer.from_str(content.decode())
+        self.t.no_truncation()
+        self.t.no_padding()
+        self.whole = lambda texts: [len(x.ids) for x in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        self.by_word = drops_space(content)
+        self.model = self.t.model
+        self.mapped = dict(enumerate(byte_characters()))
+        self.memo = Memo(self.word, _MEMO)
+
+    def word(self, word: str) -> int:
+        if _LATIN(word):
+            word = word.lower()
+            return len(self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.mapped)))
+        return self.whole([word])[0]
 
     def counts(self, texts: list[str]) -> list[int]:
-        """A tokenizer that drops white space cannot make a token of two words, nor of a word and a mark after it: they are counted once each."""
         if not self.by_word:
             return self.whole(texts)
-        memo, out = self.memo, []
-        for text in texts:
-            words = _UNITS(text)
-            if new := memo.missing(set(words)):
-                memo.update(zip(new, self.whole(new)))
-            out.append(sum(map(memo.__getitem__, words)))
-        return out
+        return [sum(map(self.memo.__getitem__, _UNITS(text))) for text in texts]
 
 
 def drops_space(content: bytes) -> bool:
