@@ -527,11 +527,11 @@ sq AS (SELECT row_id, sum(p * p) AS s FROM c GROUP BY 1),
 scored AS (SELECT row_id, round(CASE WHEN coalesce(s, 0) <= 1e-10 THEN (SELECT n FROM n) * 1e10 ELSE 20 / s END, 6) AS raw FROM base LEFT JOIN sq USING (row_id))"""
 
 
-@query(f"WITH {ANCHOR_SQL}, {_norm_sql('')} SELECT row_id, raw, round((raw - centre) / spread, 6) AS score, round(centre, 6) AS centre, round(spread, 6) AS spread FROM normed")
+@query(f"WITH {ANCHOR_SQL}, {_norm_sql('')} SELECT row_id, raw, round((raw - centre) / spread, 3) AS score, round(centre, 6) AS centre, round(spread, 6) AS spread FROM normed")
 def outlier_greedy(spark, sf_dir):
     s = Stub(spark, sf_dir)
     raw = outlier.anchor_scores(s.leaves, outlier.random_anchors(s.rows, 20), TREES).withColumn("raw", F.round("raw", 6))
-    return r6(outlier.normalised(raw))
+    return r6(outlier.normalised(raw).withColumn("score", F.round("score", 3)))  # rows next to no anchor score some 10**12
 
 
 @query(f"""WITH {NEW_SQL}, sq AS (SELECT i, sum(p * p) AS s, count(*) AS k FROM near GROUP BY 1)
@@ -841,8 +841,8 @@ def user_ranking(spark, sf_dir):
 
 
 @query("""WITH v AS (SELECT vec_id, unnest(range(8)) AS k, embedding FROM embeddings), x AS (SELECT vec_id, k, embedding[k + 1]::DOUBLE AS v FROM v),
-c AS (SELECT *, trunc(greatest(least(v / 0.02 + 3, 127), -128))::INT AS i8, (least(floor(abs(v) * 7 + 0.5), 7) + CASE WHEN v < 0 THEN 8 ELSE 0 END)::INT AS n4 FROM x)
-SELECT vec_id, k::INT AS k, i8, n4, round((i8 - 3) * 0.02, 6) AS i8_back, round(CASE WHEN n4 >= 8 THEN (8 - n4) / 7.0::DOUBLE ELSE n4 / 7.0::DOUBLE END, 6) AS n4_back FROM c""")
+c AS (SELECT *, trunc(greatest(least(v / 0.02::DOUBLE + 3, 127), -128))::INT AS i8, (least(floor(abs(v) * 7 + 0.5), 7) + CASE WHEN v < 0 THEN 8 ELSE 0 END)::INT AS n4 FROM x)
+SELECT vec_id, k::INT AS k, i8, n4, round((i8 - 3) * 0.02::DOUBLE, 6) AS i8_back, round(CASE WHEN n4 >= 8 THEN (8 - n4) / 7.0::DOUBLE ELSE n4 / 7.0::DOUBLE END, 6) AS n4_back FROM c""")
 def quant_codec(spark, sf_dir):
     """Codes of the first eight entries of each vector and what they decode to."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("k", "v")).withColumn("v", F.col("v").cast("double"))
