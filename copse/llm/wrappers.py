@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from copse.llm._shared import table, written
 
-SALTS, LEAST_PAGES, GROUP = 16, 8, 4
+SALTS, LEAST_PAGES, GROUP, DEEP, BROADCAST_BYTES = 16, 8, 4, 100, 32 << 20
 
 # Fixed values of HTML: elements without content, with raw content, within a line, and those that end an open element.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -96,6 +96,7 @@ def parse(page: str) -> Node:
     """The tree of block elements of any markup, however broken."""
     root = Node("#", "#", "")
     stack, text, links, in_link, at = [root], [], 0, 0, 0
+    flat: dict[str, int] = {}  # open elements that lie too deep for a node; they only end blocks
 
     def flush():
         nonlocal links
@@ -135,6 +136,9 @@ def parse(page: str) -> Node:
                 pass
             elif tag == "br":
                 text.append(" ")
+            elif flat.get(tag):
+                flat[tag] -= 1
+                flush()
             else:
                 close({tag})
             continue
@@ -160,6 +164,9 @@ def parse(page: str) -> Node:
             if tag in SIBLING:
                 close(SIBLING[tag], SCOPE[tag])
             sig, kind = signature(tag, attrs)
+            if len(stack) > DEEP and (kind != "out" or any(x.kind == "out" for x in stack)):
+                flat[tag] = flat.get(tag, 0) + 1
+                continue
             node = Node(tag, sig, kind)
             stack[-1].children.append(node)
             if not attrs.endswith("/") or tag not in INLINE:
@@ -428,9 +435,15 @@ def main_text(pages: DataFrame) -> DataFrame:
         F.min("page").alias("first"), F.max("page").alias("last"), F.sum(F.length("text")).alias("chars"), F.sum("links").alias("links"))
     fixed = (F.col("n") >= LEAST_PAGES) & (F.col("low") == F.col("high")) & (F.col("first") != F.col("last"))
     slots = slots.select("host", F.struct("slot", "chars", "links", fixed.alias("fixed")).alias("s")).groupBy("host").agg(F.collect_list("s").alias("slots"))  # one entry a slot of the wrapper
-    known = wrappers.select("host", "wrapper").join(slots, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = parsed.select("page_id", "url", "host", "blocks").withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS)))
-    rows = rows.join(known, ["host", "salt"]).select("page_id", "url", "host", "wrapper", "blocks", "slots")
+    known = written(wrappers.select("host", "wrapper").join(slots, "host", "left"), "hosts")
+    size = known.agg(F.sum(F.length("wrapper") + F.length(F.to_json("slots")) + 100)).first()[0] or 0
+    rows = parsed.select("page_id", "url", "host", "blocks")
+    if size <= BROADCAST_BYTES:  # measured; beyond it each host's row is repeated over salts and met by a shuffle
+        rows = rows.join(F.broadcast(known), "host")
+    else:
+        known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS))).join(known, ["host", "salt"])
+    rows = rows.select("page_id", "url", "host", "wrapper", "blocks", "slots")
     return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
 
 
