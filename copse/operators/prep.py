@@ -94,9 +94,9 @@ def feature_indices(names: Sequence[str | int], columns: Sequence[str]) -> list[
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
-    """``label, code``: codes from 0 in label order; nulls have none. One row a distinct label."""
+    """``label, code``: codes from 0 in label order; nulls have none."""
     labels = df.select(F.col(column).alias("label")).filter("label is not null").distinct()
-    return labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("long").alias("code"))
+    return with_row_id(labels, ["label"], "code").select("label", F.col("code").cast("long").alias("code"))
 
 
 def encode(df: DataFrame, column: str, labels: DataFrame, name: str = "code") -> DataFrame:
