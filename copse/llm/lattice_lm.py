@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from copse.llm._shared import table, text_of, written
 
 MARK = "▁"
-CHUNK_BYTES, CHUNK_WORDS = 16 << 20, 250_000
+CHUNK_BYTES, CHUNK_WORDS = 32 << 20, 600_000
 
 
 class Vocabulary:
@@ -149,26 +150,119 @@ class Lattice:
                             into_counts[k] += x
 
 
+class Batch:
+    """The lattices of many words at once: arcs as arrays, positions one after another, all classes together.
+
+    What :class:`Lattice` does word by word, for words of up to LONG characters.
+    """
+
+    def __init__(self, lattice: Lattice, words: list[str]):
+        self.lattice, self.n = lattice, len(words)
+        keys: list[int] = []  # end and word of each arc
+        starts: list[int] = []
+        pieces: list[int] = []
+        spelt: dict[tuple[int, ...], int] = {}
+        trie, size, byte = lattice.trie, lattice.v.size, lattice.v.byte
+        for w, word in enumerate(words):
+            s = MARK + word.replace(MARK, "\0")
+            n = len(s)
+            for i in range(n):
+                at = trie
+                for j in range(i, n):
+                    at = at.get(s[j])
+                    if at is None:
+                        break
+                    k = at.get("")
+                    if k is not None:
+                        keys.append((j + 1 << 24) + w)
+                        starts.append(i)
+                        pieces.append(k)
+                first = trie.get(s[i])
+                if first is None or "" not in first:
+                    ids = tuple(byte[b] for b in (word[i - 1] if i else MARK).encode("utf-8", "replace"))
+                    keys.append((i + 1 << 24) + w)
+                    starts.append(i)
+                    pieces.append(spelt.setdefault(ids, size + len(spelt)))
+        key = np.array(keys)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        self.end, self.word = key >> 24, key & 0xFFFFFF
+        self.start, self.piece = np.array(starts)[order], np.array(pieces)[order]
+        self.spelt = list(spelt)
+        self.length = np.array([len(w) + 1 for w in words])
+        self.cuts = np.searchsorted(self.end, np.arange(self.length.max(initial=0) + 2))
+        p = np.array(lattice.log_p).T
+        extra = [p[list(ids)].sum(axis=0) for ids in spelt]
+        self.p = np.vstack([p, *extra]) if extra else p
+        self.alpha = np.zeros((self.n, int(self.length.max(initial=0)) + 1, p.shape[1]))
+        for j in range(1, len(self.cuts) - 1):
+            at = slice(self.cuts[j], self.cuts[j + 1])
+            w = self.word[at]
+            if len(w):
+                terms = self.alpha[w, self.start[at]] + self.p[self.piece[at]]
+                first = np.flatnonzero(np.diff(w, prepend=-1))
+                most = np.maximum.reduceat(terms, first, axis=0)
+                sums = np.add.reduceat(np.exp(terms - np.repeat(most, np.diff(first, append=len(w)), axis=0)), first, axis=0)
+                self.alpha[w[first], j] = most + np.log(sums)
+
+    def log_probability(self) -> np.ndarray:
+        """Words by classes."""
+        return self.alpha[np.arange(self.n), self.length]
+
+    def expect(self, in_class: np.ndarray, counts: np.ndarray) -> None:
+        """Add the expected uses of each piece (classes by pieces) for the words in their classes (words by classes, 0 or 1)."""
+        share = np.zeros_like(self.alpha)
+        share[np.arange(self.n), self.length] = in_class
+        used = np.zeros((len(self.word), self.alpha.shape[2]))
+        for j in range(len(self.cuts) - 2, 0, -1):
+            at = slice(self.cuts[j], self.cuts[j + 1])
+            w, start = self.word[at], self.start[at]
+            if len(w):
+                x = share[w, j] * np.exp(self.alpha[w, start] + self.p[self.piece[at]] - self.alpha[w, j])
+                share[w, start] += x  # a word has one arc from a start to an end
+                used[at] = x
+        for z in range(used.shape[1]):
+            sums = np.bincount(self.piece, used[:, z], len(self.p))
+            counts[z] += sums[: counts.shape[1]]
+            for ids, x in zip(self.spelt, sums[counts.shape[1] :]):
+                for k in ids:
+                    counts[z, k] += x
+
+
+LONG, BATCH_WORDS = 64, 4096
+
+
+def _batches(words: list[str]) -> Iterator[list[int]]:
+    """Numbers of words of like length, few enough at once; a longer word stands alone."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    for at in range(0, len(order), BATCH_WORDS):
+        part = order[at : at + BATCH_WORDS]
+        yield [i for i in part if len(words[i]) <= LONG]
+        yield from ([i] for i in part if len(words[i]) > LONG)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.RecordBatch]:
     """Rows of documents (their words as numbers in the chunk's dictionary) and of dictionaries."""
     names = ["chunk", "doc_id", "held_out", "numbers", "word", "number", "train"]
     lists = pa.list_(pa.int64())
 
     def fresh():
-        index: dict[bytes, int] = {}
+        index: defaultdict[bytes, int] = defaultdict()
+        index.default_factory = index.__len__  # a new word has the next number
         return index, [], 0
 
     def flush(index, docs):
-        chunk = uuid.uuid4().hex
+        chunk = uuid.uuid4().int >> 66
         train = np.zeros((len(index), classes), np.int64)
-        for _, held, of, ids in docs:
-            if not held and len(ids):
-                train[:, of] += np.bincount(ids, minlength=len(index))
+        for z in range(classes):
+            of_class = [ids for _, held, of, ids in docs if of == z and not held]
+            if of_class:
+                train[:, z] = np.bincount(np.concatenate(of_class), minlength=len(index))
         for at in range(0, len(docs), 512):
             part = docs[at : at + 512]
             m = len(part)
             yield pa.RecordBatch.from_arrays([
-                pa.array([chunk] * m), pa.array([d[0] for d in part], pa.int64()), pa.array([d[1] for d in part], pa.bool_()),
+                pa.array([chunk] * m, pa.int64()), pa.array([d[0] for d in part], pa.int64()), pa.array([d[1] for d in part], pa.bool_()),
                 pa.array([d[3].tobytes() for d in part], pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, lists),
             ], names)
         words = list(index)
@@ -176,7 +270,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.Reco
             part = words[at : at + 16384]
             m = len(part)
             yield pa.RecordBatch.from_arrays([
-                pa.array([chunk] * m), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()),
+                pa.array([chunk] * m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()),
                 pa.array(part, pa.binary()), pa.array(range(at, at + m), pa.int32()),
                 pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * classes, pa.int32()), pa.array(train[at : at + m].ravel())),
             ], names)
@@ -186,8 +280,6 @@ def _chunks(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.Reco
         for doc, held, of, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "class", "text"))):
             raw = text.encode("utf-8", "replace")
             words = raw.lower().split()
-            for w in set(words).difference(index):
-                index[w] = len(index)
             docs.append((doc, held, of, np.fromiter(map(index.__getitem__, words), np.uint32, len(words))))
             size += len(raw) + 64
             if size >= CHUNK_BYTES or len(index) >= CHUNK_WORDS:
@@ -199,20 +291,36 @@ def _chunks(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.Reco
 
 def _expected(batches: Iterator[pa.RecordBatch], model: bytes, log_p: np.ndarray) -> Iterator[pa.RecordBatch]:
     lattice = Lattice(Vocabulary(model), log_p)
-    counts = [[0.0] * lattice.v.size for _ in log_p]
+    found = np.zeros((len(log_p), lattice.v.size))
     for batch in batches:
-        for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-            lattice.expect(word.decode("utf-8", "replace"), [z for z, n in enumerate(c) if n], counts)
-    found = np.array(counts)
+        words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
+        seen = np.array(batch.column("c").to_pylist(), dtype=np.int64).reshape(len(words), -1) > 0
+        for part in _batches(words):
+            if part and len(words[part[0]]) <= LONG:
+                Batch(lattice, [words[i] for i in part]).expect(seen[part].astype(float), found)
+            elif part:
+                counts = [[0.0] * lattice.v.size for _ in log_p]
+                lattice.expect(words[part[0]], np.flatnonzero(seen[part[0]]).tolist(), counts)
+                found += np.array(counts)
     of, used = np.nonzero(found)
     yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(used, pa.int32()), pa.array(found[of, used], pa.float64())], ["class", "piece", "expected"])
 
 
-def _scored_words(batches: Iterator[pa.RecordBatch], model: bytes, log_p: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _scored_words(batches: Iterator[pa.RecordBatch], model: bytes, log_p: np.ndarray, word_model: WordModel) -> Iterator[pa.RecordBatch]:
+    """Each word's count and its log probability in each class."""
     lattice = Lattice(Vocabulary(model), log_p)
+    names = ["word", "c", *[f"l{z}" for z in range(len(log_p))]]
     for batch in batches:
-        s = [lattice.log_probability(w.decode("utf-8", "replace")) for w in batch.column("word").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(s, pa.list_(pa.float64()))], ["word", "c", "s"])
+        words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
+        c = np.array(batch.column("c").to_pylist(), dtype=float).reshape(len(words), len(log_p))
+        pieces = np.zeros((len(words), len(log_p)))
+        for part in _batches(words):
+            if part and len(words[part[0]]) <= LONG:
+                pieces[part] = Batch(lattice, [words[i] for i in part]).log_probability()
+            elif part:
+                pieces[part[0]] = lattice.log_probability(words[part[0]])
+        logs = word_model.log_words(c, pieces)
+        yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c.sum(axis=1).astype(np.int64)), *[pa.array(logs[:, z], pa.float64()) for z in range(len(log_p))]], names)
 
 
 class WordModel:
@@ -244,18 +352,19 @@ class WordModel:
 
 
 def _scored_docs(docs: pd.DataFrame, words: pd.DataFrame, model: WordModel) -> pd.DataFrame:
-    """One chunk: its documents and its dictionary with counts and the pieces' scores."""
-    size = 0 if words.empty else int(words["number"].max()) + 1
-    base, known, logs = np.zeros(size), np.zeros(size, bool), np.zeros((size, len(model.ends)))
+    """One chunk: its documents and its dictionary with counts and log probabilities."""
+    size, k = (0 if words.empty else int(words["number"].max()) + 1), len(model.ends)
+    base, known, logs = np.zeros(size), np.zeros(size, bool), np.zeros((k, size))
     if size:
-        at, c = words["number"].to_numpy(), np.stack(words["c"].to_numpy()).astype(float)
-        total = c.sum(axis=1)
-        base[at], known[at], logs[at] = model.base(total), total > 0, model.log_words(c, np.stack(words["s"].to_numpy()))
+        at, c = words["number"].to_numpy(), words["c"].to_numpy().astype(float)
+        base[at], known[at] = model.base(c), c > 0
+        for z in range(k):
+            logs[z, at] = words[f"l{z}"].to_numpy()
     end_base, end = float(model.base(model.ends.sum())), model.log_end()
     rows = []
     for raw in docs["numbers"]:
         ids = np.frombuffer(raw, np.uint32)
-        joint = model.log_class + logs[ids].sum(axis=0) + end
+        joint = model.log_class + np.array([x[ids].sum() for x in logs]) + end
         rows.append((len(ids) + 1, int(known[ids].sum()) + int(model.known_end), base[ids].sum() + end_base, np.logaddexp.reduce(joint) / math.log(10)))
     out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score"])
     out.insert(0, "held_out", docs["held_out"].to_numpy())
@@ -263,7 +372,7 @@ def _scored_docs(docs: pd.DataFrame, words: pd.DataFrame, model: WordModel) -> p
     return out
 
 
-def lattice_scores(docs: DataFrame, model_path: str, held_out, class_col: str | None = None, rounds: int = 2, most_classes: int = 32) -> DataFrame:
+def lattice_scores(docs: DataFrame, model_path: str, held_out, class_col: str | None = None, rounds: int = 1, most_classes: int = 32) -> DataFrame:
     """Each text's score: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     ``held_out`` is a condition on the documents; the others are learnt from. Tokens are
@@ -288,7 +397,7 @@ def lattice_scores(docs: DataFrame, model_path: str, held_out, class_col: str |
     number = F.greatest(F.array_position(F.array(*[F.lit(x) for x in names]), F.col("of")).cast("int"), F.lit(1)) - 1 if names else F.lit(0)
     if len(names) == most_classes:  # the rarest listed class takes all that are not listed
         number = F.when(F.col("of").isin(names), number).otherwise(k - 1)
-    schema = "chunk string, doc_id long, held_out boolean, numbers binary, word binary, number int, train array<long>"
+    schema = "chunk long, doc_id long, held_out boolean, numbers binary, word binary, number int, train array<long>"
     rows = docs.select("doc_id", "held_out", number.alias("class"), "text")
     parts = written(rows.mapInArrow(lambda it: _chunks(it, k), schema), "chunks")
     entries = parts.filter("word is not null").select("chunk", "number", "word", "train")
@@ -312,8 +421,9 @@ def lattice_scores(docs: DataFrame, model_path: str, held_out, class_col: str |
             expected[row["class"], row["piece"]] = row["x"]
         expected[:, vocabulary.end] = [found[2 * i + 1] for i in range(k)]
         log_p = np.stack([vocabulary.weights(x + 0.001 * expected.sum(axis=0)) for x in expected])
-    scored = words.mapInArrow(lambda it: _scored_words(it, model, log_p), "word binary, c array<long>, s array<double>")
-    filled = entries.select("chunk", "number", "word").join(scored, "word").select(F.col("chunk").alias("of"), "number", "c", "s")
+    logs = [f"l{z}" for z in range(k)]
+    scored = words.mapInArrow(lambda it: _scored_words(it, model, log_p, word_model), "word binary, c long, " + ", ".join(f"{x} double" for x in logs))
+    filled = entries.select("chunk", "number", "word").join(scored, "word").select(F.col("chunk").alias("of"), "number", "c", *[F.col(x).cast("float") for x in logs])
     out = texts.groupBy("chunk").cogroup(filled.groupBy("of")).applyInPandas(
         lambda d, w: _scored_docs(d, w, word_model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(word_model.n).cast("long").alias("train_tokens"), "base_score", "score")
