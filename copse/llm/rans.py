@@ -19,22 +19,24 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.llm._shared import Memo, drop_tables, scratch, table, text_of, written
+from copse.llm._shared import Memo, byte_characters, drop_tables, scratch, table, text_of, written
 
 MAGIC, VERSION = b"CRAN", 1
 PRECISION = 20  # bits of the frequency table
 MAX_LANES, STEPS = 4096, 64
-BLOCK_IDS = 1 << 20
+BLOCK_IDS, RANGE_ROWS, MOST_RANGES = 1 << 20, 10_000, 4096
 _HEAD = struct.Struct("<4sIIIII")
-_MEMO = 300_000
+_MEMO = 600_000
+#: White space other than space and line feed, by any of the libraries' definitions.
+OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _U = np.uint64
 
 
@@ -147,29 +149,38 @@ def decode_block(block: bytes, t: Table) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts, as the tokenizers library gives them."""
+    """Ids of whole texts, as the tokenizers library gives them.
+
+    Where no token can lead from letters into the space, digit or mark after them, a text is cut there
+    and the library is asked once for each unit. A unit of letters, with a space before it or
+    not, is one pre-token, for which the library's model is asked directly.
+    """
 
     def __init__(self, content: bytes):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_str(content.decode())
         self.dtype = np.uint16 if self.t.get_vocab_size(True) <= 1 << 16 else np.uint32
-        self.memo = Memo(_MEMO)
+        self.code = "H" if self.dtype is np.uint16 else "I"
+        self.model = self.t.model
         self.by_word = splits_at_space(content)
-        self.units = re.compile(r"[ \n]*+[A-Za-z]++(?=[ \n.,;:!?]|\Z)|[ \n]*+[^ \n]++|[ \n]++").findall
-        self.odd = re.compile(r"[^\S \n]").search
+        self.units = re.compile(r"[ \n]*+[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\x00-\x7F])|[ \n]*+[^ \n]++|[ \n]++").findall
+        self.mapped = dict(enumerate(byte_characters()))
+        self.memo = Memo(self.unit, _MEMO)
 
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+    def library(self, text: str) -> bytes:
+        return np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+
+    def unit(self, unit: str) -> bytes:
+        if (unit[1:] if unit[0] == " " else unit).isalpha():
+            mapped = "Ġ" + unit[1:] if unit.isascii() and unit[0] == " " else unit.encode().decode("latin-1").translate(self.mapped)
+            return array(self.code, [x.id for x in self.model.tokenize(mapped)]).tobytes()
+        return self.library(unit)
 
     def encode(self, text: str) -> bytes:
-        """Where no token of the library can lead from a word into the space or mark after it, words (with the space before) are encoded once."""
-        if not self.by_word or self.odd(text):
-            return self.library([text])[0]
-        memo, units = self.memo, self.units(text)
-        if new := memo.missing(set(units)):
-            memo.update(zip(new, self.library(new)))
-        return b"".join(map(memo.__getitem__, units))
+        if not self.by_word or any(c in text for c in OTHER_SPACE):
+            return self.library(text)
+        return b"".join(map(self.memo.__getitem__, self.units(text)))
 
 
 def splits_at_space(content: bytes) -> bool:
@@ -181,27 +192,37 @@ def splits_at_space(content: bytes) -> bool:
 
 
 def _ids(batches: Iterator[pa.RecordBatch], content: bytes, end: int) -> Iterator[pa.RecordBatch]:
+    """Ids of each document, and at a task's end how often it has seen each id (rows without ``ids``)."""
     e = Encoder(content)
     last = np.array([end], e.dtype).tobytes()
+    counts = np.zeros(e.t.get_vocab_size(True), np.int64)
+    names = ["range", "doc_id", "ids", "id", "n"]
     for batch in batches:
         ids = [e.encode(t) + last for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.large_binary() if sum(map(len, ids)) >> 31 else pa.binary())], ["doc_id", "ids"])
+        for at in range(0, len(ids), 256):
+            counts += np.bincount(np.frombuffer(b"".join(ids[at : at + 256]), e.dtype), minlength=len(counts))
+        m = len(ids)
+        yield pa.RecordBatch.from_arrays([batch.column("range"), batch.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names)
+    used = np.flatnonzero(counts)
+    m = len(used)
+    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(used, pa.int32()), pa.array(counts[used])], names)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], dtype: type, size: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(size, np.int64)
-    for batch in batches:
-        for raw in batch.column("ids"):
-            counts += np.bincount(np.frombuffer(raw.as_buffer(), dtype), minlength=size)
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], ["id", "n"])
+def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The documents with the number of their range of ids (null ids first), and the number of ranges."""
+    n = max(1, min(-(-docs.count() // RANGE_ROWS), MOST_RANGES))  # a range streams, so its size costs no memory
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+    cuts = sorted(set(cuts or []))
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
+    return docs.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(at).cast("int")), len(cuts) + 1
 
 
 BLOCK_SCHEMA = "part int, seq int, start_in_part long, doc_ids binary, no_id binary, lengths binary, block binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], dtype: type, freq: np.ndarray) -> Iterator[pa.RecordBatch]:
-    t, part, seq, start = Table(freq), TaskContext.get().partitionId(), 0, 0
+    """Blocks of documents that come in the order of range and id."""
+    t, part, seq, start = Table(freq), None, 0, 0
     docs: list[int | None] = []
     ids: list[np.ndarray] = []
 
@@ -215,20 +236,22 @@ def _blocks(batches: Iterator[pa.RecordBatch], dtype: type, freq: np.ndarray) ->
 
     held = 0
     for batch in batches:
-        for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+        for range_, doc, raw in zip(batch.column("range").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
+            if docs and (held >= BLOCK_IDS or range_ != part):
+                out, n = row()
+                yield out
+                seq, start, held, docs, ids = seq + 1, start + n, 0, [], []
+            if range_ != part:
+                part, seq, start = range_, 0, 0
             x = np.frombuffer(raw.as_py(), dtype)
             docs.append(doc)
             ids.append(x)
             held += len(x)
-            if held >= BLOCK_IDS:
-                out, n = row()
-                yield out
-                seq, start, held, docs, ids = seq + 1, start + n, 0, [], []
     if docs:
         yield row()[0]
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, partition_bytes: int = 32 << 20) -> None:
+def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0) -> None:
     """Encode the documents and write blocks and frequency table below ``path``.
 
     Documents are ordered by doc_id, null ids first; rows that repeat an id stand side by
@@ -241,17 +264,17 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0,
     dtype, size = e.dtype, e.t.get_vocab_size(True)
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    ids = written(docs.mapInArrow(lambda it: _ids(it, content, end_id), "doc_id long, ids binary"), "ids")
+    docs, n = _ranges(docs)
+    both = written(docs.mapInArrow(lambda it: _ids(it, content, end_id), "range int, doc_id long, ids binary, id int, n long"), "ids")
     counts = np.zeros(size, np.int64)
-    found = ids.select("ids").mapInArrow(lambda it: _counted(it, dtype, size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row an id at most
-    for row in found:
+    for row in both.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row an id at most
         counts[row["id"]] = row["n"]
+    ids = both.filter("ids is not null").select("range", "doc_id", "ids")
     freq = scaled(counts)
     spark.createDataFrame([(json.dumps({"version": VERSION, "end_id": end_id, "freq": freq.tolist()}),), ], "meta string").coalesce(1).write.json(f"{path}/meta")
-    n = max(1, -(-int(counts.sum()) * np.dtype(dtype).itemsize // partition_bytes))
-    ordered = ids.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    ordered = ids.repartition(n, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "ids")
     ordered.mapInArrow(lambda it: _blocks(it, dtype, freq), BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
-    drop_tables(ids)
+    drop_tables(both)
 
 
 def _documents(batches: Iterator[pa.RecordBatch], freq: np.ndarray, before: dict[int, int], keep_ids: bool) -> Iterator[pa.RecordBatch]:
