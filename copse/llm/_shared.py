@@ -51,6 +51,12 @@ def drop_tables(*tables: DataFrame) -> None:
 ARROW_ROWS = 1000
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this package from the shared folder, once no result that reads them is needed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/copse")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An input table. Batches for Python workers are kept small from here on, as texts are."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -64,6 +70,16 @@ def text_of(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+#: Rows (and entries of arrays, four times as many) up to which a table of narrow rows is broadcast.
+BROADCAST_ROWS = 250_000
+
+
+def maybe_broadcast(df: DataFrame, entries: str | None = None) -> DataFrame:
+    """A written table as a broadcast side if its counted rows (and entries of an array column) are few; else it is joined by a shuffle."""
+    rows, each = df.agg(F.count(F.lit(1)), F.sum(F.size(entries) if entries else F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (each or 0) <= 4 * BROADCAST_ROWS else df
+
+
 class Memo(dict):
     """Results by key, made at first use, in two generations: when one is full the one before it is forgotten."""
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from copse.llm._shared import table, text_of
 
 COARSE, COARSE_LEVEL, FINE, FINE_CHARS, FEW = 48, 3, 16, 256, 4
-BATCH_CHARS, PARTITION_ROWS = 400_000, 8_000
+BATCH_CHARS, PARTITION_ROWS, MOST_GROUPS = 400_000, 8_000, 4096
 _U = np.uint64
 _ONE = _U(1)
 
@@ -231,7 +231,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     ids = docs.select(order.alias("k"))
     count = ids.count()
-    n = max(1, -(-count // PARTITION_ROWS))
+    n = max(1, min(-(-count // PARTITION_ROWS), MOST_GROUPS))  # a group streams, so its size costs no memory
     cuts = ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 100 * n).alias("x")).first()["x"] if n > 1 else []
     cuts = sorted(set(cuts or []))
     above = lambda k: F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= k)) if cuts else F.lit(0)

@@ -21,7 +21,7 @@ from copse.llm._shared import Memo, byte_characters, scratch, shared_dir, table,
 
 _MEMO = 200_000
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-_UNITS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\x20\x09-\x0D.,;:!?]|\Z)|[^\x20\x09-\x0D]++").findall
+_UNITS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\x00-\x7F])|[^\x20\x09-\x0D]++").findall
 
 
 def tokenizer_version(content: bytes, kind: str) -> str:
@@ -36,8 +36,8 @@ def tokenizer_version(content: bytes, kind: str) -> str:
 class Counter:
     """Number of tokens of a text, as the library gives it, without truncation, padding or added begin and end.
 
-    A tokenizer that drops white space cannot make a token of two words, nor of a word and a
-    mark after it: these are counted once each. For a word of Latin letters, which is one
+    A tokenizer that drops white space cannot make a token of two words, nor of letters and the
+    digit or mark after them: these are counted once each. For a word of Latin letters, which is one
     pre-token, the library's model is asked directly.
     """
 
@@ -169,4 +169,4 @@ def op10_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def default_cache(spark: SparkSession) -> str:
     """Where counts are kept between runs."""
-    return f"{shared_dir(spark)}/copse/token-cache"
+    return f"{shared_dir(spark)}/copse-token-cache"
