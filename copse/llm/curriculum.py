@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from copse.llm._shared import WORD, table, text_of, written
+from copse.llm._shared import WORD, maybe_broadcast, table, text_of, written
 
 Schedule = Sequence[tuple[float, float]]
 
@@ -147,18 +147,22 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     Documents that the plan takes no copy of are left out, which is what the weights ask for.
     """
-    by_key = Window.partitionBy("__key").orderBy("__key")
-    plan = curriculum(docs, **how).filter("copies > 0").select(F.col("row_key").alias("__key"), F.col("positions").alias("__positions"))
-    plan = plan.withColumn("__n", F.row_number().over(by_key))
-    keyed = docs.withColumn("__key", row_key()).withColumn("__n", F.row_number().over(by_key))
-    out = keyed.join(plan, ["__key", "__n"]).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("__positions").alias("__position"))
+    plan = written(curriculum(docs, **how).select(F.col("row_key").alias("__key"), "copies", F.col("positions").alias("__positions")), "plan")
+    keyed, on, taken = docs.withColumn("__key", row_key()), ["__key"], plan
+    if not plan.groupBy("__key").count().filter("count > 1").isEmpty():  # equal rows are told apart by number
+        by_key = Window.partitionBy("__key").orderBy("__key")
+        taken, keyed = (x.withColumn("__n", F.row_number().over(by_key)) for x in (plan, keyed))
+        on = ["__key", "__n"]
+    taken = taken.filter("copies > 0").drop("copies")
+    out = keyed.join(taken if len(on) > 1 else maybe_broadcast(written(taken, "taken")), on)
+    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("__positions").alias("__position"))
     return out.repartitionByRange("__position").sortWithinPartitions("__position").drop("__position")
 
 
 def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = curriculum(table(spark, sf_dir, "documents")).drop("row_key")
     plan = plan.withColumn("first_position", F.get("positions", F.lit(0))).drop("positions")
-    return plan.repartitionByRange("first_position").sortWithinPartitions("first_position")
+    return plan.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
