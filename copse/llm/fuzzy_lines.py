@@ -1,8 +1,9 @@
 """Fuzzy line deduplication over all documents, in DataFrame functions only.
 
 Lines are normalised to lower-case words. A line's SimHash is the bitwise majority over the
-64-bit hashes of its distinct words; two lines are linked if their SimHashes differ in
-MOST_BITS bits at most and their edit similarity reaches SIMILARITY. The bits are cut into
+64-bit hashes of its distinct longer words (the 63 least); two lines are linked if their
+SimHashes differ in MOST_BITS bits at most and the edit similarity of their words (1 less the
+edit distance over the longer length) reaches SIMILARITY. The bits are cut into
 blocks of which MOST_BITS differing bits leave some untouched, so linked lines agree in one
 choice of blocks (pigeonhole), and lines are joined on those. Of each connected group of
 lines one occurrence is kept, the first by doc_id and line number.
@@ -19,13 +20,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from copse.llm._shared import WORD, table, text_of, written
+from copse.llm._shared import WORD, maybe_broadcast, table, text_of, written
 from copse.llm.components import connected_components
+from copse.llm.risk_rules import bound
 
 MOST_BITS, SIMILARITY, LEAST_WORDS = 3, 0.8, 5
-_LANES = 16  # counters of 16 bits, four to a long
-_FEATURES = 30_000
-_BROADCAST_ROWS = 250_000
+FEATURES = 63
 
 
 def pigeonhole(rows: int, most_bits: int = MOST_BITS) -> list[tuple[int, ...]]:
@@ -47,62 +47,74 @@ def _signed(x: int) -> int:
 
 
 def words_of(line: Column) -> Column:
-    """Lower-case words of letters and digits."""
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
+    """Lower-case words: what ASCII white space, controls and punctuation leave."""
+    return F.array_remove(F.split(F.lower(line), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
 
 
 def _features(words: Column) -> Column:
-    """The distinct words; of a line with very many, those whose hash falls in a share that keeps the counters from overflowing."""
-    distinct = F.array_distinct(words)
-    share = F.transform(F.array(distinct), lambda d: F.when(F.size(d) <= _FEATURES, d).otherwise(
-        F.filter(d, lambda w: F.pmod(F.xxhash64(F.lit("share"), w), F.ceil(F.size(d) / _FEATURES)) == 0)))
-    return share[0]
+    """Hashes of the words that a line's SimHash counts, the FEATURES least of them.
 
+    Short words, which most lines of a language share, are left out where three longer ones
+    are there. Like lines share most of their least hashes, so long lines need no more.
+    """
+    long = F.filter(words, lambda w: F.length(w) >= 4)
+    hashed = bound(long, lambda l: F.array_distinct(F.transform(F.when(F.size(l) >= 3, l).otherwise(words), lambda w: F.xxhash64(w))))
+    return F.slice(F.sort_array(hashed), 1, FEATURES)
 
-def _exploded(docs: DataFrame) -> DataFrame:
-    """``k1, k2, pos, words`` of each line: the document's key is its id (null least) and a digest of its text."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text_of()).alias("k2"), F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
-    return rows.select("k1", "k2", "pos", words_of(F.col("line")).alias("words"))
+
+def _simhash(features: Column) -> Column:
+    """Each bit's majority over up to 63 hashes.
+
+    Eight counters of eight bits share a long, so a hash is added to all 64 counters by eight
+    additions; adding 64 less the majority to a counter sets its bit 6 where it has won.
+    """
+    ones = 0x0101010101010101
+    names = [f"s{j}" for j in range(8)]
+    lanes = lambda h, j: F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ones))
+    start = F.struct(*[F.lit(0).cast("long").alias(n) for n in names])
+    bias = (F.lit(63) - F.floor(F.size(features) / 2)) * F.lit(ones)
+
+    def won(acc: Column) -> Column:
+        out = None
+        for j, n in enumerate(names):
+            bits = F.shiftleft(F.shiftrightunsigned(acc[n] + bias, 6).bitwiseAND(F.lit(ones)), j)
+            out = bits if out is None else out.bitwiseOR(bits)
+        return out
+
+    return F.aggregate(features, start, lambda acc, h: F.struct(*[(acc[n] + lanes(h, j)).alias(n) for j, n in enumerate(names)]), won)
 
 
 def line_hashes(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``k1, k2, pos, lid, sim``: digest and SimHash of each line of enough words."""
-    lines = _exploded(docs).filter(F.size("words") >= least_words)
-    each = lines.select("k1", "k2", "pos", F.xxhash64("words").alias("lid"), F.explode(_features(F.col("words"))).alias("w"))
-    each = each.select("k1", "k2", "pos", "lid", F.xxhash64("w").alias("h"))
-    lane = F.lit(0x0001000100010001)
-    sums = each.groupBy("k1", "k2", "pos", "lid").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(lane)).alias(f"s{j}") for j in range(_LANES)])
-    bits = []
-    for j in range(_LANES):
-        for q in range(4):
-            count = F.shiftrightunsigned(F.col(f"s{j}"), 16 * q).bitwiseAND(F.lit(0xFFFF))
-            bits.append(F.when(2 * count > F.col("n"), F.lit(_signed(1 << (j + 16 * q)))).otherwise(F.lit(0).cast("long")))
-    sim = bits[0]
-    for b in bits[1:]:
-        sim = sim.bitwiseOR(b)
-    return sums.select("k1", "k2", "pos", "lid", sim.alias("sim"))
-
-
-def _maybe_broadcast(df: DataFrame, entries: str | None = None) -> DataFrame:
-    """A written table as a broadcast side if its counted rows (and entries of an array column) are few; else it is joined by a shuffle."""
-    rows, each = df.agg(F.count(F.lit(1)), F.sum(F.size(entries) if entries else F.lit(0))).first()
-    return F.broadcast(df) if rows <= _BROADCAST_ROWS and (each or 0) <= 4 * _BROADCAST_ROWS else df
+    """``k1, k2, pos, lid, sim``: digest and SimHash of each line of enough words.
+
+    A document's key is its id (null least) and a digest of its text. Words come out of a
+    generator, so that no later condition makes them a second time.
+    """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text_of()).alias("k2"), F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
+    lines = rows.select("k1", "k2", "pos", F.explode(F.array(words_of(F.col("line")))).alias("words")).filter(F.size("words") >= least_words)
+    return lines.select("k1", "k2", "pos", F.xxhash64("words").alias("lid"), bound(_features(F.col("words")), _simhash).alias("sim"))
+
+
+def _as_characters(words: Column) -> Column:
+    """A text with one character for each word (one of 983,040, by the word's hash), so that edits are counted in words."""
+    point = lambda w: F.lit(0x10000) + F.pmod(F.xxhash64(w), F.lit(0xF0000))
+    return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(point(w)), 8, "0")), "UTF-32")), "")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose words, joined by spaces, reach the edit similarity."""
-    wanted = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
-    at = written(wanted.join(classes, "lid").select("lid", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos")), "wanted-lines")
+    """The pairs ``(a, b)`` whose sequences of words reach the edit similarity."""
+    wanted = written(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct(), "wanted-lids")
+    at = written(classes.join(maybe_broadcast(wanted), "lid").select("lid", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos")), "wanted-lines")
     places = written(at.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "lid")).alias("places")), "places")  # lines of one document
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text_of()).alias("k2"), F.split(text_of(), "\n").alias("lines"))
-    lines = keyed.join(_maybe_broadcast(places, "places"), ["k1", "k2"]).select("lines", F.explode("places").alias("p"))
-    lines = lines.select("p.lid", F.array_join(words_of(F.get("lines", F.col("p.pos"))), " ").alias("line")).dropDuplicates(["lid"])
+    lines = keyed.join(maybe_broadcast(places, "places"), ["k1", "k2"]).select("lines", F.explode("places").alias("p"))
+    lines = lines.select("p.lid", _as_characters(words_of(F.get("lines", F.col("p.pos")))).alias("line")).dropDuplicates(["lid"])
     lines = written(lines, "line-texts")
     both = pairs.join(lines.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
     longest = F.greatest(F.length("x"), F.length("y"))
     both = both.withColumn("allowed", F.floor((1 - F.lit(similarity)) * longest + F.lit(1e-9)).cast("int"))
     near = F.lit(False)
-    for step in (16, 256):  # a narrow band settles nearly all
+    for step in (16, 64, 256):  # a narrow band settles nearly all
         near = near | ((F.lit(step) <= F.col("allowed")) & (F.levenshtein("x", "y", step) >= 0))
     return both.filter(near | (F.expr("levenshtein(x, y, allowed)") >= 0)).select("a", "b")
 
@@ -126,9 +138,9 @@ def line_groups(docs: DataFrame, lines: DataFrame, most_bits: int = MOST_BITS, s
     links = written(_verified(written(stars, "line-stars"), classes, docs, similarity), "line-links")
     found = written(connected_components(links), "line-components")
 
-    placed = members.filter("crowd > 2").join(found.withColumnRenamed("node", "lid"), "lid", "left").select("key", "lid", "sim", F.coalesce("root", "lid").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    left = written(placed.join(split, "key"), "line-left")
+    placed = members.filter("crowd > 2").join(maybe_broadcast(found.withColumnRenamed("node", "lid")), "lid", "left").select("key", "lid", "sim", F.coalesce("root", "lid").alias("root"))
+    split = written(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "line-split")
+    left = written(placed.join(maybe_broadcast(split), "key"), "line-left")
     other = left.select("key", F.col("lid").alias("b"), F.col("sim").alias("sim_b"), F.col("root").alias("root_b"))
     rest = left.join(other, (left["key"] == other["key"]) & (F.col("lid") < F.col("b")) & (F.col("root") != F.col("root_b")) & (_differ("sim", "sim_b") <= most_bits))
     rest = written(rest.select(F.col("lid").alias("a"), "b").distinct(), "line-rest")
@@ -136,7 +148,7 @@ def line_groups(docs: DataFrame, lines: DataFrame, most_bits: int = MOST_BITS, s
         links = links.union(_verified(rest, classes, docs, similarity))
         found = written(connected_components(links), "line-components")
 
-    grouped = found.join(classes.select(F.col("lid").alias("node"), "first"), "node")
+    grouped = classes.select(F.col("lid").alias("node"), "first").join(maybe_broadcast(found), "node")
     firsts = grouped.groupBy("root").agg(F.min("first").alias("group_first"))
     of_class = grouped.join(firsts, "root").select(F.col("node").alias("lid"), F.col("group_first").alias("first"))
     return of_class.union(classes.filter("n > 1").select("lid", "first").join(of_class.select("lid"), "lid", "left_anti"))
@@ -146,7 +158,7 @@ def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS, most_bits: in
     """``k1, k2, dropped``: the numbers (from 0) of the lines that each document loses."""
     lines = written(line_hashes(docs, least_words), "lines")
     groups = written(line_groups(docs, lines, most_bits, similarity), "line-groups")
-    gone = lines.join(_maybe_broadcast(groups), "lid").filter(F.struct("k1", "k2", "pos") != F.col("first"))
+    gone = lines.join(maybe_broadcast(groups), "lid").filter(F.struct("k1", "k2", "pos") != F.col("first"))
     return written(gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("dropped")), "dropped")  # lines of one document
 
 
@@ -164,7 +176,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, most_bits: int
     gone = gone.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("dropped").alias("__dropped"))
     keyed = docs.drop("n_lines", "n_dropped")
     columns = [c for c in keyed.columns]
-    joined = keyed.join(_maybe_broadcast(gone, "__dropped"), (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("__k1")) & (F.xxhash64(text_of()) == F.col("__k2")), "left")
+    joined = keyed.join(maybe_broadcast(gone, "__dropped"), (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("__k1")) & (F.xxhash64(text_of()) == F.col("__k2")), "left")
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__dropped"), i)), "\n")
     text = F.when(F.col("__dropped").isNotNull(), kept).otherwise(F.col("text"))

@@ -247,7 +247,7 @@ def test_stage_drops_what_fails(spark, small, documents):
 
 # 5 -------------------------------------------------------------------------------------------
 
-def distance(a: str, b: str) -> int:
+def distance(a: list[str], b: list[str]) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
@@ -266,7 +266,7 @@ def test_fuzzy_lines(spark, documents):
     words, sims, at = {}, {}, collections.defaultdict(list)
     for r in fuzzy_lines.line_hashes(docs).collect():
         line = texts[r["k1"]].split("\n")[r["pos"]]
-        words[r["lid"]] = " ".join(w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", line.lower()) if w)
+        words[r["lid"]] = [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", line.lower()) if w]
         sims[r["lid"]] = r["sim"] & (1 << 64) - 1
         at[r["lid"]].append((r["k1"], r["pos"]))
     ids, u = sorted(words), Union()
@@ -287,6 +287,15 @@ def test_fuzzy_lines(spark, documents):
     assert sum(1 for i in ids if u.top(i) != i) > 5  # some links are between different lines
 
 
+def test_simhash_is_the_majority(spark):
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 62, 63):
+        hashes = rng.integers(-(2**63), 2**63 - 1, n, dtype=np.int64)
+        got = spark.createDataFrame([([int(h) for h in hashes],)], "h array<long>").select(fuzzy_lines._simhash(F.col("h")).alias("s")).first()["s"]
+        ones = [int((hashes.view(np.uint64) >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
+        assert got & (1 << 64) - 1 == sum(1 << b for b, k in enumerate(ones) if 2 * k > n)
+
+
 @pytest.mark.parametrize("rows", [1, 1000, 3_000_000, 10**12])
 def test_pigeonhole_catches_any_bits(rows):
     rng = np.random.default_rng(rows % 97)
