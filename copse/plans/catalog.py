@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copse.functions import portable
-from copse.functions.portable import draw, draw_sql, uniform
+from copse.functions.portable import draw_sql, uniform
 from copse.operators import forest, importance, impute, metrics, outlier, prep, proximity, similar, split, votes
 from copse.plans import stub
 from copse.plans.stub import BASE_SQL, STUB_SQL, TREES, Stub, customers
@@ -902,6 +902,3 @@ def scaling_coordinates(spark, sf_dir):
     leaves = Stub(spark, sf_dir).leaves
     pairs = proximity.finished(proximity.raw_proximity(leaves), votes.oob_count(leaves))
     return embed.scaling(pairs, leaves.select("row_id").distinct(), 3, rounds=8)
-
-
-__all__ = ["ORACLES", "QUERIES", "draw"]
