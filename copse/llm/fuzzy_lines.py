@@ -1,13 +1,17 @@
 """Fuzzy line deduplication over all documents, in DataFrame functions only.
 
-Lines are normalised to lower-case words. A line's SimHash is the bitwise majority over the
-64-bit hashes of its distinct longer words (the 63 least); two lines are linked if their
-SimHashes differ in MOST_BITS bits at most and the edit similarity of their words (1 less the
-edit distance over the longer length) reaches SIMILARITY. The bits are cut into
-blocks of which MOST_BITS differing bits leave some untouched, so linked lines agree in one
-choice of blocks (pigeonhole), and lines are joined on those. Of each connected group of
-lines one occurrence is kept, the first by doc_id and line number.
-
+Lines are normalised to lower-case words. Two lines are linked if the edit similarity of their
+words (1 less the edit distance over the longer length) reaches SIMILARITY and their SimHashes
+differ in MOST_BITS bits at most. A SimHash is the bitwise majority over the 64-bit hashes of a
+line's distinct words (the FEATURES least). Lines at the similarity differ in some 13 bits, so
+the bound refuses unlike lines before their words are compared and next to none that are alike.
+
+Candidates share a run of words: each line has as keys the GRAMS least hashes of its runs of
+three words (and of two, where it has under eight words), runs of longer words first. Lines of
+up to fourteen words have all their runs as keys, and lines at the similarity always share one;
+of longer lines the keys are a sample, and a pair is missed if the samples do not meet.
+
+Of each connected group of lines one occurrence is kept, the first by doc_id and line number.
 Lines with equal words are one class from the start. In each bucket of the join every class
 is first compared with one hub; only buckets in which several components are left compare
 members of different components, under the condition on the bits. No other pairs are made.
@@ -24,11 +28,11 @@ from copse.llm._shared import WORD, maybe_broadcast, table, text_of, written
 from copse.llm.components import connected_components
 from copse.llm.risk_rules import bound
 
-MOST_BITS, SIMILARITY, LEAST_WORDS = 3, 0.8, 5
-FEATURES = 63
+MOST_BITS, SIMILARITY, LEAST_WORDS = 24, 0.8, 5
+FEATURES, GRAMS = 63, 12
 
 
-def pigeonhole(rows: int, most_bits: int = MOST_BITS) -> list[tuple[int, ...]]:
+def pigeonhole(rows: int, most_bits: int = 3) -> list[tuple[int, ...]]:
     """Choices of blocks, each a tuple of bit masks, that between them catch any ``most_bits`` differing bits.
 
     With m blocks, m - most_bits of them are untouched; the least m is taken for which the
@@ -52,14 +56,28 @@ def words_of(line: Column) -> Column:
 
 
 def _features(words: Column) -> Column:
-    """Hashes of the words that a line's SimHash counts, the FEATURES least of them.
+    """Hashes of the words that a line's SimHash counts, the FEATURES least of them."""
+    return F.slice(F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))), 1, FEATURES)
+
+
+def _grams(words: Column) -> Column:
+    """The GRAMS least hashes of a line's runs of words; runs with two longer words or more come before the others.
 
-    Short words, which most lines of a language share, are left out where three longer ones
-    are there. Like lines share most of their least hashes, so long lines need no more.
+    The last bit of a word's hash here says that the word is a longer one.
     """
-    long = F.filter(words, lambda w: F.length(w) >= 4)
-    hashed = bound(long, lambda l: F.array_distinct(F.transform(F.when(F.size(l) >= 3, l).otherwise(words), lambda w: F.xxhash64(w))))
-    return F.slice(F.sort_array(hashed), 1, FEATURES)
+    one = F.lit(1).cast("long")
+    marked = F.transform(words, lambda w: F.shiftleft(F.xxhash64(w), 1).bitwiseOR((F.length(w) >= 4).cast("long")))
+
+    def key(*run: Column) -> Column:
+        longer = sum((x.bitwiseAND(one) for x in run[1:]), run[0].bitwiseAND(one))
+        return F.shiftrightunsigned(F.xxhash64(*run), 2).bitwiseOR(F.when(longer >= 2, F.lit(0)).otherwise(F.lit(1 << 62)))
+
+    def runs(h: Column) -> Column:
+        threes = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: key(x, F.get(h, i + 1), F.get(h, i + 2)))
+        twos = F.transform(F.slice(h, F.lit(1), F.size(h) - 1), lambda x, i: key(x, F.get(h, i + 1)))
+        return F.slice(F.sort_array(F.array_distinct(F.when(F.size(h) >= 8, threes).otherwise(F.concat(threes, twos)))), 1, GRAMS)
+
+    return bound(marked, runs)
 
 
 def _simhash(features: Column) -> Column:
@@ -85,14 +103,14 @@ def _simhash(features: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``k1, k2, pos, lid, sim``: digest and SimHash of each line of enough words.
+    """``k1, k2, pos, lid, sim, grams``: digest, SimHash and keys of each line of enough words.
 
     A document's key is its id (null least) and a digest of its text. Words come out of a
     generator, so that no later condition makes them a second time.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text_of()).alias("k2"), F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
     lines = rows.select("k1", "k2", "pos", F.explode(F.array(words_of(F.col("line")))).alias("words")).filter(F.size("words") >= least_words)
-    return lines.select("k1", "k2", "pos", F.xxhash64("words").alias("lid"), bound(_features(F.col("words")), _simhash).alias("sim"))
+    return lines.select("k1", "k2", "pos", F.xxhash64("words").alias("lid"), bound(_features(F.col("words")), _simhash).alias("sim"), _grams(F.col("words")).alias("grams"))
 
 
 def _as_characters(words: Column) -> Column:
@@ -101,18 +119,22 @@ def _as_characters(words: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(point(w)), 8, "0")), "UTF-32")), "")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose sequences of words reach the edit similarity."""
-    wanted = written(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct(), "wanted-lids")
+def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``lid, sim, line``: SimHash and words, as characters, of the wanted lines."""
     at = written(classes.join(maybe_broadcast(wanted), "lid").select("lid", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos")), "wanted-lines")
     places = written(at.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "lid")).alias("places")), "places")  # lines of one document
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text_of()).alias("k2"), F.split(text_of(), "\n").alias("lines"))
     lines = keyed.join(maybe_broadcast(places, "places"), ["k1", "k2"]).select("lines", F.explode("places").alias("p"))
-    lines = lines.select("p.lid", _as_characters(words_of(F.get("lines", F.col("p.pos")))).alias("line")).dropDuplicates(["lid"])
-    lines = written(lines, "line-texts")
-    both = pairs.join(lines.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
+    lines = lines.select("p.lid", F.explode(F.array(words_of(F.get("lines", F.col("p.pos"))))).alias("words"))
+    lines = lines.select("lid", bound(_features(F.col("words")), _simhash).alias("sim"), _as_characters(F.col("words")).alias("line"))
+    return written(lines.dropDuplicates(["lid"]), "line-texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose sequences of words reach the edit similarity."""
+    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
     longest = F.greatest(F.length("x"), F.length("y"))
-    both = both.withColumn("allowed", F.floor((1 - F.lit(similarity)) * longest + F.lit(1e-9)).cast("int"))
+    both = both.withColumn("allowed", F.floor((1 - F.lit(similarity)) * longest + F.lit(1e-9)).cast("int")).filter(F.abs(F.length("x") - F.length("y")) <= F.col("allowed"))
     near = F.lit(False)
     for step in (16, 64, 256):  # a narrow band settles nearly all
         near = near | ((F.lit(step) <= F.col("allowed")) & (F.levenshtein("x", "y", step) >= 0))
@@ -125,27 +147,26 @@ def _differ(a: str, b: str) -> Column:
 
 def line_groups(docs: DataFrame, lines: DataFrame, most_bits: int = MOST_BITS, similarity: float = SIMILARITY) -> DataFrame:
     """``lid, first`` of each class of lines that occurs more than once or has a linked class: the group's first occurrence."""
-    classes = lines.groupBy("lid").agg(F.min(F.struct("k1", "k2", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("sim").alias("sim"))
-    classes = written(classes, "line-classes")
-    choices = pigeonhole(classes.count(), most_bits)
-    keys = F.array(*[F.xxhash64(F.lit(i), *[F.col("sim").bitwiseAND(F.lit(_signed(mask))) for mask in choice]) for i, choice in enumerate(choices)])
-    spread = classes.select("lid", "sim", F.explode(keys).alias("key"))
+    classes = written(lines.groupBy("lid").agg(F.min(F.struct("k1", "k2", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "line-classes")
+    spread = lines.groupBy("lid").agg(F.min("grams").alias("grams")).select("lid", F.explode("grams").alias("key"))
     here = Window.partitionBy("key")
-    members = spread.withColumn("crowd", F.count(F.lit(1)).over(here)).withColumn("hub", F.min(F.struct("lid", "sim")).over(here)).filter("crowd > 1")
-    members = written(members.select("key", "lid", "sim", "crowd", F.col("hub.lid").alias("hub"), F.col("hub.sim").alias("hub_sim")), "line-members")
+    members = written(spread.select("key", "lid", F.min("lid").over(here).alias("hub"), F.count(F.lit(1)).over(here).alias("crowd")).filter("crowd > 1"), "line-members")
+    texts = _texts(written(members.select("lid").distinct(), "wanted-lids"), classes, docs)
+    sims = texts.select("lid", "sim")
 
-    stars = members.filter((F.col("lid") != F.col("hub")) & (_differ("sim", "hub_sim") <= most_bits)).select(F.least("lid", "hub").alias("a"), F.greatest("lid", "hub").alias("b")).distinct()
-    links = written(_verified(written(stars, "line-stars"), classes, docs, similarity), "line-links")
+    stars = members.filter(F.col("lid") != F.col("hub")).select(F.col("hub").alias("a"), F.col("lid").alias("b")).distinct()
+    stars = stars.join(sims.toDF("a", "sim_a"), "a").join(sims.toDF("b", "sim_b"), "b").filter(_differ("sim_a", "sim_b") <= most_bits).select("a", "b")
+    links = written(_verified(written(stars, "line-stars"), texts, similarity), "line-links")
     found = written(connected_components(links), "line-components")
 
-    placed = members.filter("crowd > 2").join(maybe_broadcast(found.withColumnRenamed("node", "lid")), "lid", "left").select("key", "lid", "sim", F.coalesce("root", "lid").alias("root"))
+    placed = members.filter("crowd > 2").join(maybe_broadcast(found.withColumnRenamed("node", "lid")), "lid", "left").select("key", "lid", F.coalesce("root", "lid").alias("root"))
     split = written(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "line-split")
-    left = written(placed.join(maybe_broadcast(split), "key"), "line-left")
+    left = written(placed.join(maybe_broadcast(split), "key").join(sims, "lid"), "line-left")
     other = left.select("key", F.col("lid").alias("b"), F.col("sim").alias("sim_b"), F.col("root").alias("root_b"))
     rest = left.join(other, (left["key"] == other["key"]) & (F.col("lid") < F.col("b")) & (F.col("root") != F.col("root_b")) & (_differ("sim", "sim_b") <= most_bits))
     rest = written(rest.select(F.col("lid").alias("a"), "b").distinct(), "line-rest")
     if not rest.isEmpty():
-        links = links.union(_verified(rest, classes, docs, similarity))
+        links = links.union(_verified(rest, texts, similarity))
         found = written(connected_components(links), "line-components")
 
     grouped = classes.select(F.col("lid").alias("node"), "first").join(maybe_broadcast(found), "node")
@@ -156,7 +177,7 @@ def line_groups(docs: DataFrame, lines: DataFrame, most_bits: int = MOST_BITS, s
 
 def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS, most_bits: int = MOST_BITS, similarity: float = SIMILARITY) -> DataFrame:
     """``k1, k2, dropped``: the numbers (from 0) of the lines that each document loses."""
-    lines = written(line_hashes(docs, least_words), "lines")
+    lines = written(line_hashes(docs, least_words).drop("sim"), "lines")
     groups = written(line_groups(docs, lines, most_bits, similarity), "line-groups")
     gone = lines.join(maybe_broadcast(groups), "lid").filter(F.struct("k1", "k2", "pos") != F.col("first"))
     return written(gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("dropped")), "dropped")  # lines of one document

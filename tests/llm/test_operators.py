@@ -287,6 +287,22 @@ def test_fuzzy_lines(spark, documents):
     assert sum(1 for i in ids if u.top(i) != i) > 5  # some links are between different lines
 
 
+def test_lines_at_the_similarity_are_linked(spark):
+    rng = np.random.default_rng(5)
+    docs, longest = [], (5, 8, 10, 14, 20, 30, 60, 100)
+    for n in longest:
+        for k in range(25):
+            words = [f"w{x:x}" for x in rng.integers(0, 1 << 40, n)]
+            other = list(words)
+            for at in rng.choice(n, n // 5, replace=False):  # the most edits that 0.8 allows
+                other[at] = f"x{at}y{k}"
+            docs += [(1000 * n + 2 * k, " ".join(words)), (1000 * n + 2 * k + 1, " ".join(other))]
+    got = fuzzy_lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).filter("n_dropped = 1").collect()
+    assert all(r["doc_id"] % 2 for r in got)
+    assert len(got) >= 0.97 * 25 * len(longest)
+    assert sum(r["doc_id"] < 15_000 for r in got) == 100  # up to 14 words all are found
+
+
 def test_simhash_is_the_majority(spark):
     rng = np.random.default_rng(9)
     for n in (1, 2, 3, 62, 63):
