@@ -12,7 +12,8 @@ up to fourteen words have all their runs as keys, and lines at the similarity al
 of longer lines the keys are a sample, and a pair is missed if the samples do not meet.
 
 Of each connected group of lines one occurrence is kept, the first by doc_id and line number.
-Lines with equal words are one class from the start. In each bucket of the join every class
+Lines with equal words, however few, are one class from the start; the fuzzy join takes lines of
+LEAST_WORDS words or more. In each bucket of the join every class
 is first compared with one hub; only buckets in which several components are left compare
 members of different components, under the condition on the bits. No other pairs are made.
 """
@@ -50,9 +51,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+_ASCII = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_UNICODE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}]+"
+_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+
+
 def words_of(line: Column) -> Column:
-    """Lower-case words: what ASCII white space, controls and punctuation leave."""
-    return F.array_remove(F.split(F.lower(line), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
+    """Lower-case words: what white space, controls, punctuation and symbols leave.
+
+    Each character of a script that is written without spaces is a word.
+    """
+    low = F.lower(line)
+    wide = F.split(F.regexp_replace(low, _UNSPACED, " $1 "), _UNICODE)
+    return F.array_remove(F.when(F.octet_length(line) == F.length(line), F.split(low, _ASCII)).otherwise(wide), "")
 
 
 def _features(words: Column) -> Column:
@@ -103,14 +114,14 @@ def _simhash(features: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``k1, k2, pos, lid, sim, grams``: digest, SimHash and keys of each line of enough words.
+    """``k1, k2, pos, lid, sim, grams``: digest, SimHash and keys of each line with a word; no keys under ``least_words``.
 
     A document's key is its id (null least) and a digest of its text. Words come out of a
     generator, so that no later condition makes them a second time.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text_of()).alias("k2"), F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
-    lines = rows.select("k1", "k2", "pos", F.explode(F.array(words_of(F.col("line")))).alias("words")).filter(F.size("words") >= least_words)
-    return lines.select("k1", "k2", "pos", F.xxhash64("words").alias("lid"), bound(_features(F.col("words")), _simhash).alias("sim"), _grams(F.col("words")).alias("grams"))
+    lines = rows.select("k1", "k2", "pos", F.explode(F.array(words_of(F.col("line")))).alias("words")).filter(F.size("words") > 0)
+    return lines.select("k1", "k2", "pos", F.xxhash64("words").alias("lid"), bound(_features(F.col("words")), _simhash).alias("sim"), F.when(F.size("words") >= least_words, _grams(F.col("words"))).alias("grams"))
 
 
 def _as_characters(words: Column) -> Column:
@@ -187,7 +198,8 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, most_bits: int
     """The documents with the columns they have, ``text`` without repeated lines, and ``n_lines, n_dropped``.
 
     Lines are separated by \\n; the others keep their order and their exact characters. Lines
-    with fewer than ``least_words`` words are left alone. Null and empty texts stay as they
+    with fewer than ``least_words`` words go only if all words are equal, lines without a word
+    are left alone. Null and empty texts stay as they
     are (n_lines 0 for null, 1 for empty). Rows that repeat an id and a text are one document
     and are treated alike; a null id comes before all others. Extra columns are passed on,
     but for clashes with n_lines and n_dropped, which are replaced. An empty table gives an

@@ -303,6 +303,14 @@ def test_lines_at_the_similarity_are_linked(spark):
     assert sum(r["doc_id"] < 15_000 for r in got) == 100  # up to 14 words all are found
 
 
+def test_short_and_unspaced_lines_repeat(spark):
+    han = "我们今天在这里讨论数据清洗的方法和结果"
+    docs = [(1, "All rights reserved.\n--\nalpha"), (2, "beta\n--\nall rights reserved"), (3, han + "。"), (4, han), (5, han.replace("今", "明")), (6, "beta gamma"), (7, "“Quoted” —word…"), (8, "quoted word"), (9, "完全不同的另一句话没有相同内容")]
+    got = {r["doc_id"]: r["text"] for r in fuzzy_lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = dict(docs) | {2: "beta\n--", 4: "", 5: "", 8: ""}
+    assert got == want
+
+
 def test_simhash_is_the_majority(spark):
     rng = np.random.default_rng(9)
     for n in (1, 2, 3, 62, 63):
