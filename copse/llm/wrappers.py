@@ -350,9 +350,10 @@ def region(slots: list[tuple[str, int, int]]) -> str | None:
 def chosen_text(found: list[tuple[str, str, int]], slots: dict[str, tuple[int, int, bool]]) -> str:
     """The page's main text from its blocks and its host's slots (characters, in links, template)."""
     inside = [b for b in found if b[0].startswith("!")]
-    if not inside:
-        best = region([(p, c, l) for p, (c, l, fixed) in slots.items() if not fixed and not p.startswith("!")])
-        inside = [b for b in found if best and (b[0] == best or b[0].startswith(best + "/"))] or found
+    if inside:  # an article is taken whole
+        return "\n".join(t for _, t, _ in inside)
+    best = region([(p, c, l) for p, (c, l, fixed) in slots.items() if not fixed and not p.startswith("!")])
+    inside = [b for b in found if best and (b[0] == best or b[0].startswith(best + "/"))] or found
     return "\n".join(t for p, t, _ in inside if not (p in slots and slots[p][2]))
 
 
@@ -424,16 +425,18 @@ def main_text(pages: DataFrame) -> DataFrame:
     malformed URL belongs to the host ''. Repeated rows give repeated rows; a null page_id
     stays null; extra columns are not read. An empty table gives an empty table.
 
-    Text is template, and left out, if its slot holds nothing else on all pages of the host
-    that have it, LEAST_PAGES or more, and those pages differ in their other text.
+    The text of an article or main element is taken whole. Elsewhere text is template, and left
+    out, if its slot holds nothing else on all pages of the host that have it and LEAST_PAGES or
+    more of those differ in their other text.
     """
     parsed = parsed_pages(pages)
     wrappers = infer_wrappers(parsed)
     each = parsed.select("host", F.xxhash64(F.to_json("blocks")).alias("page"), F.explode("blocks").alias("b")).select("host", "page", "b.*")
-    slots = each.groupBy("host", "slot").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"),
-        F.min("page").alias("first"), F.max("page").alias("last"), F.sum(F.length("text")).alias("chars"), F.sum("links").alias("links"))
-    fixed = (F.col("n") >= LEAST_PAGES) & (F.col("low") == F.col("high")) & (F.col("first") != F.col("last"))
+    of_page = each.groupBy("host", "slot", "page").agg(
+        F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"), F.sum(F.length("text")).alias("chars"), F.sum("links").alias("links"))
+    slots = of_page.groupBy("host", "slot").agg(
+        F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    fixed = (F.col("n") >= LEAST_PAGES) & (F.col("low") == F.col("high"))
     slots = slots.select("host", F.struct("slot", "chars", "links", fixed.alias("fixed")).alias("s")).groupBy("host").agg(F.collect_list("s").alias("slots"))  # one entry a slot of the wrapper
     known = written(wrappers.select("host", "wrapper").join(slots, "host", "left"), "hosts")
     size = known.agg(F.sum(F.length("wrapper") + F.length(F.to_json("slots")) + 100)).first()[0] or 0

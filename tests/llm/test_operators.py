@@ -185,6 +185,15 @@ def test_extracts_articles(spark):
     assert len(got) == len(pages)
 
 
+def test_articles_are_taken_whole(spark):
+    article = "<article><h1>Weekly</h1><h2>Summary</h2><p>Body {i}</p></article>"
+    plain = "<div id=c><p>Some text of page {i} that fills it</p><ul><li>same<li>same<li>same</ul></div>"
+    pages = [("http://a.example", page(article.format(i=i))) for i in range(9)] + [("http://b.example", page(plain.format(i=i))) for i in range(3)]
+    got = texts_of(spark, pages)
+    assert all(got[i] == f"Weekly\nSummary\nBody {i}" for i in range(9))
+    assert all(got[9 + i] == f"Some text of page {i} that fills it\nsame\nsame\nsame" for i in range(3))  # nine blocks, but three pages
+
+
 def test_wrappers_fold_and_align():
     def skeleton(h):
         import json
