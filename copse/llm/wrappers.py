@@ -56,6 +56,11 @@ NO_WORD = frozenset(
     "sponsored sponsors subscribe subscription teaser toolbar topbar widget widgets".split()
 )
 HEADER_WORD = frozenset("header head masthead".split())
+# Words that say where a part of the page stands and may be compounded with the ones above: main-nav, related-posts, share-buttons.
+LAYOUT = frozenset(
+    "site page main top bottom left right upper lower global primary secondary block blocks section container wrapper wrap box list area bar links link post posts "
+    "article articles entry button buttons form item items inner outer column col row first last mobile desktop text".split()
+)
 
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>""",
@@ -67,20 +72,36 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 @lru_cache(20_000)
 def signature(tag: str, attrs: str) -> tuple[str, str]:
-    """The element as a token of the stream (numbers in names as 0), and its kind: '' plain, 'out' no main text, 'main', 'article'."""
+    """The element as a token of the stream (numbers in names as 0), and its kind: '' plain, 'out' no main text, 'main', 'article', 'header'.
+
+    'word ' before a kind says that a name bars the element; :func:`settle` decides.
+    """
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
     names = " ".join(x for x in (a.get("class", ""), a.get("id", "")) if x)
     sig = tag + "".join(sorted({"." + re.sub(r"\d+", "0", x) for x in names.split()}))
-    words = {w.lower() for w in _WORDS.findall(names)}
+    tokens = [{w.lower() for w in _WORDS.findall(x)} for x in names.split()]
     role = a.get("role", "").lower()
     hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", ""))
-    if tag in NO_TEXT or role in NO_ROLE or hidden or (words & NO_WORD and tag not in ("html", "body", "main")):
+    if tag in NO_TEXT or role in NO_ROLE or hidden:
         return sig, "out"
-    if tag == "header" or words & HEADER_WORD and tag not in ("html", "body", "main", "article") and not re.fullmatch(r"h[1-6]", tag):
-        return sig, "header"
     if tag == "article" or a.get("itemprop", "").lower() == "articlebody":
-        return sig, "article"
-    return sig, "main" if tag == "main" or role == "main" else ""
+        kind = "article"
+    elif tag == "main" or role == "main":
+        kind = "main"
+    elif tag == "header" or named(tokens, HEADER_WORD) and tag not in ("html", "body") and not re.fullmatch(r"h[1-6]", tag):
+        kind = "header"
+    else:
+        kind = ""
+    return sig, "word " + kind if named(tokens, NO_WORD) and tag not in ("html", "body", "main") else kind
+
+
+def named(tokens: list[set[str]], words: frozenset[str]) -> bool:
+    """Whether a whole name of class or id is one of the words, or a compound of them and words of layout only."""
+    return any(t & words and t <= words | NO_WORD | LAYOUT for t in tokens)
+
+
+def barred(kind: str) -> bool:
+    return kind == "out" or kind.startswith("word ")
 
 
 class Node:
@@ -150,7 +171,7 @@ def parse(page: str) -> Node:
             continue
         if tag in ("br", "wbr"):
             text.append(" " if tag == "br" else "")
-        elif tag in INLINE and signature(tag, attrs)[1] != "out":
+        elif tag in INLINE and not barred(signature(tag, attrs)[1]):
             if tag == "a":
                 in_link = 1
         elif tag in VOID:
@@ -164,7 +185,7 @@ def parse(page: str) -> Node:
             if tag in SIBLING:
                 close(SIBLING[tag], SCOPE[tag])
             sig, kind = signature(tag, attrs)
-            if len(stack) > DEEP and (kind != "out" or any(x.kind == "out" for x in stack)):
+            if len(stack) > DEEP and (not barred(kind) or any(barred(x.kind) for x in stack)):
                 flat[tag] = flat.get(tag, 0) + 1
                 continue
             node = Node(tag, sig, kind)
@@ -172,9 +193,57 @@ def parse(page: str) -> Node:
             if not attrs.endswith("/") or tag not in INLINE:
                 stack.append(node)
     flush()
+    settle(root)
     return root
 
 
+def settle(root: Node) -> None:
+    """Decide which elements with a name like 'sidebar' are out.
+
+    An element that holds the page's only article (or else main element) stays, and where there
+    is none, one that holds more than half of the page's text outside links.
+    """
+
+    def weight(node: Node) -> int:
+        return 0 if node.kind == "out" else sum(max(0, len(c[0]) - 2 * c[1]) if isinstance(c, tuple) else weight(c) for c in node.children)
+
+    def ways(node: Node, kind: str, above: list[Node]) -> Iterator[list[Node]]:
+        """From the root to each element of the kind that no element of the kind holds."""
+        if node.kind == "out":
+            return
+        above = [*above, node]
+        if node.kind.removeprefix("word ") == kind:
+            yield above
+        else:
+            for c in node.children:
+                if isinstance(c, Node):
+                    yield from ways(c, kind, above)
+
+    def all_of(node: Node) -> Iterator[Node]:
+        yield node
+        for c in node.children:
+            if isinstance(c, Node):
+                yield from all_of(c)
+
+    def free(way: list[Node]) -> bool:
+        return not any(x.kind.startswith("word ") for x in way)
+
+    soft = [x for x in all_of(root) if x.kind.startswith("word ")]
+    if not soft:
+        return
+    keep: list[Node] = []
+    found = list(ways(root, "article", [])) or list(ways(root, "main", []))
+    if found:
+        if not any(free(way) for way in found):
+            keep = max(found, key=lambda way: weight(way[-1]))
+    else:
+        total = weight(root)
+        keep = [x for x in soft if 2 * weight(x) > total]
+    kept = {id(x) for x in keep}
+    for x in soft:
+        x.kind = x.kind.removeprefix("word ") if id(x) in kept else "out"
+
+
 # A wrapper is nested lists, so that it can be written as JSON: ["#"] is a slot, ["e", token, items] an element and
 # ["g", items] a group; an item is [least, most, node], most 0 for any number.
 
@@ -305,9 +374,18 @@ def blocks(root: Node) -> list[tuple[str, str, int]]:
             return [node]
         return [] if node.kind == "out" else [x for c in node.children if isinstance(c, Node) for x in tops(c, kind)]
 
+    def holds(node: Node) -> list[Node]:
+        """The elements around the chosen one."""
+        for c in node.children:
+            if c is chosen:
+                return [node]
+            if isinstance(c, Node) and c.kind != "out" and (found := holds(c)):
+                return [node, *found]
+        return []
+
     def walk(node: Node, path: str, inside: bool):
         inside = inside or node is chosen
-        if node.kind == "out" or node.kind == "header" and not inside:
+        if node.kind == "out" or node.kind == "header" and not inside and node not in above:
             return
         if node is not chosen and node.kind == "article" and inside and chosen.kind == "article" and node.tag == "article":
             return  # an article in an article is a reader's comment or another article
@@ -320,6 +398,7 @@ def blocks(root: Node) -> list[tuple[str, str, int]]:
 
     found = tops(root, "article") or tops(root, "main")
     chosen = max(found, key=size) if found else None
+    above = holds(root) if chosen else []
     walk(root, "", False)
     return out
 

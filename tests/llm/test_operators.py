@@ -194,6 +194,20 @@ def test_articles_are_taken_whole(spark):
     assert all(got[9 + i] == f"Some text of page {i} that fills it\nsame\nsame\nsame" for i in range(3))  # nine blocks, but three pages
 
 
+def test_names_do_not_cut_articles():
+    def inside(h):
+        return [t for p, t, _ in wrappers.blocks(wrappers.parse(h)) if p.startswith("!")]
+
+    article = "<article class='post category-notices tag-social has-comments'><p>Story</p></article>"
+    for around in ("<div class='content with-sidebar'>%s</div>", "<section id='comments-enabled-post'>%s</section>", "<div class='no-header'>%s</div>", "<div class=widget><div class=header>%s</div></div>"):
+        assert inside("<html><body>" + around % article + "</body></html>") == ["Story"]
+    assert inside("<article class=promo><p>Story</p></article>") == ["Story"]
+    assert inside("<section id=comments><article><p>A long reply of a reader</p></article></section><article><p>Story</p></article>") == ["Story"]
+    assert inside("<article><p>Story</p><div class='related-posts'>x</div><ul class=share-buttons><li>y</ul></article>") == ["Story"]
+    text = lambda h: [t for _, t, _ in wrappers.blocks(wrappers.parse(h))]
+    assert text("<div class=widget><p>All the text of the page</p></div><div class=widget><p>less</p></div>") == ["All the text of the page"]
+
+
 def test_wrappers_fold_and_align():
     def skeleton(h):
         import json
