@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.llm._shared import table, written
+from copse.llm._shared import table, text_of, written
 from copse.llm.components import connected_components
 
 PERMUTATIONS = 63
@@ -106,8 +106,8 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int, rows: int) -> Iterator
             keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             found.append(bands(signature(s), rows).view(np.int64) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "class", "bands"],
+            [batch.column("doc_id"), batch.column("digest"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
+            ["doc_id", "digest", "n_shingles", "class", "bands"],
         )
 
 
@@ -208,9 +208,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     with one text are one document repeated: all have the same component. Extra columns are
     not read. An empty table gives an empty table.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _grouped(docs, shingle, percent).drop("digest", "root")
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The rows of :func:`near_duplicates` with ``digest`` of the text and ``root``, the group (null without words)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(text_of()).alias("digest"))
     rows = band_rows(percent / 100)
-    signed = written(docs.mapInArrow(lambda it: _signed(it, shingle, rows), "doc_id long, n_shingles long, class binary, bands array<long>"), "signed")
+    signed = written(docs.mapInArrow(lambda it: _signed(it, shingle, rows), "doc_id long, digest long, n_shingles long, class binary, bands array<long>"), "signed")
     named = signed.filter("class is not null and doc_id is not null")
     classes = named.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))
     classes = written(classes, "classes")
@@ -238,9 +243,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     ids = classes.join(found.withColumnRenamed("node", "class"), "class", "left").select("class", "first_id", F.coalesce("root", "class").alias("root"))
     least = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = ids.join(least, "root").select("class", "component_id")
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")).join(of_class, "class", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = ids.join(least, "root").select("class", "component_id", "root")
+    out = signed.select("doc_id", "digest", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")).join(of_class, "class", "left")
+    out = out.select("doc_id", "digest", "root", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -251,8 +256,13 @@ def op6_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each near-duplicate group stays (five-word shingles, similarity 0.8).
 
-    A repeated doc_id of a kept document stays once; rows without a doc_id stay.
+    A row is known by its doc_id and a digest of its text: repeated rows stay once, other texts
+    under the same doc_id are judged on their own. Rows without a doc_id stay.
     """
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+    found = written(_grouped(docs, 5, 80).filter("doc_id is not null").select("doc_id", "digest", "root", "kept"), "verdicts")
+    group = F.coalesce("root", F.col("digest").cast("string").cast("binary"))
+    stay = found.filter("kept").groupBy("doc_id", group.alias("group")).agg(F.min("digest").alias("digest")).select("doc_id", "digest")
+    gone = found.select("doc_id", "digest").distinct().join(stay, ["doc_id", "digest"], "left_anti").toDF("__gone", "__text")
+    keyed = docs.withColumn("__digest", F.xxhash64(text_of()))
+    left = keyed.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__digest") == F.col("__text")), "left_anti")
+    return left.filter("doc_id is not null").dropDuplicates(["doc_id", "__digest"]).unionByName(left.filter("doc_id is null")).drop("__digest")

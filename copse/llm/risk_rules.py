@@ -156,8 +156,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **h
     are judged alike. Without labels no cutoff is in use and the base alone decides. Extra
     columns are not read. An empty table gives an empty table.
     """
-    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__s": F.col(stratum).cast("string")}).select(F.col("__id").alias("doc_id"), F.col("__s").alias("stratum"), "text")
-    rows = written(signals(rows, "doc_id", "stratum"), "signals")
+    return _judged(docs, labels, stratum, **how).drop("digest")
+
+
+def _digest(stratum: str) -> Column:
+    return F.xxhash64(F.col("text").cast("string"), F.col(stratum).cast("string"))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **how) -> DataFrame:
+    """The rows of :func:`quality_rules` with ``digest`` of the text and the stratum."""
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__s": F.col(stratum).cast("string"), "__d": _digest(stratum)})
+    rows = rows.select(F.col("__id").alias("doc_id"), F.col("__s").alias("stratum"), F.col("__d").alias("digest"), "text")
+    rows = written(signals(rows, "doc_id", "stratum", "digest"), "signals")
     # One row a stratum with a cutoff, or null, for each rule: strata are few, the join decides by measured size.
     chosen = written(choose_cutoffs(rows, labels, "stratum", **how), "cutoffs")
     rules = list(how.get("cutoffs", CUTOFFS))
@@ -176,10 +186,10 @@ def op4_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go. A row without a doc_id is judged by the base alone."""
-    verdict = quality_rules(docs, table(spark, sf_dir, "labels"))
-    gone = verdict.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """Pipeline stage: documents that the rules reject go, each by its doc_id and text. A row without a doc_id is judged by the base alone."""
+    verdict = _judged(docs, table(spark, sf_dir, "labels"))
+    gone = verdict.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__text")).distinct()
+    left = docs.join(gone, (docs["doc_id"] == F.col("__gone")) & (_digest("lang") == F.col("__text")), "left_anti")
     named, bare = left.filter("doc_id is not null"), left.filter("doc_id is null")
     columns = list(docs.columns)
     bare = signals(bare.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in columns])), "__row").filter(~base_failed()).select("__row.*")

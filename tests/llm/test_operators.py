@@ -393,6 +393,15 @@ def test_one_of_each_group_stays(spark, copies, small):
     assert sorted(out) == sorted(r["doc_id"] for r in minmax_dedup.near_duplicates(copies).filter("kept").collect())
 
 
+def test_texts_under_one_id_are_judged_apart(spark, small):
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in ("left", "right"))
+    docs = spark.createDataFrame([(0, a, "en"), (1, a + " end", "en"), (1, b, "en"), (1, b, "en"), (2, b + " end", "en"), (2, "too short", "en")], "doc_id long, text string, lang string")
+    got = sorted(tuple(r) for r in minmax_dedup.minhash_stage(spark, docs, small).select("doc_id", "text").collect())
+    assert got == [(0, a), (1, b), (2, "too short")]
+    left = risk_rules.quality_stage(spark, docs, small).filter("doc_id = 2").select("text").collect()
+    assert [r["text"] for r in left] == [b + " end"]
+
+
 # 7 -------------------------------------------------------------------------------------------
 
 def test_bpe_is_tiktokens(spark, small, texts):
