@@ -845,11 +845,24 @@ c AS (SELECT *, trunc(greatest(least(v / 0.02::DOUBLE + 3, 127), -128))::INT AS
 SELECT vec_id, k::INT AS k, i8, n4, round((i8 - 3) * 0.02::DOUBLE, 6) AS i8_back, round(CASE WHEN n4 >= 8 THEN (8 - n4) / 7.0::DOUBLE ELSE n4 / 7.0::DOUBLE END, 6) AS n4_back FROM c""")
 def quant_codec(spark, sf_dir):
     """Codes of the first eight entries of each vector and what they decode to."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("k", "v")).withColumn("v", F.col("v").cast("double"))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("k", "v"))
+    return _quantised(e)
+
+
+def _quantised(e):
+    e = e.withColumn("v", F.col("v").cast("double"))
     e = e.select("vec_id", "k", portable.int8_encode(F.col("v"), 0.02, 3).alias("i8"), portable.nf4_encode(F.col("v")).alias("n4"))
     return r6(e.select("*", portable.int8_decode(F.col("i8"), 0.02, 3).alias("i8_back"), portable.nf4_decode(F.col("n4")).alias("n4_back")))
 
 
+@query("""WITH v AS (SELECT vec_id, unnest(range(len(embedding))) AS k, embedding FROM embeddings), x AS (SELECT vec_id, k, embedding[k + 1]::DOUBLE AS v FROM v),
+c AS (SELECT *, trunc(greatest(least(v / 0.02::DOUBLE + 3, 127), -128))::INT AS i8, (least(floor(abs(v) * 7 + 0.5), 7) + CASE WHEN v < 0 THEN 8 ELSE 0 END)::INT AS n4 FROM x)
+SELECT vec_id, k::INT AS k, i8, n4, round((i8 - 3) * 0.02::DOUBLE, 6) AS i8_back, round(CASE WHEN n4 >= 8 THEN (8 - n4) / 7.0::DOUBLE ELSE n4 / 7.0::DOUBLE END, 6) AS n4_back FROM c""")
+def quant_codec_whole(spark, sf_dir):
+    """Codes of all entries of each vector and what they decode to."""
+    return _quantised(read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v")))
+
+
 # -- grown forests: rows only, invariants are tested --------------------------------------
 
 def _learnable(spark, sf_dir):
