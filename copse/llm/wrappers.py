@@ -11,9 +11,9 @@ All pages of a host take part. Equal folded streams are counted once, partial wr
 inferred over salted shares of them and aligned with each other, so a host with a third of
 all pages is no single task.
 
-Over a wrapper's slots, all pages are summed: text that is the same on every page is part of
-the template, and where pages have no article or main element, the region of the wrapper
-that holds most of the text that varies is taken for it. Menus, headers, footers, sidebars,
+The wrapper does not decide the text; element paths do. An article or main element is taken
+whole. Where pages have none, all pages of the host are summed by path: text that is the same
+on every page is template, and the region that holds most of the text that varies is taken. Menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments are known by element, role, class and
 id.
 """
