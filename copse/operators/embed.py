@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,8 @@ def scaling(pairs: DataFrame, rows: DataFrame, k: int = 3, rounds: int = 60, see
     doubly centred matrix is never built: its product with a vector is the product of the
     listed entries, corrected by row means. Subspace iteration finds the leading
     eigenvectors; only k by k matrices reach the driver. Axes of an eigenvalue that is not
-    positive are left out with an error.
+    positive are left out with an error. Eigenvalues that have not
+    converged after ``rounds`` rounds give a warning.
     """
     import numpy as np
 
@@ -75,6 +77,8 @@ def scaling(pairs: DataFrame, rows: DataFrame, k: int = 3, rounds: int = 60, see
         if last is not None and np.all(np.abs(values - last) <= 1e-9 * np.abs(values).max()):
             break
         last, v = values, w
+    else:
+        warnings.warn(f"scaling: eigenvalues had not converged after {rounds} rounds", stacklevel=2)
     v = materialised(orthonormal(v), "vectors")
     w = product(v)
     g = gram(v, w)

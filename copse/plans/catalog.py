@@ -175,6 +175,15 @@ def encode_decode(spark, sf_dir):
     return prep.decode(prep.encode(part, "p_brand", labels), "code", labels).select("p_partkey", "code", "label")
 
 
+@query("""WITH d AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS code FROM (SELECT DISTINCT p_brand AS b FROM part))
+SELECT p_partkey, code, b AS label FROM part LEFT JOIN d ON p_brand = b""")
+def encode_decode_whole(spark, sf_dir):
+    """Codes learnt from all parts, and what they decode to."""
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    labels = prep.dictionary(part, "p_brand")
+    return prep.decode(prep.encode(part, "p_brand", labels), "code", labels).select("p_partkey", "code", "label")
+
+
 @query(f"WITH {STUB_SQL} SELECT tree_id::INT AS tree_id, row_id, nin FROM bag")
 def bootstrap_uniform(spark, sf_dir):
     return prep.bootstrap(read(spark, sf_dir, "customer"), TREES, "bag")
@@ -914,4 +923,4 @@ def scaling_coordinates(spark, sf_dir):
 
     leaves = Stub(spark, sf_dir).leaves
     pairs = proximity.finished(proximity.raw_proximity(leaves), votes.oob_count(leaves))
-    return embed.scaling(pairs, leaves.select("row_id").distinct(), 3, rounds=8)
+    return embed.scaling(pairs, leaves.select("row_id").distinct(), 3)

@@ -258,3 +258,12 @@ def test_sparse_round_trip(spark):
     assert prep.from_sparse(entries, ["a", "b"], wide).exceptAll(wide).count() == 0
     fake = prep.synthetic_sparse(entries, 3, ["a", "b"])
     assert fake.filter("row_id < 3").count() == 0
+
+
+def test_scaling_tells_when_it_has_not_converged(spark):
+    from copse.operators import embed
+
+    rows = spark.range(6).withColumnRenamed("id", "row_id")
+    pairs = rows.select(F.col("row_id").alias("i")).crossJoin(rows.select(F.col("row_id").alias("j"))).withColumn("p", F.expr("1 / (1 + abs(i - j))"))
+    with pytest.warns(UserWarning, match="converged"):
+        embed.scaling(pairs, rows, 1, rounds=1)
