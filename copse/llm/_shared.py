@@ -70,14 +70,15 @@ def text_of(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-#: Rows (and entries of arrays, four times as many) up to which a table of narrow rows is broadcast.
-BROADCAST_ROWS = 250_000
+#: Bytes up to which a written table is broadcast.
+BROADCAST_BYTES = 4 << 20
 
 
 def maybe_broadcast(df: DataFrame, entries: str | None = None) -> DataFrame:
-    """A written table as a broadcast side if its counted rows (and entries of an array column) are few; else it is joined by a shuffle."""
-    rows, each = df.agg(F.count(F.lit(1)), F.sum(F.size(entries) if entries else F.lit(0))).first()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and (each or 0) <= 4 * BROADCAST_ROWS else df
+    """A written table as a broadcast side if its measured bytes in memory (with those of an array column) are few; else it is joined by a shuffle."""
+    wide = [F.octet_length(c) for c, t in df.dtypes if t in ("string", "binary")]
+    row = sum(wide, F.lit(16 * (len(df.columns) + 2))) + (40 * F.size(entries) if entries else F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 class Memo(dict):

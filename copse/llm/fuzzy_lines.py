@@ -1,54 +1,38 @@
 """Fuzzy line deduplication over all documents, in DataFrame functions only.
 
 Lines are normalised to lower-case words. Two lines are linked if the edit similarity of their
-words (1 less the edit distance over the longer length) reaches SIMILARITY and their SimHashes
-differ in MOST_BITS bits at most. A SimHash is the bitwise majority over the 64-bit hashes of a
-line's distinct words (the FEATURES least). Lines at the similarity differ in some 13 bits, so
-the bound refuses unlike lines before their words are compared and next to none that are alike.
-
-Candidates share a run of words: each line has as keys the GRAMS least hashes of its runs of
-three words (and of two, where it has under eight words), runs of longer words first. Lines of
-up to fourteen words have all their runs as keys, and lines at the similarity always share one;
-of longer lines the keys are a sample, and a pair is missed if the samples do not meet.
+words (1 less the edit distance over the longer length) reaches SIMILARITY. A 64-bit SimHash of
+a line's distinct words refuses a pair that differs in more than MOST_BITS bits before its words are
+compared: lines at the similarity differ in some 13 bits, give or take 3.
+
+Blocks of the SimHash cannot propose such pairs: with 13 bits changed, hardly a block of 16 is
+whole, and smaller ones tell no lines apart. Instead a line's keys are hashes of its runs of three
+words. A line of up to 2 * KEYS words has all its runs (and runs of two, under eight words); lines at
+the similarity always share one of them. A longer line has those of its runs with long words whose
+hash is below a bound that gives KEYS of them; about half the runs of two lines at the similarity
+agree, so they miss each other with a chance of 1 %.
+
+How crowded keys are searched: lines with equal words are one class first. Classes that share a
+key of up to CROWD classes are compared with each other. In a more crowded one all are compared with
+its hub, the class whose keys are the most crowded. Where that leaves several components, the
+classes concerned are proposed again by prefixes: of all runs, ordered from the rarest, a line at the
+similarity shares one among the first six tenths. Runs that many lines hold come last and count only for lines
+made of little else; of these, what a second hub does not connect is compared whole.
 
 Of each connected group of lines one occurrence is kept, the first by doc_id and line number.
-Lines with equal words, however few, are one class from the start; the fuzzy join takes lines of
-LEAST_WORDS words or more. In each bucket of the join every class
-is first compared with one hub; only buckets in which several components are left compare
-members of different components, under the condition on the bits. No other pairs are made.
+Lines under LEAST_WORDS words go only if all words are equal.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from copse.llm._shared import WORD, maybe_broadcast, table, text_of, written
+from copse.llm._shared import WORD, drop_tables, maybe_broadcast, table, text_of, written
 from copse.llm.components import connected_components
-from copse.llm.risk_rules import bound
 
 MOST_BITS, SIMILARITY, LEAST_WORDS = 24, 0.8, 5
-FEATURES, GRAMS = 63, 12
-
-
-def pigeonhole(rows: int, most_bits: int = 3) -> list[tuple[int, ...]]:
-    """Choices of blocks, each a tuple of bit masks, that between them catch any ``most_bits`` differing bits.
-
-    With m blocks, m - most_bits of them are untouched; the least m is taken for which the
-    key of so many blocks has two bits more than it takes to tell ``rows`` lines apart, so
-    chance agreements stay in proportion to the input at any size.
-    """
-    want = min(40, max(16, rows.bit_length() + 2))
-    m = next(m for m in range(most_bits + 1, 17) if 64 * (m - most_bits) // m >= want or m == 16)
-    edges = [64 * i // m for i in range(m + 1)]
-    blocks = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(m)]
-    return [tuple(blocks[i] for i in c) for c in combinations(range(m), m - most_bits)]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+KEYS, CROWD = 8, 32
 
 
 _ASCII = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -66,62 +50,42 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.when(F.octet_length(line) == F.length(line), F.split(low, _ASCII)).otherwise(wide), "")
 
 
-def _features(words: Column) -> Column:
-    """Hashes of the words that a line's SimHash counts, the FEATURES least of them."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))), 1, FEATURES)
-
+def _document() -> list[Column]:
+    """A document's key: its id (null least) and a digest of its text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text_of()).alias("k2")]
 
-def _grams(words: Column) -> Column:
-    """The GRAMS least hashes of a line's runs of words; runs with two longer words or more come before the others.
-
-    The last bit of a word's hash here says that the word is a longer one.
-    """
-    one = F.lit(1).cast("long")
-    marked = F.transform(words, lambda w: F.shiftleft(F.xxhash64(w), 1).bitwiseOR((F.length(w) >= 4).cast("long")))
 
-    def key(*run: Column) -> Column:
-        longer = sum((x.bitwiseAND(one) for x in run[1:]), run[0].bitwiseAND(one))
-        return F.shiftrightunsigned(F.xxhash64(*run), 2).bitwiseOR(F.when(longer >= 2, F.lit(0)).otherwise(F.lit(1 << 62)))
+def _run(at: Column, words: int) -> Column:
+    return F.xxhash64(*[F.get("words", at + k) for k in range(words)])
 
-    def runs(h: Column) -> Column:
-        threes = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: key(x, F.get(h, i + 1), F.get(h, i + 2)))
-        twos = F.transform(F.slice(h, F.lit(1), F.size(h) - 1), lambda x, i: key(x, F.get(h, i + 1)))
-        return F.slice(F.sort_array(F.array_distinct(F.when(F.size(h) >= 8, threes).otherwise(F.concat(threes, twos)))), 1, GRAMS)
 
-    return bound(marked, runs)
+def _runs(rows: DataFrame, sampled: bool, least_words: int, *keep: str) -> DataFrame:
+    """The kept columns of lines (``words``) with ``key``, a row for each run of words that is a key, and one with null.
 
-
-def _simhash(features: Column) -> Column:
-    """Each bit's majority over up to 63 hashes.
-
-    Eight counters of eight bits share a long, so a hash is added to all 64 counters by eight
-    additions; adding 64 less the majority to a counter sets its bit 6 where it has won.
+    Everything is made row by row in generated code: a generator counts through the runs.
     """
-    ones = 0x0101010101010101
-    names = [f"s{j}" for j in range(8)]
-    lanes = lambda h, j: F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ones))
-    start = F.struct(*[F.lit(0).cast("long").alias(n) for n in names])
-    bias = (F.lit(63) - F.floor(F.size(features) / 2)) * F.lit(ones)
-
-    def won(acc: Column) -> Column:
-        out = None
-        for j, n in enumerate(names):
-            bits = F.shiftleft(F.shiftrightunsigned(acc[n] + bias, 6).bitwiseAND(F.lit(ones)), j)
-            out = bits if out is None else out.bitwiseOR(bits)
-        return out
-
-    return F.aggregate(features, start, lambda acc, h: F.struct(*[(acc[n] + lanes(h, j)).alias(n) for j, n in enumerate(names)]), won)
-
-
-def line_hashes(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``k1, k2, pos, lid, sim, grams``: digest, SimHash and keys of each line with a word; no keys under ``least_words``.
-
-    A document's key is its id (null least) and a digest of its text. Words come out of a
-    generator, so that no later condition makes them a second time.
+    n = F.size("words")
+    rows = rows.withColumn("bytes", F.octet_length(F.array_join("words", "")))
+    last = F.when(n < least_words, -1).when(n < 8, 2 * n - 4).otherwise(n - 3)
+    rows = rows.select(*keep, "words", "bytes", n.alias("n"), F.explode(F.sequence(F.lit(-1), F.greatest(last, F.lit(-1)))).alias("i"))
+    n, i = F.col("n"), F.col("i")
+    key = F.when((i >= 0) & (i <= n - 3), _run(i, 3)).when((i >= 0) & (i > n - 3), _run(i - n + 2, 2))
+    rows = rows.select(*keep, "words", "bytes", "n", "i", key.alias("key"))
+    if sampled:
+        long = sum((F.octet_length(F.get("words", i + k)) for k in (1, 2)), F.octet_length(F.get("words", i))) * n >= 3 * F.col("bytes")
+        below = F.shiftrightunsigned("key", 1) < F.lit(float(1 << 63) * 2 * KEYS) / n
+        rows = rows.filter((i <= 0) | (n <= 2 * KEYS) | (below & long))
+    return rows.select(*keep, "key")
+
+
+def line_keys(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``k1, k2, pos, lid, key``: digest of each line with a word, once with a null key and once with each of its keys.
+
+    Words come out of a generator, so that no later condition makes them a second time.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text_of()).alias("k2"), F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
+    rows = docs.select(*_document(), F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
     lines = rows.select("k1", "k2", "pos", F.explode(F.array(words_of(F.col("line")))).alias("words")).filter(F.size("words") > 0)
-    return lines.select("k1", "k2", "pos", F.xxhash64("words").alias("lid"), bound(_features(F.col("words")), _simhash).alias("sim"), F.when(F.size("words") >= least_words, _grams(F.col("words"))).alias("grams"))
+    return _runs(lines.withColumn("lid", F.xxhash64("words")), True, least_words, "k1", "k2", "pos", "lid")
 
 
 def _as_characters(words: Column) -> Column:
@@ -130,19 +94,37 @@ def _as_characters(words: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(point(w)), 8, "0")), "UTF-32")), "")
 
 
-def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``lid, sim, line``: SimHash and words, as characters, of the wanted lines."""
-    at = written(classes.join(maybe_broadcast(wanted), "lid").select("lid", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos")), "wanted-lines")
-    places = written(at.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "lid")).alias("places")), "places")  # lines of one document
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text_of()).alias("k2"), F.split(text_of(), "\n").alias("lines"))
-    lines = keyed.join(maybe_broadcast(places, "places"), ["k1", "k2"]).select("lines", F.explode("places").alias("p"))
-    lines = lines.select("p.lid", F.explode(F.array(words_of(F.get("lines", F.col("p.pos"))))).alias("words"))
-    lines = lines.select("lid", bound(_features(F.col("words")), _simhash).alias("sim"), _as_characters(F.col("words")).alias("line"))
-    return written(lines.dropDuplicates(["lid"]), "line-texts")
+def simhashes(rows: DataFrame) -> DataFrame:
+    """``lid, sim`` of rows ``lid, words``: each bit's majority over the hashes of the distinct words, ties as 0.
 
+    Two counters of 32 bits share a long, so 32 sums count all 64 bits.
+    """
+    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(0x0000000100000001))).alias(f"s{j}") for j in range(32)]
+    sums = rows.select("lid", F.explode(F.array_distinct("words")).alias("w")).select("lid", F.xxhash64("w").alias("h")).groupBy("lid").agg(F.count(F.lit(1)).alias("n"), *lanes)
+    sim = F.lit(0).cast("long")
+    for j in range(32):
+        low, high = F.col(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"s{j}", 32)
+        sim = sim.bitwiseOR(F.shiftleft((2 * low > F.col("n")).cast("long"), j)).bitwiseOR(F.shiftleft((2 * high > F.col("n")).cast("long"), j + 32))
+    return sums.select("lid", sim.alias("sim"))
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+
+def _differ(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _line_words(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``lid, words`` of the wanted classes, from the text of each one's first occurrence."""
+    at = classes.join(maybe_broadcast(wanted), "lid").select("first.k1", "first.k2", F.struct("first.pos", "lid").alias("p"))
+    places = written(at.groupBy("k1", "k2").agg(F.collect_list("p").alias("places")), "places")  # lines of one document
+    keyed = docs.select(*_document(), F.split(text_of(), "\n").alias("lines"))
+    lines = keyed.join(maybe_broadcast(places, "places"), ["k1", "k2"]).select("lines", F.explode("places").alias("p")).select("p.lid", F.get("lines", F.col("p.pos")).alias("line"))
+    return written(lines.select("lid", F.explode(F.array(words_of(F.col("line")))).alias("words")).dropDuplicates(["lid"]), "line-words")
+
+
+def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` whose sequences of words reach the edit similarity."""
+    needed = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
+    texts = written(words.join(maybe_broadcast(written(needed, "needed")), "lid").select("lid", _as_characters(F.col("words")).alias("line")), "line-texts")
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
     longest = F.greatest(F.length("x"), F.length("y"))
     both = both.withColumn("allowed", F.floor((1 - F.lit(similarity)) * longest + F.lit(1e-9)).cast("int")).filter(F.abs(F.length("x") - F.length("y")) <= F.col("allowed"))
@@ -152,46 +134,91 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.filter(near | (F.expr("levenshtein(x, y, allowed)") >= 0)).select("a", "b")
 
 
-def _differ(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def _crowded(keys: DataFrame, sims: DataFrame) -> DataFrame:
+    """``key, lid, crowd, sim, n`` of the keys that several classes share; crowd counts the classes."""
+    crowds = keys.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
+    return keys.join(crowds, "key").join(sims, "lid")
 
 
-def line_groups(docs: DataFrame, lines: DataFrame, most_bits: int = MOST_BITS, similarity: float = SIMILARITY) -> DataFrame:
-    """``lid, first`` of each class of lines that occurs more than once or has a linked class: the group's first occurrence."""
-    classes = written(lines.groupBy("lid").agg(F.min(F.struct("k1", "k2", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "line-classes")
-    spread = lines.groupBy("lid").agg(F.min("grams").alias("grams")).select("lid", F.explode("grams").alias("key"))
-    here = Window.partitionBy("key")
-    members = written(spread.select("key", "lid", F.min("lid").over(here).alias("hub"), F.count(F.lit(1)).over(here).alias("crowd")).filter("crowd > 1"), "line-members")
-    texts = _texts(written(members.select("lid").distinct(), "wanted-lids"), classes, docs)
-    sims = texts.select("lid", "sim")
-
-    stars = members.filter(F.col("lid") != F.col("hub")).select(F.col("hub").alias("a"), F.col("lid").alias("b")).distinct()
-    stars = stars.join(sims.toDF("a", "sim_a"), "a").join(sims.toDF("b", "sim_b"), "b").filter(_differ("sim_a", "sim_b") <= most_bits).select("a", "b")
-    links = written(_verified(written(stars, "line-stars"), texts, similarity), "line-links")
+def _each_other(members: DataFrame, most_bits: int, similarity: float, *same: str) -> DataFrame:
+    """Pairs of classes with a key in common and likely to be similar; ``same`` names columns that must differ."""
+    other = members.select("key", F.col("lid").alias("b"), F.col("sim").alias("sim_b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in same])
+    near = (_differ("sim", "sim_b") <= most_bits) & (F.least("n", "n_b") >= F.lit(similarity) * F.greatest("n", "n_b") - F.lit(1e-9))
+    for c in same:
+        near = near & (F.col(c) != F.col(f"{c}_b"))
+    return members.join(other, (members["key"] == other["key"]) & (F.col("lid") < F.col("b")) & near).select(F.col("lid").alias("a"), "b")
+
+
+def _stars(crowded: DataFrame, weights: DataFrame, most_bits: int) -> DataFrame:
+    """Pairs of each class with the hubs of its keys: the class whose keys are the most crowded."""
+    hubs = crowded.join(weights, "lid").groupBy("key").agg(F.max(F.struct("weight", "lid", "sim")).alias("hub")).select("key", "hub.lid", "hub.sim").toDF("key", "b", "sim_b")
+    pairs = crowded.join(hubs, "key").filter((F.col("lid") != F.col("b")) & (_differ("sim", "sim_b") <= most_bits))
+    return pairs.select(F.least("lid", "b").alias("a"), F.greatest("lid", "b").alias("b"))
+
+
+def _split(crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of crowded keys whose classes are still in several components, with ``root``."""
+    placed = crowded.join(maybe_broadcast(found.withColumnRenamed("node", "lid")), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
+    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    return written(placed.join(several, "key"), "line-split")
+
+
+def _searched(keys: DataFrame, sims: DataFrame, words: DataFrame, most_bits: int, similarity: float, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links among classes by their keys (with earlier links), components, and the rows of crowded keys that hubs have left in pieces."""
+    members = written(_crowded(keys, sims), "line-members")
+    small, large = members.filter(F.col("crowd") <= CROWD), members.filter(F.col("crowd") > CROWD)
+    weights = members.groupBy("lid").agg(F.sum("crowd").alias("weight"))
+    pairs = written(_each_other(small, most_bits, similarity).union(_stars(large, weights, most_bits)).distinct(), "line-pairs")
+    new = written(_verified(pairs, words, similarity), "line-links")
+    links = new if links is None else links.union(new)
     found = written(connected_components(links), "line-components")
+    return links, found, _split(large, found)
 
-    placed = members.filter("crowd > 2").join(maybe_broadcast(found.withColumnRenamed("node", "lid")), "lid", "left").select("key", "lid", F.coalesce("root", "lid").alias("root"))
-    split = written(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "line-split")
-    left = written(placed.join(maybe_broadcast(split), "key").join(sims, "lid"), "line-left")
-    other = left.select("key", F.col("lid").alias("b"), F.col("sim").alias("sim_b"), F.col("root").alias("root_b"))
-    rest = left.join(other, (left["key"] == other["key"]) & (F.col("lid") < F.col("b")) & (F.col("root") != F.col("root_b")) & (_differ("sim", "sim_b") <= most_bits))
-    rest = written(rest.select(F.col("lid").alias("a"), "b").distinct(), "line-rest")
-    if not rest.isEmpty():
-        links = links.union(_verified(rest, texts, similarity))
-        found = written(connected_components(links), "line-components")
+
+def _prefixes(wanted: DataFrame, words: DataFrame, least_words: int) -> DataFrame:
+    """``key, lid``: the rarest six tenths of each wanted class's distinct runs, rarity counted among the wanted."""
+    lines = words.join(maybe_broadcast(wanted), "lid").select("lid", "words")
+    runs = written(_runs(lines, False, least_words, "lid").filter("key is not null").distinct(), "line-runs")
+    held = runs.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+    here = Window.partitionBy("lid")  # runs of one line
+    ranked = runs.join(held, "key").select("key", "lid", F.row_number().over(here.orderBy("held", "key")).alias("at"), F.count(F.lit(1)).over(here).alias("of"))
+    return ranked.filter(F.col("at") <= 0.6 * F.col("of") + 3).select("key", "lid")
+
+
+def line_groups(docs: DataFrame, keyed: DataFrame, least_words: int = LEAST_WORDS, most_bits: int = MOST_BITS, similarity: float = SIMILARITY) -> DataFrame:
+    """``lid, first`` of each class of lines that occurs more than once or has a linked class: the group's first occurrence."""
+    lines = keyed.filter("key is null")
+    classes = written(lines.groupBy("lid").agg(F.min(F.struct("k1", "k2", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "line-classes")
+    each = keyed.filter("key is not null").select("key", "lid")
+    shared = written(each.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).filter("lo <> hi").select("key"), "line-shared")
+    keys = written(each.join(maybe_broadcast(shared), "key").distinct(), "line-keys")
+    words = _line_words(written(keys.select("lid").distinct(), "wanted"), classes, docs)
+    sims = written(simhashes(words).join(words.select("lid", F.size("words").alias("n")), "lid"), "line-sims")
+
+    links, found, left = _searched(keys, sims, words, most_bits, similarity)
+    if not left.isEmpty():
+        again = _prefixes(written(left.select("lid").distinct(), "wanted"), words, least_words)
+        links, found, left = _searched(again, sims, words, most_bits, similarity, links)
+        if not left.isEmpty():
+            rest = written(_each_other(left, most_bits, similarity, "root").distinct(), "line-rest")
+            found = written(connected_components(links.union(_verified(rest, words, similarity))), "line-components")
 
     grouped = classes.select(F.col("lid").alias("node"), "first").join(maybe_broadcast(found), "node")
     firsts = grouped.groupBy("root").agg(F.min("first").alias("group_first"))
-    of_class = grouped.join(firsts, "root").select(F.col("node").alias("lid"), F.col("group_first").alias("first"))
-    return of_class.union(classes.filter("n > 1").select("lid", "first").join(of_class.select("lid"), "lid", "left_anti"))
+    of_class = written(grouped.join(firsts, "root").select(F.col("node").alias("lid"), F.col("group_first").alias("first")), "grouped")
+    out = written(of_class.union(classes.filter("n > 1").select("lid", "first").join(of_class.select("lid"), "lid", "left_anti")), "line-groups")
+    drop_tables(classes, shared, keys, words, sims, of_class)
+    return out
 
 
 def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS, most_bits: int = MOST_BITS, similarity: float = SIMILARITY) -> DataFrame:
     """``k1, k2, dropped``: the numbers (from 0) of the lines that each document loses."""
-    lines = written(line_hashes(docs, least_words).drop("sim"), "lines")
-    groups = written(line_groups(docs, lines, most_bits, similarity), "line-groups")
-    gone = lines.join(maybe_broadcast(groups), "lid").filter(F.struct("k1", "k2", "pos") != F.col("first"))
-    return written(gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("dropped")), "dropped")  # lines of one document
+    keyed = written(line_keys(docs, least_words), "lines")
+    groups = line_groups(docs, keyed, least_words, most_bits, similarity)
+    gone = keyed.filter("key is null").drop("key").join(maybe_broadcast(groups), "lid").filter(F.struct("k1", "k2", "pos") != F.col("first"))
+    out = written(gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("dropped")), "dropped")  # lines of one document
+    drop_tables(keyed, groups)
+    return out
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, most_bits: int = MOST_BITS, similarity: float = SIMILARITY) -> DataFrame:
