@@ -7,17 +7,17 @@ compared: lines at the similarity differ in some 13 bits, give or take 3.
 
 Blocks of the SimHash cannot propose such pairs: with 13 bits changed, hardly a block of 16 is
 whole, and smaller ones tell no lines apart. Instead a line's keys are hashes of its runs of three
-words. A line of up to 2 * KEYS words has all its runs (and runs of two, under eight words); lines at
+words. A line of up to ALL words has all its runs (and runs of two, under eight words); lines at
 the similarity always share one of them. A longer line has those of its runs with long words whose
 hash is below a bound that gives KEYS of them; about half the runs of two lines at the similarity
 agree, so they miss each other with a chance of 1 %.
 
-How crowded keys are searched: lines with equal words are one class first. Classes that share a
-key of up to CROWD classes are compared with each other. In a more crowded one all are compared with
-its hub, the class whose keys are the most crowded. Where that leaves several components, the
-classes concerned are proposed again by prefixes: of all runs, ordered from the rarest, a line at the
-similarity shares one among the first six tenths. Runs that many lines hold come last and count only for lines
-made of little else; of these, what a second hub does not connect is compared whole.
+How crowded keys are searched: lines with equal words are one class first. Every class is compared
+with the hub of each of its keys, the class whose keys are the most crowded. Where that leaves
+several components, those that share a key of up to CROWD classes are compared with each other, and those of more
+crowded keys are proposed again by prefixes: of all runs, ordered from the rarest, two lines at the similarity
+share one among the first six tenths. Runs that many lines hold come last and count only for lines made
+of little else; of these, what a second hub does not connect is compared whole.
 
 Of each connected group of lines one occurrence is kept, the first by doc_id and line number.
 Lines under LEAST_WORDS words go only if all words are equal.
@@ -32,22 +32,24 @@ from copse.llm._shared import WORD, drop_tables, maybe_broadcast, table, text_of
 from copse.llm.components import connected_components
 
 MOST_BITS, SIMILARITY, LEAST_WORDS = 24, 0.8, 5
-KEYS, CROWD = 8, 32
+KEYS, ALL, CROWD, FEATURES = 6, 16, 256, 0x3FFF
 
 
 _ASCII = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_UNICODE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}]+"
+_OTHER = r"[^\p{L}\p{M}\p{N}]+"
 _UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
 
 def words_of(line: Column) -> Column:
-    """Lower-case words: what white space, controls, punctuation and symbols leave.
+    """Lower-case words: runs of letters, marks and digits.
 
-    Each character of a script that is written without spaces is a word.
+    In lines of more than two bytes a character, each character of a script that is written
+    without spaces is a word.
     """
-    low = F.lower(line)
-    wide = F.split(F.regexp_replace(low, _UNSPACED, " $1 "), _UNICODE)
-    return F.array_remove(F.when(F.octet_length(line) == F.length(line), F.split(low, _ASCII)).otherwise(wide), "")
+    low, size, chars = F.lower(line), F.octet_length(line), F.length(line)
+    wide = F.split(F.regexp_replace(low, _UNSPACED, " $1 "), _OTHER)
+    words = F.when(size == chars, F.split(low, _ASCII)).when(size <= 2 * chars, F.split(low, _OTHER)).otherwise(wide)
+    return F.array_remove(words, "")
 
 
 def _document() -> list[Column]:
@@ -74,12 +76,12 @@ def _runs(rows: DataFrame, sampled: bool, least_words: int, *keep: str) -> DataF
     if sampled:
         long = sum((F.octet_length(F.get("words", i + k)) for k in (1, 2)), F.octet_length(F.get("words", i))) * n >= 3 * F.col("bytes")
         below = F.shiftrightunsigned("key", 1) < F.lit(float(1 << 63) * 2 * KEYS) / n
-        rows = rows.filter((i <= 0) | (n <= 2 * KEYS) | (below & long))
-    return rows.select(*keep, "key")
+        rows = rows.filter((i <= 0) | (n <= ALL) | (below & long))
+    return rows.select(*keep, "n", "key")
 
 
 def line_keys(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``k1, k2, pos, lid, key``: digest of each line with a word, once with a null key and once with each of its keys.
+    """``k1, k2, pos, lid, n, key``: digest and number of words of each line with a word, once with a null key and once with each of its keys.
 
     Words come out of a generator, so that no later condition makes them a second time.
     """
@@ -88,43 +90,59 @@ def line_keys(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return _runs(lines.withColumn("lid", F.xxhash64("words")), True, least_words, "k1", "k2", "pos", "lid")
 
 
-def _as_characters(words: Column) -> Column:
+def _as_characters(hashes: Column) -> Column:
     """A text with one character for each word (one of 983,040, by the word's hash), so that edits are counted in words."""
-    point = lambda w: F.lit(0x10000) + F.pmod(F.xxhash64(w), F.lit(0xF0000))
-    return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(point(w)), 8, "0")), "UTF-32")), "")
+    points = F.transform(hashes, lambda h: F.concat(F.lit("000"), F.hex(F.lit(0x10000) + F.pmod(h, F.lit(0xF0000)))))
+    return F.decode(F.unhex(F.array_join(points, "")), "UTF-32")
+
+
+def _simhash(hashes: Column) -> Column:
+    """Each bit's majority over the hashes, ties as 0.
+
+    Four counters of 16 bits share a long, so a hash is added to all 64 counters by 16
+    additions; adding 16,384 less the majority to a counter sets its bit 14 where it has won.
+    """
+    names = [f"s{j}" for j in range(16)]
+    ones = F.lit(0x0001000100010001)
+    start = F.struct(*[F.lit(0).cast("long").alias(n) for n in names])
+    bias = (F.lit(0x3FFF) - F.floor(F.size(hashes) / 2)) * ones
+
+    def won(acc: Column) -> Column:
+        out = None
+        for j, n in enumerate(names):
+            bits = F.shiftleft(F.shiftrightunsigned(acc[n] + bias, 14).bitwiseAND(ones), j)
+            out = bits if out is None else out.bitwiseOR(bits)
+        return out
+
+    return F.aggregate(hashes, start, lambda acc, h: F.struct(*[(acc[n] + F.shiftrightunsigned(h, j).bitwiseAND(ones)).alias(n) for j, n in enumerate(names)]), won)
 
 
 def simhashes(rows: DataFrame) -> DataFrame:
-    """``lid, sim`` of rows ``lid, words``: each bit's majority over the hashes of the distinct words, ties as 0.
+    """``lid, sim, line`` of rows ``lid, words``: SimHash of the distinct words, and the words as characters.
 
-    Two counters of 32 bits share a long, so 32 sums count all 64 bits.
+    A line of more than FEATURES distinct words is counted by its FEATURES least hashes.
     """
-    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(0x0000000100000001))).alias(f"s{j}") for j in range(32)]
-    sums = rows.select("lid", F.explode(F.array_distinct("words")).alias("w")).select("lid", F.xxhash64("w").alias("h")).groupBy("lid").agg(F.count(F.lit(1)).alias("n"), *lanes)
-    sim = F.lit(0).cast("long")
-    for j in range(32):
-        low, high = F.col(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"s{j}", 32)
-        sim = sim.bitwiseOR(F.shiftleft((2 * low > F.col("n")).cast("long"), j)).bitwiseOR(F.shiftleft((2 * high > F.col("n")).cast("long"), j + 32))
-    return sums.select("lid", sim.alias("sim"))
+    hashed = rows.select("lid", F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))).alias("hashes"))  # made once
+    features = F.array_distinct("hashes")
+    features = F.when(F.size(features) <= FEATURES, features).otherwise(F.slice(F.sort_array(features), 1, FEATURES))
+    return hashed.select("lid", _as_characters(F.col("hashes")).alias("line"), F.explode(F.array(features)).alias("features")).select("lid", _simhash(F.col("features")).alias("sim"), "line")
 
 
 def _differ(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _line_words(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``lid, words`` of the wanted classes, from the text of each one's first occurrence."""
-    at = classes.join(maybe_broadcast(wanted), "lid").select("first.k1", "first.k2", F.struct("first.pos", "lid").alias("p"))
-    places = written(at.groupBy("k1", "k2").agg(F.collect_list("p").alias("places")), "places")  # lines of one document
+def _texts(wanted: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """``lid, sim, line`` of the wanted classes, from the text of one occurrence each."""
+    at = lines.join(maybe_broadcast(wanted), "lid").groupBy("lid").agg(*[F.first(c).alias(c) for c in ("k1", "k2", "pos")])  # of the same row
+    places = written(at.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "lid")).alias("places")), "places")  # lines of one document
     keyed = docs.select(*_document(), F.split(text_of(), "\n").alias("lines"))
-    lines = keyed.join(maybe_broadcast(places, "places"), ["k1", "k2"]).select("lines", F.explode("places").alias("p")).select("p.lid", F.get("lines", F.col("p.pos")).alias("line"))
-    return written(lines.select("lid", F.explode(F.array(words_of(F.col("line")))).alias("words")).dropDuplicates(["lid"]), "line-words")
+    found = keyed.join(maybe_broadcast(places, "places"), ["k1", "k2"]).select("lines", F.explode("places").alias("p")).select("p.lid", F.get("lines", F.col("p.pos")).alias("line"))
+    return written(simhashes(found.select("lid", words_of(F.col("line")).alias("words"))).dropDuplicates(["lid"]), "line-texts")
 
 
-def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` whose sequences of words reach the edit similarity."""
-    needed = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
-    texts = written(words.join(maybe_broadcast(written(needed, "needed")), "lid").select("lid", _as_characters(F.col("words")).alias("line")), "line-texts")
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
     longest = F.greatest(F.length("x"), F.length("y"))
     both = both.withColumn("allowed", F.floor((1 - F.lit(similarity)) * longest + F.lit(1e-9)).cast("int")).filter(F.abs(F.length("x") - F.length("y")) <= F.col("allowed"))
@@ -134,90 +152,91 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
     return both.filter(near | (F.expr("levenshtein(x, y, allowed)") >= 0)).select("a", "b")
 
 
-def _crowded(keys: DataFrame, sims: DataFrame) -> DataFrame:
-    """``key, lid, crowd, sim, n`` of the keys that several classes share; crowd counts the classes."""
-    crowds = keys.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
-    return keys.join(crowds, "key").join(sims, "lid")
+def _alike(a: str, b: str, similarity: float) -> Column:
+    """Whether two numbers of words allow the similarity."""
+    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - F.lit(1e-9)
 
 
-def _each_other(members: DataFrame, most_bits: int, similarity: float, *same: str) -> DataFrame:
-    """Pairs of classes with a key in common and likely to be similar; ``same`` names columns that must differ."""
-    other = members.select("key", F.col("lid").alias("b"), F.col("sim").alias("sim_b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in same])
-    near = (_differ("sim", "sim_b") <= most_bits) & (F.least("n", "n_b") >= F.lit(similarity) * F.greatest("n", "n_b") - F.lit(1e-9))
-    for c in same:
-        near = near & (F.col(c) != F.col(f"{c}_b"))
-    return members.join(other, (members["key"] == other["key"]) & (F.col("lid") < F.col("b")) & near).select(F.col("lid").alias("a"), "b")
+def _with_company(keys: DataFrame, similarity: float) -> DataFrame:
+    """``key, lid, n, crowd`` of the keys that several classes share; in keys of up to CROWD only classes with another of like length."""
+    crowds = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"), "line-crowds")
+    shared = keys.join(maybe_broadcast(crowds), "key")
+    here = Window.partitionBy("key").orderBy("n")  # of CROWD rows
+    small = shared.filter(F.col("crowd") <= CROWD).withColumns({"less": F.lag("n").over(here), "more": F.lead("n").over(here)})
+    small = small.filter(_alike("less", "n", similarity) | _alike("more", "n", similarity)).drop("less", "more")
+    return written(small.unionByName(shared.filter(F.col("crowd") > CROWD)), "line-members")
 
 
-def _stars(crowded: DataFrame, weights: DataFrame, most_bits: int) -> DataFrame:
-    """Pairs of each class with the hubs of its keys: the class whose keys are the most crowded."""
-    hubs = crowded.join(weights, "lid").groupBy("key").agg(F.max(F.struct("weight", "lid", "sim")).alias("hub")).select("key", "hub.lid", "hub.sim").toDF("key", "b", "sim_b")
-    pairs = crowded.join(hubs, "key").filter((F.col("lid") != F.col("b")) & (_differ("sim", "sim_b") <= most_bits))
-    return pairs.select(F.least("lid", "b").alias("a"), F.greatest("lid", "b").alias("b"))
+def _each_other(members: DataFrame, most_bits: int, similarity: float) -> DataFrame:
+    """Pairs of classes of several components with a key in common, near in bits and length."""
+    other = members.select("key", F.col("lid").alias("b"), F.col("sim").alias("sim_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    near = (_differ("sim", "sim_b") <= most_bits) & _alike("n", "n_b", similarity) & (F.col("root") != F.col("root_b"))
+    return members.join(other, (members["key"] == other["key"]) & (F.col("lid") < F.col("b")) & near).select(F.col("lid").alias("a"), "b").distinct()
 
 
-def _split(crowded: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of crowded keys whose classes are still in several components, with ``root``."""
-    placed = crowded.join(maybe_broadcast(found.withColumnRenamed("node", "lid")), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
-    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    return written(placed.join(several, "key"), "line-split")
+def _stars(members: DataFrame, most_bits: int, similarity: float) -> DataFrame:
+    """Pairs of each class with the hubs of its keys: the class whose keys are the most crowded."""
+    weights = members.groupBy("lid").agg(F.sum("crowd").alias("weight"))
+    hubs = members.join(weights, "lid").groupBy("key").agg(F.max(F.struct("weight", "lid", "sim", "n")).alias("hub"))
+    hubs = hubs.select("key", "hub.lid", "hub.sim", "hub.n").toDF("key", "b", "sim_b", "n_b")
+    pairs = members.join(hubs, "key").filter((F.col("lid") != F.col("b")) & (_differ("sim", "sim_b") <= most_bits) & _alike("n", "n_b", similarity))
+    return pairs.select(F.least("lid", "b").alias("a"), F.greatest("lid", "b").alias("b")).distinct()
 
 
-def _searched(keys: DataFrame, sims: DataFrame, words: DataFrame, most_bits: int, similarity: float, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links among classes by their keys (with earlier links), components, and the rows of crowded keys that hubs have left in pieces."""
-    members = written(_crowded(keys, sims), "line-members")
-    small, large = members.filter(F.col("crowd") <= CROWD), members.filter(F.col("crowd") > CROWD)
-    weights = members.groupBy("lid").agg(F.sum("crowd").alias("weight"))
-    pairs = written(_each_other(small, most_bits, similarity).union(_stars(large, weights, most_bits)).distinct(), "line-pairs")
-    new = written(_verified(pairs, words, similarity), "line-links")
-    links = new if links is None else links.union(new)
+def _left(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of keys whose classes are in several components of the links, with ``root``."""
     found = written(connected_components(links), "line-components")
-    return links, found, _split(large, found)
+    placed = members.join(maybe_broadcast(found.withColumnRenamed("node", "lid")), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
+    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    return written(placed.join(several, "key"), "line-left")
 
 
-def _prefixes(wanted: DataFrame, words: DataFrame, least_words: int) -> DataFrame:
-    """``key, lid``: the rarest six tenths of each wanted class's distinct runs, rarity counted among the wanted."""
-    lines = words.join(maybe_broadcast(wanted), "lid").select("lid", "words")
-    runs = written(_runs(lines, False, least_words, "lid").filter("key is not null").distinct(), "line-runs")
+def _prefixes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """``key, lid, n``: the rarest six tenths of each wanted class's distinct runs, rarity counted among the wanted."""
+    lines = texts.join(maybe_broadcast(wanted), "lid").select("lid", F.explode(F.array(F.array_remove(F.split("line", ""), ""))).alias("words"))
+    runs = written(_runs(lines, False, 1, "lid").filter("key is not null").distinct(), "line-runs")
     held = runs.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
     here = Window.partitionBy("lid")  # runs of one line
-    ranked = runs.join(held, "key").select("key", "lid", F.row_number().over(here.orderBy("held", "key")).alias("at"), F.count(F.lit(1)).over(here).alias("of"))
-    return ranked.filter(F.col("at") <= 0.6 * F.col("of") + 3).select("key", "lid")
-
-
-def line_groups(docs: DataFrame, keyed: DataFrame, least_words: int = LEAST_WORDS, most_bits: int = MOST_BITS, similarity: float = SIMILARITY) -> DataFrame:
-    """``lid, first`` of each class of lines that occurs more than once or has a linked class: the group's first occurrence."""
-    lines = keyed.filter("key is null")
-    classes = written(lines.groupBy("lid").agg(F.min(F.struct("k1", "k2", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "line-classes")
-    each = keyed.filter("key is not null").select("key", "lid")
-    shared = written(each.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).filter("lo <> hi").select("key"), "line-shared")
-    keys = written(each.join(maybe_broadcast(shared), "key").distinct(), "line-keys")
-    words = _line_words(written(keys.select("lid").distinct(), "wanted"), classes, docs)
-    sims = written(simhashes(words).join(words.select("lid", F.size("words").alias("n")), "lid"), "line-sims")
-
-    links, found, left = _searched(keys, sims, words, most_bits, similarity)
-    if not left.isEmpty():
-        again = _prefixes(written(left.select("lid").distinct(), "wanted"), words, least_words)
-        links, found, left = _searched(again, sims, words, most_bits, similarity, links)
-        if not left.isEmpty():
-            rest = written(_each_other(left, most_bits, similarity, "root").distinct(), "line-rest")
-            found = written(connected_components(links.union(_verified(rest, words, similarity))), "line-components")
-
-    grouped = classes.select(F.col("lid").alias("node"), "first").join(maybe_broadcast(found), "node")
-    firsts = grouped.groupBy("root").agg(F.min("first").alias("group_first"))
-    of_class = written(grouped.join(firsts, "root").select(F.col("node").alias("lid"), F.col("group_first").alias("first")), "grouped")
-    out = written(of_class.union(classes.filter("n > 1").select("lid", "first").join(of_class.select("lid"), "lid", "left_anti")), "line-groups")
-    drop_tables(classes, shared, keys, words, sims, of_class)
-    return out
+    ranked = runs.join(held, "key").select("key", "lid", "n", F.row_number().over(here.orderBy("held", "key")).alias("at"), F.count(F.lit(1)).over(here).alias("of"))
+    return ranked.filter(F.col("at") <= 0.6 * F.col("of") + 3).select("key", "lid", "n")
+
+
+def line_links(keys: DataFrame, lines: DataFrame, docs: DataFrame, most_bits: int = MOST_BITS, similarity: float = SIMILARITY) -> DataFrame:
+    """``a, b``: linked classes, enough of them to connect all that are connected, from distinct ``key, lid, n``."""
+    members = _with_company(keys, similarity)
+    texts = _texts(written(members.select("lid").distinct(), "wanted"), lines, docs)
+    sims = texts.select("lid", "sim")
+    members = written(members.join(sims, "lid"), "line-members")
+    links = written(_verified(_stars(members, most_bits, similarity), texts, similarity), "line-links")
+    left = _left(members, links)
+    if left.isEmpty():
+        return links
+    links = written(links.union(_verified(_each_other(left.filter(F.col("crowd") <= CROWD), most_bits, similarity), texts, similarity)), "line-links")
+    wanted = written(left.filter(F.col("crowd") > CROWD).select("lid").distinct(), "wanted")
+    if wanted.isEmpty():
+        return links
+    members = written(_with_company(_prefixes(wanted, texts), similarity).join(sims, "lid"), "line-members")
+    links = written(links.union(_verified(_stars(members, most_bits, similarity), texts, similarity)), "line-links")
+    return written(links.union(_verified(_each_other(_left(members, links), most_bits, similarity), texts, similarity)), "line-links")
 
 
 def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS, most_bits: int = MOST_BITS, similarity: float = SIMILARITY) -> DataFrame:
     """``k1, k2, dropped``: the numbers (from 0) of the lines that each document loses."""
     keyed = written(line_keys(docs, least_words), "lines")
-    groups = line_groups(docs, keyed, least_words, most_bits, similarity)
-    gone = keyed.filter("key is null").drop("key").join(maybe_broadcast(groups), "lid").filter(F.struct("k1", "k2", "pos") != F.col("first"))
+    lines = keyed.filter("key is null").select("k1", "k2", "pos", "lid")
+    each = keyed.filter("key is not null").select("key", "lid", "n")
+    shared = written(each.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).filter("lo <> hi").select("key"), "line-shared")
+    keys = written(each.join(maybe_broadcast(shared), "key").distinct(), "line-keys")
+    found = written(connected_components(line_links(keys, lines, docs, most_bits, similarity)), "line-components")
+    # Occurrences of the classes that are linked or stand more than once.
+    often = lines.groupBy("lid").agg(F.count(F.lit(1)).alias("times"))
+    groups = often.join(maybe_broadcast(found.withColumnRenamed("node", "lid")), "lid", "left").filter("times > 1 or root is not null")
+    groups = written(groups.select("lid", F.coalesce("root", "lid").alias("root")), "line-groups")
+    each = written(lines.join(maybe_broadcast(groups), "lid").drop("lid"), "line-occurrences")
+    firsts = each.groupBy("root").agg(F.min(F.struct("k1", "k2", "pos")).alias("first"))
+    gone = each.join(firsts, "root").filter(F.struct("k1", "k2", "pos") != F.col("first"))
     out = written(gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("dropped")), "dropped")  # lines of one document
-    drop_tables(keyed, groups)
+    drop_tables(keyed, shared, keys, found, groups, each)
     return out
 
 

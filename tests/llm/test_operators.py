@@ -6,6 +6,7 @@ import base64
 import collections
 import hashlib
 import itertools
+import json
 import math
 import re
 import zlib
@@ -195,35 +196,56 @@ def test_articles_are_taken_whole(spark):
     assert all(got[9 + i] == f"Some text of page {i} that fills it\nsame\nsame\nsame" for i in range(3))  # nine blocks, but three pages
 
 
-def test_names_do_not_cut_articles():
-    def inside(h):
-        return [t for p, t, _ in wrappers.blocks(wrappers.parse(h)) if p.startswith("!")]
+def alone(h):
+    """The main text's blocks of a page that is all of its host."""
+    return wrappers.Placed(wrappers.skeleton(wrappers.parse(h))).text(wrappers.parse(h)).split("\n")
+
 
+def test_names_do_not_cut_articles():
     article = "<article class='post category-notices tag-social has-comments'><p>Story</p></article>"
     for around in ("<div class='content with-sidebar'>%s</div>", "<section id='comments-enabled-post'>%s</section>", "<div class='no-header'>%s</div>", "<div class=widget><div class=header>%s</div></div>"):
-        assert inside("<html><body>" + around % article + "</body></html>") == ["Story"]
-    assert inside("<article class=promo><p>Story</p></article>") == ["Story"]
-    assert inside("<section id=comments><article><p>A long reply of a reader</p></article></section><article><p>Story</p></article>") == ["Story"]
-    assert inside("<article><p>Story</p><div class='related-posts'>x</div><ul class=share-buttons><li>y</ul></article>") == ["Story"]
-    text = lambda h: [t for _, t, _ in wrappers.blocks(wrappers.parse(h))]
-    assert text("<div class=widget><p>All the text of the page</p></div><div class=widget><p>less</p></div>") == ["All the text of the page"]
+        assert alone("<html><body>" + around % article + "</body></html>") == ["Story"]
+    assert alone("<article class=promo><p>Story</p></article>") == ["Story"]
+    assert alone("<section id=comments><article><p>A long reply of a reader</p></article></section><article><p>Story</p></article>") == ["Story"]
+    assert alone("<article><p>Story</p><div class='related-posts'>x</div><ul class=share-buttons><li>y</ul></article>") == ["Story"]
+    assert alone("<div class=widget><p>All the text of the page</p></div><div class=widget><p>less</p></div>") == ["All the text of the page"]
 
 
 def test_wrappers_fold_and_align():
-    def skeleton(h):
-        import json
-
-        return json.dumps(wrappers.skeleton(wrappers.parse(h)))
+    def inferred(*pages):
+        return wrappers.expression(json.loads(wrappers._aligned_all([json.dumps(wrappers.skeleton(wrappers.parse(h))) for h in pages])))
 
     a, b, c = "<div><h2>x</h2><p>1</p><p>2</p></div>", "<div><h2>y</h2><p>1</p><table><td>z</table></div>", "<div><p>1</p></div>"
-    import json
-
-    text = wrappers.expression(json.loads(wrappers.infer([skeleton(x) for x in (a, b, c)])))
-    assert text == "#(div(h2(#)? p(#)+ table(td(#))?))"
-    groups = wrappers.expression(wrappers.skeleton(wrappers.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl>")))
-    assert groups == "#(dl((dt(#) dd(#))+))"
-    both = wrappers.expression(json.loads(wrappers.infer([skeleton("<dl><dt>a<dd>b<dt>c<dd>d</dl>"), skeleton("<dl><dt>a<dd>b</dl>")])))
-    assert both == "#(dl((dt(#) dd(#))+))"
+    assert inferred(a, b, c) == "#(div(h2(#)? p(#)+ table(td(=))?))"
+    assert inferred("<dl><dt>a<dd>b<dt>c<dd>d</dl>") == "#(dl((dt(#) dd(#))+))"
+    assert inferred("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "<dl><dt>a<dd>b</dl>") == "#(dl((dt(#) dd(#))+))"
+    assert inferred("<p>same<div>x</div>", "<p>same<div>y</div>") == "#(p(=) div(#))"  # equal text is template
+    many = ["<div>" + "".join(f"<p class='n{chr(97 + (7 * i + k) % 26)}{chr(97 + k % 26)}{chr(97 + i % 26)}'>{i}</p>" for i in range(60)) + "</div>" for k in range(20)]
+    assert inferred(*many) == "#(div(p.*(#)*))"
+
+
+def nameless(i, body="div"):
+    """A page without article, roles or names: links, a constant notice, a line that varies, the story, and a foot."""
+    links = "".join(f"<li><a href=/{i}{k}>Section {i} {k}</a>" for k in range(30))
+    story = f"<h2>Story {i}</h2><p>Text number {i} says something that no other page says, at length.</p><p>And so does paragraph two of {i}.</p>"
+    return f"<html><body><div><ul>{links}</ul></div><p>This notice is the same on every page and it is as long as stories are, or longer still.</p><table><td>Seen {i} times</table><{body}>{story}<p>Our paper</p></{body}><center>About {i}</center></body></html>"
+
+
+def test_wrappers_decide_without_names(spark, monkeypatch):
+    pages = [(f"http://n.example/{i}", nameless(i)) for i in range(24)] + [(f"http://n.example/{i}", nameless(i, "section")) for i in range(24, 30)]
+    want = {i: f"Story {i}\nText number {i} says something that no other page says, at length.\nAnd so does paragraph two of {i}." for i in range(30)}
+    got = texts_of(spark, pages)
+    assert all(got[i].startswith(want[i]) and "notice" not in got[i] and "Section" not in got[i] and "Seen" not in got[i] and "About" not in got[i] for i in range(30))
+    with monkeypatch.context() as m:  # without what other pages tell, each page is a host of its own
+        one = wrappers.infer_wrappers
+        m.setattr(wrappers, "host_of", lambda url: F.coalesce(url, F.lit("")))
+        assert wrappers.infer_wrappers is one and texts_of(spark, pages) != got
+
+
+def test_wrappers_do_not_depend_on_tasks(spark):
+    pages = [(i, f"http://n.example/{i}", nameless(i)) for i in range(60)]
+    of = lambda n: {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(n)).collect()}
+    assert of(1) == of(37)
 
 
 def test_all_pages_of_the_table(spark, small):
