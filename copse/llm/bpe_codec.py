@@ -74,10 +74,11 @@ class Codec:
 
     def __init__(self, content: bytes, pattern: str):
         self.ranks = read_ranks(content)
-        self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.split = regex.compile(pattern).findall
         self.to_char = {i: c for i, c in enumerate(byte_characters())}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.ranks))
+        back = {c: b for b, c in self.to_char.items()}
+        self.bytes_of = {i: bytes(map(back.__getitem__, self.model.id_to_piece(i))) for i in range(len(self.ranks))}  # pieces, unmapped
         self.memo: dict[str, tuple[str, int]] = {}
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -160,9 +161,9 @@ def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         content = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = {r: t for t, r in read_ranks(content).items()}
+        c = codec(content, ".")
         for batch in batches:
-            texts = [None if x is None else b"".join(bytes_of[i] for i in x).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
+            texts = [None if x is None else c.decode(x).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

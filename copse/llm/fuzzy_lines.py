@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from copse.llm._shared import WORD, drop_tables, maybe_broadcast, table, text_of, written
 from copse.llm.components import connected_components
 
-MOST_BITS, SIMILARITY, LEAST_WORDS = 24, 0.8, 5
+MOST_BITS, SIMILARITY, LEAST_WORDS = 21, 0.8, 5
 KEYS, ALL, CROWD, FEATURES = 6, 16, 256, 0x3FFF
 
 
@@ -62,7 +62,7 @@ def _run(at: Column, words: int) -> Column:
 
 
 def _runs(rows: DataFrame, sampled: bool, least_words: int, *keep: str) -> DataFrame:
-    """The kept columns of lines (``words``) with ``key``, a row for each run of words that is a key, and one with null.
+    """The kept columns of lines (``words``) with ``n`` words, and a row for each run of words that is a ``key``, at word ``i``, and one with null.
 
     Everything is made row by row in generated code: a generator counts through the runs.
     """
@@ -77,17 +77,19 @@ def _runs(rows: DataFrame, sampled: bool, least_words: int, *keep: str) -> DataF
         long = sum((F.octet_length(F.get("words", i + k)) for k in (1, 2)), F.octet_length(F.get("words", i))) * n >= 3 * F.col("bytes")
         below = F.shiftrightunsigned("key", 1) < F.lit(float(1 << 63) * 2 * KEYS) / n
         rows = rows.filter((i <= 0) | (n <= ALL) | (below & long))
-    return rows.select(*keep, "n", "key")
+    place = F.when(i <= n - 3, i).otherwise(i - n + 2).alias("i")
+    return rows.select(*keep, "n", place, "key")
 
 
 def line_keys(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``k1, k2, pos, lid, n, key``: digest and number of words of each line with a word, once with a null key and once with each of its keys.
+    """``k1, k2, pos, lid, n, i, key``: digest and number of words of each line with a word, once with a null key and, without k1, k2 and pos, once with each of its keys and its place.
 
     Words come out of a generator, so that no later condition makes them a second time.
     """
     rows = docs.select(*_document(), F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
     lines = rows.select("k1", "k2", "pos", F.explode(F.array(words_of(F.col("line")))).alias("words")).filter(F.size("words") > 0)
-    return _runs(lines.withColumn("lid", F.xxhash64("words")), True, least_words, "k1", "k2", "pos", "lid")
+    rows = _runs(lines.withColumn("lid", F.xxhash64("words")), True, least_words, "k1", "k2", "pos", "lid")
+    return rows.select(*[F.when(F.col("key").isNull(), F.col(c)).alias(c) for c in ("k1", "k2", "pos")], "lid", "n", "i", "key")
 
 
 def _as_characters(hashes: Column) -> Column:
@@ -96,21 +98,21 @@ def _as_characters(hashes: Column) -> Column:
     return F.decode(F.unhex(F.array_join(points, "")), "UTF-32")
 
 
-def _simhash(hashes: Column) -> Column:
-    """Each bit's majority over the hashes, ties as 0.
+def _simhash(hashes: Column, lane: int) -> Column:
+    """Each bit's majority over up to 2 ** (lane - 2) - 1 hashes, ties as 0.
 
-    Four counters of 16 bits share a long, so a hash is added to all 64 counters by 16
-    additions; adding 16,384 less the majority to a counter sets its bit 14 where it has won.
+    Counters of ``lane`` bits lie side by side in longs, so a hash is added to all 64 counters by
+    ``lane`` additions; adding half a counter's range less the majority sets its last bit but one where it has won.
     """
-    names = [f"s{j}" for j in range(16)]
-    ones = F.lit(0x0001000100010001)
+    names = [f"s{j}" for j in range(lane)]
+    ones = F.lit(sum(1 << k for k in range(0, 64, lane)))
     start = F.struct(*[F.lit(0).cast("long").alias(n) for n in names])
-    bias = (F.lit(0x3FFF) - F.floor(F.size(hashes) / 2)) * ones
+    bias = (F.lit((1 << lane - 2) - 1) - F.floor(F.size(hashes) / 2)) * ones
 
     def won(acc: Column) -> Column:
         out = None
         for j, n in enumerate(names):
-            bits = F.shiftleft(F.shiftrightunsigned(acc[n] + bias, 14).bitwiseAND(ones), j)
+            bits = F.shiftleft(F.shiftrightunsigned(acc[n] + bias, lane - 2).bitwiseAND(ones), j)
             out = bits if out is None else out.bitwiseOR(bits)
         return out
 
@@ -125,7 +127,7 @@ def simhashes(rows: DataFrame) -> DataFrame:
     hashed = rows.select("lid", F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))).alias("hashes"))  # made once
     features = F.array_distinct("hashes")
     features = F.when(F.size(features) <= FEATURES, features).otherwise(F.slice(F.sort_array(features), 1, FEATURES))
-    return hashed.select("lid", _as_characters(F.col("hashes")).alias("line"), F.explode(F.array(features)).alias("features")).select("lid", _simhash(F.col("features")).alias("sim"), "line")
+    return hashed.select("lid", _as_characters(F.col("hashes")).alias("line"), F.explode(F.array(features)).alias("features")).select("lid", F.when(F.size("features") < 64, _simhash(F.col("features"), 8)).otherwise(_simhash(F.col("features"), 16)).alias("sim"), "line")
 
 
 def _differ(a: str, b: str) -> Column:
@@ -152,82 +154,100 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.filter(near | (F.expr("levenshtein(x, y, allowed)") >= 0)).select("a", "b")
 
 
-def _alike(a: str, b: str, similarity: float) -> Column:
-    """Whether two numbers of words allow the similarity."""
-    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - F.lit(1e-9)
+def _alike(similarity: float) -> Column:
+    """Whether two lines (the second ``_b``) can be so similar by their numbers of words before and after the run that they share."""
+    before, after = F.abs(F.col("i") - F.col("i_b")), F.abs((F.col("n") - F.col("i")) - (F.col("n_b") - F.col("i_b")))
+    return before + after <= (1 - F.lit(similarity)) * F.greatest("n", "n_b") + F.lit(1e-9)
 
 
 def _with_company(keys: DataFrame, similarity: float) -> DataFrame:
-    """``key, lid, n, crowd`` of the keys that several classes share; in keys of up to CROWD only classes with another of like length."""
-    crowds = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"), "line-crowds")
+    """``key, lid, n, i, crowd`` of the keys that several classes share; in keys of up to CROWD only classes with another of like length and like place."""
+    crowds = written(keys.groupBy("key").agg(F.count_distinct("lid").alias("crowd")).filter("crowd > 1"), "line-crowds")
     shared = keys.join(maybe_broadcast(crowds), "key")
-    here = Window.partitionBy("key").orderBy("n")  # of CROWD rows
-    small = shared.filter(F.col("crowd") <= CROWD).withColumns({"less": F.lag("n").over(here), "more": F.lead("n").over(here)})
-    small = small.filter(_alike("less", "n", similarity) | _alike("more", "n", similarity)).drop("less", "more")
+    small = shared.filter(F.col("crowd") <= CROWD)
+    reach = (1 / F.lit(similarity) - 1) * F.col("n") + F.lit(1e-9)  # edits that the longer of two lines allows
+    for c in ("n", "i"):
+        here = Window.partitionBy("key").orderBy(c)  # of CROWD lines
+        small = small.withColumns({"less": F.lag(c).over(here), "more": F.lead(c).over(here)})
+        small = small.filter((F.col(c) - F.col("less") <= reach) | (F.col("more") - F.col(c) <= reach)).drop("less", "more")
     return written(small.unionByName(shared.filter(F.col("crowd") > CROWD)), "line-members")
 
 
 def _each_other(members: DataFrame, most_bits: int, similarity: float) -> DataFrame:
-    """Pairs of classes of several components with a key in common, near in bits and length."""
-    other = members.select("key", F.col("lid").alias("b"), F.col("sim").alias("sim_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    near = (_differ("sim", "sim_b") <= most_bits) & _alike("n", "n_b", similarity) & (F.col("root") != F.col("root_b"))
+    """Pairs of classes of several components with a key in common, near in bits and place."""
+    other = members.select("key", F.col("lid").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("sim", "n", "i", "root")])
+    near = (_differ("sim", "sim_b") <= most_bits) & _alike(similarity) & (F.col("root") != F.col("root_b"))
     return members.join(other, (members["key"] == other["key"]) & (F.col("lid") < F.col("b")) & near).select(F.col("lid").alias("a"), "b").distinct()
 
 
 def _stars(members: DataFrame, most_bits: int, similarity: float) -> DataFrame:
     """Pairs of each class with the hubs of its keys: the class whose keys are the most crowded."""
     weights = members.groupBy("lid").agg(F.sum("crowd").alias("weight"))
-    hubs = members.join(weights, "lid").groupBy("key").agg(F.max(F.struct("weight", "lid", "sim", "n")).alias("hub"))
-    hubs = hubs.select("key", "hub.lid", "hub.sim", "hub.n").toDF("key", "b", "sim_b", "n_b")
-    pairs = members.join(hubs, "key").filter((F.col("lid") != F.col("b")) & (_differ("sim", "sim_b") <= most_bits) & _alike("n", "n_b", similarity))
+    hubs = members.join(weights, "lid").groupBy("key").agg(F.max(F.struct("weight", "lid", "sim", "n", "i")).alias("hub"))
+    hubs = hubs.select("key", F.col("hub.lid").alias("b"), *[F.col(f"hub.{c}").alias(f"{c}_b") for c in ("sim", "n", "i")])
+    pairs = members.join(hubs, "key").filter((F.col("lid") != F.col("b")) & (_differ("sim", "sim_b") <= most_bits) & _alike(similarity))
     return pairs.select(F.least("lid", "b").alias("a"), F.greatest("lid", "b").alias("b")).distinct()
 
 
-def _left(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of keys whose classes are in several components of the links, with ``root``."""
-    found = written(connected_components(links), "line-components")
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with more links: only their roots are connected anew."""
+    of = lambda end: found.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    ends = written(ends.filter("a <> b").distinct(), "line-roots")
+    if ends.isEmpty():
+        return found
+    roots = written(connected_components(ends), "line-components").toDF("at", "to")
+    out = found.join(roots, found["root"] == roots["at"], "left").select("node", F.coalesce("to", "root").alias("root"))
+    alone = roots.join(found.select(F.col("node").alias("at")), "at", "left_anti")
+    return written(out.union(alone.select("at", "to")), "line-components")
+
+
+def _left(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of keys whose classes are in several components, with ``root``."""
     placed = members.join(maybe_broadcast(found.withColumnRenamed("node", "lid")), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
     several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     return written(placed.join(several, "key"), "line-left")
 
 
 def _prefixes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """``key, lid, n``: the rarest six tenths of each wanted class's distinct runs, rarity counted among the wanted."""
+    """``key, lid, n, i``: the rarest six tenths of each wanted class's distinct runs, rarity counted among the wanted."""
     lines = texts.join(maybe_broadcast(wanted), "lid").select("lid", F.explode(F.array(F.array_remove(F.split("line", ""), ""))).alias("words"))
     runs = written(_runs(lines, False, 1, "lid").filter("key is not null").distinct(), "line-runs")
     held = runs.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
     here = Window.partitionBy("lid")  # runs of one line
-    ranked = runs.join(held, "key").select("key", "lid", "n", F.row_number().over(here.orderBy("held", "key")).alias("at"), F.count(F.lit(1)).over(here).alias("of"))
-    return ranked.filter(F.col("at") <= 0.6 * F.col("of") + 3).select("key", "lid", "n")
+    ranked = runs.join(held, "key").select("key", "lid", "n", "i", F.row_number().over(here.orderBy("held", "key")).alias("at"), F.count(F.lit(1)).over(here).alias("of"))
+    return ranked.filter(F.col("at") <= 0.6 * F.col("of") + 3).select("key", "lid", "n", "i")
 
 
-def line_links(keys: DataFrame, lines: DataFrame, docs: DataFrame, most_bits: int = MOST_BITS, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b``: linked classes, enough of them to connect all that are connected, from distinct ``key, lid, n``."""
+def line_components(keys: DataFrame, lines: DataFrame, docs: DataFrame, most_bits: int = MOST_BITS, similarity: float = SIMILARITY) -> DataFrame:
+    """``node, root`` of the classes with a link, from distinct ``key, lid, n, i``."""
     members = _with_company(keys, similarity)
     texts = _texts(written(members.select("lid").distinct(), "wanted"), lines, docs)
     sims = texts.select("lid", "sim")
     members = written(members.join(sims, "lid"), "line-members")
-    links = written(_verified(_stars(members, most_bits, similarity), texts, similarity), "line-links")
-    left = _left(members, links)
+    verified = lambda pairs: written(_verified(pairs, texts, similarity), "line-links")
+    found = written(connected_components(verified(_stars(members, most_bits, similarity))), "line-components")
+    left = _left(members, found)
     if left.isEmpty():
-        return links
-    links = written(links.union(_verified(_each_other(left.filter(F.col("crowd") <= CROWD), most_bits, similarity), texts, similarity)), "line-links")
+        return found
+    links = verified(_each_other(left.filter(F.col("crowd") <= CROWD), most_bits, similarity))
     wanted = written(left.filter(F.col("crowd") > CROWD).select("lid").distinct(), "wanted")
+    found = _joined(found, links)
     if wanted.isEmpty():
-        return links
+        return found
     members = written(_with_company(_prefixes(wanted, texts), similarity).join(sims, "lid"), "line-members")
-    links = written(links.union(_verified(_stars(members, most_bits, similarity), texts, similarity)), "line-links")
-    return written(links.union(_verified(_each_other(_left(members, links), most_bits, similarity), texts, similarity)), "line-links")
+    found = _joined(found, verified(_stars(members, most_bits, similarity)))
+    return _joined(found, verified(_each_other(_left(members, found), most_bits, similarity)))
 
 
 def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS, most_bits: int = MOST_BITS, similarity: float = SIMILARITY) -> DataFrame:
     """``k1, k2, dropped``: the numbers (from 0) of the lines that each document loses."""
     keyed = written(line_keys(docs, least_words), "lines")
     lines = keyed.filter("key is null").select("k1", "k2", "pos", "lid")
-    each = keyed.filter("key is not null").select("key", "lid", "n")
+    each = keyed.filter("key is not null").select("key", "lid", "n", "i")
     shared = written(each.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).filter("lo <> hi").select("key"), "line-shared")
     keys = written(each.join(maybe_broadcast(shared), "key").distinct(), "line-keys")
-    found = written(connected_components(line_links(keys, lines, docs, most_bits, similarity)), "line-components")
+    found = line_components(keys, lines, docs, most_bits, similarity)
     # Occurrences of the classes that are linked or stand more than once.
     often = lines.groupBy("lid").agg(F.count(F.lit(1)).alias("times"))
     groups = often.join(maybe_broadcast(found.withColumnRenamed("node", "lid")), "lid", "left").filter("times > 1 or root is not null")

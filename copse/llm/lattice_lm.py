@@ -1,10 +1,13 @@
 """Likelihood of texts under a subword lattice.
 
 The pieces and their scores come from an existing vocabulary; nothing adds or drops a
-piece. The scores order the pieces, so they give the first weights (probability falling as
-one over the rank). Weights are then re-estimated from the training documents' distinct
-words by expectation over all segmentations (forward-backward), which keeps every piece
-possible.
+piece. Scores of a BPE file are negative ranks, no log probabilities, so they are normalised as such:
+probability falling as one over the rank. ``vocabulary_score`` is the marginal under these weights
+alone, with nothing learnt.
+
+``score`` is that of the model adapted to the training documents. Weights are re-estimated from their
+distinct words by expectation over all segmentations (forward-backward), which keeps every
+piece possible.
 
 A text is a sequence of words, each with a word mark in front, and an end. A word's
 probability is the sum over all paths through its lattice, found by a forward recursion in
@@ -25,14 +28,15 @@ words.
 
 from __future__ import annotations
 
+import itertools
 import math
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -251,8 +255,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.Reco
         index.default_factory = index.__len__  # a new word has the next number
         return index, [], 0
 
+    task, chunks = TaskContext.get().partitionId(), itertools.count()
+
     def flush(index, docs):
-        chunk = uuid.uuid4().int >> 66
+        chunk = (task << 20) + next(chunks)  # small numbers take little room in a shuffle
         train = np.zeros((len(index), classes), np.int64)
         for z in range(classes):
             of_class = [ids for _, held, of, ids in docs if of == z and not held]
@@ -307,20 +313,21 @@ def _expected(batches: Iterator[pa.RecordBatch], model: bytes, log_p: np.ndarray
 
 
 def _scored_words(batches: Iterator[pa.RecordBatch], model: bytes, log_p: np.ndarray, word_model: WordModel) -> Iterator[pa.RecordBatch]:
-    """Each word's count and its log probability in each class."""
-    lattice = Lattice(Vocabulary(model), log_p)
-    names = ["word", "c", *[f"l{z}" for z in range(len(log_p))]]
+    """Each word's count, its log probability in each class, and that under the vocabulary's weights."""
+    vocabulary, k = Vocabulary(model), len(log_p)
+    lattice = Lattice(vocabulary, np.vstack([log_p, vocabulary.first_weights()]))
+    names = ["word", "c", *[f"l{z}" for z in range(k)], "own"]
     for batch in batches:
         words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
-        c = np.array(batch.column("c").to_pylist(), dtype=float).reshape(len(words), len(log_p))
-        pieces = np.zeros((len(words), len(log_p)))
+        c = np.array(batch.column("c").to_pylist(), dtype=float).reshape(len(words), k)
+        pieces = np.zeros((len(words), k + 1))
         for part in _batches(words):
             if part and len(words[part[0]]) <= LONG:
                 pieces[part] = Batch(lattice, [words[i] for i in part]).log_probability()
             elif part:
                 pieces[part[0]] = lattice.log_probability(words[part[0]])
-        logs = word_model.log_words(c, pieces)
-        yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c.sum(axis=1).astype(np.int64)), *[pa.array(logs[:, z], pa.float64()) for z in range(len(log_p))]], names)
+        logs = np.hstack([word_model.log_words(c, pieces[:, :k]), pieces[:, k:]])
+        yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c.sum(axis=1).astype(np.int64)), *[pa.array(x, pa.float64()) for x in logs.T]], names)
 
 
 class WordModel:
@@ -351,13 +358,13 @@ class WordModel:
         return self.log_words(self.ends[None, :], np.full((1, len(self.ends)), -np.inf))[0]
 
 
-def _scored_docs(docs: pd.DataFrame, words: pd.DataFrame, model: WordModel) -> pd.DataFrame:
+def _scored_docs(docs: pd.DataFrame, words: pd.DataFrame, model: WordModel, own_end: float) -> pd.DataFrame:
     """One chunk: its documents and its dictionary with counts and log probabilities."""
     size, k = (0 if words.empty else int(words["number"].max()) + 1), len(model.ends)
-    base, known, logs = np.zeros(size), np.zeros(size, bool), np.zeros((k, size))
+    base, known, logs, own = np.zeros(size), np.zeros(size, bool), np.zeros((k, size)), np.zeros(size)
     if size:
         at, c = words["number"].to_numpy(), words["c"].to_numpy().astype(float)
-        base[at], known[at] = model.base(c), c > 0
+        base[at], known[at], own[at] = model.base(c), c > 0, words["own"].to_numpy()
         for z in range(k):
             logs[z, at] = words[f"l{z}"].to_numpy()
     end_base, end = float(model.base(model.ends.sum())), model.log_end()
@@ -365,19 +372,20 @@ def _scored_docs(docs: pd.DataFrame, words: pd.DataFrame, model: WordModel) -> p
     for raw in docs["numbers"]:
         ids = np.frombuffer(raw, np.uint32)
         joint = model.log_class + np.array([x[ids].sum() for x in logs]) + end
-        rows.append((len(ids) + 1, int(known[ids].sum()) + int(model.known_end), base[ids].sum() + end_base, np.logaddexp.reduce(joint) / math.log(10)))
-    out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score"])
+        rows.append((len(ids) + 1, int(known[ids].sum()) + int(model.known_end), base[ids].sum() + end_base, np.logaddexp.reduce(joint) / math.log(10), (own[ids].sum() + own_end) / math.log(10)))
+    out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score", "vocabulary_score"])
     out.insert(0, "held_out", docs["held_out"].to_numpy())
     out.insert(0, "doc_id", docs["doc_id"].to_numpy())
     return out
 
 
 def lattice_scores(docs: DataFrame, model_path: str, held_out, class_col: str | None = None, rounds: int = 1, most_classes: int = 32) -> DataFrame:
-    """Each text's score: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+    """Each text's score: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, vocabulary_score``.
 
     ``held_out`` is a condition on the documents; the others are learnt from. Tokens are
     words (ASCII lower case, ASCII white space) and one end. ``score`` is the log10
-    marginal probability of the text under the lattice, ``base_score`` the sum of
+    marginal probability of the text under the adapted lattice, ``vocabulary_score`` that under
+    the vocabulary's own weights, ``base_score`` the sum of
     log10((c + 1) / (N + V + 1)) over tokens, with c the token's count, N all and V distinct
     training tokens. ``n_known`` counts tokens with c > 0. ``class_col`` names the hidden
     class; where it has more than ``most_classes`` values, the rarer ones are one class.
@@ -421,12 +429,14 @@ def lattice_scores(docs: DataFrame, model_path: str, held_out, class_col: str |
             expected[row["class"], row["piece"]] = row["x"]
         expected[:, vocabulary.end] = [found[2 * i + 1] for i in range(k)]
         log_p = np.stack([vocabulary.weights(x + 0.001 * expected.sum(axis=0)) for x in expected])
-    logs = [f"l{z}" for z in range(k)]
+    logs = [*[f"l{z}" for z in range(k)], "own"]
     scored = words.mapInArrow(lambda it: _scored_words(it, model, log_p, word_model), "word binary, c long, " + ", ".join(f"{x} double" for x in logs))
-    filled = entries.select("chunk", "number", "word").join(scored, "word").select(F.col("chunk").alias("of"), "number", "c", *[F.col(x).cast("float") for x in logs])
+    filled = entries.select("chunk", "number", "word").join(scored, "word").select(F.col("chunk").alias("of"), "number", "c", *logs)
+    own_end = float(vocabulary.first_weights()[vocabulary.end])
+    names = ["n_tokens long", "n_known long", "base_score double", "score double", "vocabulary_score double"]
     out = texts.groupBy("chunk").cogroup(filled.groupBy("of")).applyInPandas(
-        lambda d, w: _scored_docs(d, w, word_model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(word_model.n).cast("long").alias("train_tokens"), "base_score", "score")
+        lambda d, w: _scored_docs(d, w, word_model, own_end), "doc_id long, held_out boolean, " + ", ".join(names))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(word_model.n).cast("long").alias("train_tokens"), "base_score", "score", "vocabulary_score")
 
 
 def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

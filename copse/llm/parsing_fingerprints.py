@@ -20,13 +20,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copse.llm._shared import table, text_of
 
 COARSE, COARSE_LEVEL, FINE, FINE_CHARS, FEW = 48, 3, 16, 256, 4
-BATCH_CHARS, PARTITION_ROWS, MOST_GROUPS = 400_000, 8_000, 4096
+BATCH_CHARS, PARTITION_ROWS, MOST_GROUPS = 400_000, 8_000, 1 << 15
 _U = np.uint64
 _ONE = _U(1)
 
@@ -222,6 +222,15 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _compared(rows)
 
 
+def _below(k: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are less than ``k``: by blocks of 256, then in one block."""
+    count = lambda x: F.size(F.filter(x, lambda c: c < k))
+    if len(cuts) <= 256:
+        return count(F.lit(cuts)) if cuts else F.lit(0)
+    whole = count(F.lit(cuts[255::256]))
+    return 256 * whole + count(F.slice(F.lit(cuts), 256 * whole + 1, F.lit(256)))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows ``group, guest, doc_id, text`` in which each document is followed by the next one of descending doc_id.
 
@@ -232,9 +241,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     ids = docs.select(order.alias("k"))
     count = ids.count()
     n = max(1, min(-(-count // PARTITION_ROWS), MOST_GROUPS))  # a group streams, so its size costs no memory
-    cuts = ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 100 * n).alias("x")).first()["x"] if n > 1 else []
+    cuts = ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n).alias("x")).first()["x"] if n > 1 else []
     cuts = sorted(set(cuts or []))
-    above = lambda k: F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= k)) if cuts else F.lit(0)
+    above = lambda k: F.lit(len(cuts)) - _below(k, cuts)
     first = {r["g"]: r["k"] for r in ids.groupBy(above(F.col("k")).alias("g")).agg(F.max("k").alias("k")).collect()}  # a row a group
     groups = sorted(first)
     heads = [first.get(g) for g in range(len(cuts) + 1)]
@@ -244,7 +253,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     to = F.get(F.array(*[F.lit(previous.get(g)).cast("int") for g in range(len(cuts) + 1)]), F.col("g"))
     own = F.struct(F.col("g").cast("int").alias("group"), F.lit(False).alias("guest"))
     rows = rows.withColumn("to", F.explode(F.when(head, F.array(own, F.struct(to.alias("group"), F.lit(True).alias("guest")))).otherwise(F.array(own))))
-    rows = rows.select("to.group", "to.guest", "doc_id", "k", "text").repartition(max(n, 1), "group")
+    rows = rows.select("to.group", "to.guest", "doc_id", "k", "text").repartitionById(len(cuts) + 1, "group")
     return rows.sortWithinPartitions("group", "guest", F.desc("k"), "text").select("group", "guest", "doc_id", "text")
 
 

@@ -32,7 +32,7 @@ from copse.llm._shared import Memo, byte_characters, drop_tables, scratch, table
 MAGIC, VERSION = b"CRAN", 1
 PRECISION = 20  # bits of the frequency table
 MAX_LANES, STEPS = 4096, 64
-BLOCK_IDS, RANGE_ROWS, MOST_RANGES = 1 << 20, 10_000, 4096
+BLOCK_IDS, RANGE_ROWS, MOST_RANGES = 1 << 20, 10_000, 1 << 15
 _HEAD = struct.Struct("<4sIIIII")
 _MEMO = 600_000
 #: White space other than space and line feed, by any of the libraries' definitions.
@@ -191,8 +191,8 @@ def splits_at_space(content: bytes) -> bool:
     return plain and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or any(c.isspace() for c in a["content"]) for a in t["added_tokens"])
 
 
-def _ids(batches: Iterator[pa.RecordBatch], content: bytes, end: int) -> Iterator[pa.RecordBatch]:
-    """Ids of each document, and at a task's end how often it has seen each id (rows without ``ids``)."""
+def _ids(batches: Iterator[pa.RecordBatch], content: bytes, end: int, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Ids of each document and its range, and at a task's end how often it has seen each id (rows without ``ids``)."""
     e = Encoder(content)
     last = np.array([end], e.dtype).tobytes()
     counts = np.zeros(e.t.get_vocab_size(True), np.int64)
@@ -202,19 +202,19 @@ def _ids(batches: Iterator[pa.RecordBatch], content: bytes, end: int) -> Iterato
         for at in range(0, len(ids), 256):
             counts += np.bincount(np.frombuffer(b"".join(ids[at : at + 256]), e.dtype), minlength=len(counts))
         m = len(ids)
-        yield pa.RecordBatch.from_arrays([batch.column("range"), batch.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names)
+        lowest = np.iinfo(np.int64).min
+        of = np.searchsorted(cuts, np.array([lowest if d is None else d for d in batch.column("doc_id").to_pylist()], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), batch.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names)
     used = np.flatnonzero(counts)
     m = len(used)
     yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(used, pa.int32()), pa.array(counts[used])], names)
 
 
-def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The documents with the number of their range of ids (null ids first), and the number of ranges."""
+def _cuts(docs: DataFrame) -> np.ndarray:
+    """Ids between the ranges of ids, ascending; null ids are in the first range."""
     n = max(1, min(-(-docs.count() // RANGE_ROWS), MOST_RANGES))  # a range streams, so its size costs no memory
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    return docs.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(at).cast("int")), len(cuts) + 1
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
+    return np.array(sorted(set(cuts or [])), np.int64)
 
 
 BLOCK_SCHEMA = "part int, seq int, start_in_part long, doc_ids binary, no_id binary, lengths binary, block binary"
@@ -264,15 +264,15 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0)
     dtype, size = e.dtype, e.t.get_vocab_size(True)
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    docs, n = _ranges(docs)
-    both = written(docs.mapInArrow(lambda it: _ids(it, content, end_id), "range int, doc_id long, ids binary, id int, n long"), "ids")
+    cuts = _cuts(docs)
+    both = written(docs.mapInArrow(lambda it: _ids(it, content, end_id, cuts), "range int, doc_id long, ids binary, id int, n long"), "ids")
     counts = np.zeros(size, np.int64)
     for row in both.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row an id at most
         counts[row["id"]] = row["n"]
     ids = both.filter("ids is not null").select("range", "doc_id", "ids")
     freq = scaled(counts)
     spark.createDataFrame([(json.dumps({"version": VERSION, "end_id": end_id, "freq": freq.tolist()}),), ], "meta string").coalesce(1).write.json(f"{path}/meta")
-    ordered = ids.repartition(n, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "ids")
+    ordered = ids.repartitionById(len(cuts) + 1, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "ids")
     ordered.mapInArrow(lambda it: _blocks(it, dtype, freq), BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     drop_tables(both)
 

@@ -1,12 +1,14 @@
 """Quality rules whose cutoffs are chosen under a guarantee.
 
-Each rule refuses documents whose signal exceeds a cutoff. On labelled documents, and for
-each stratum, a cutoff's false rejections (good documents refused) are tested against the
-allowed rate with the exact binomial tail. Cutoffs of a rule are tested from the loosest to
-the strictest and the last before the first failure is used (a fixed sequence needs no
-correction); over strata and rules the level is divided (Bonferroni). So with probability
-``1 - delta``, no rule refuses more than its part of ``alpha`` of a stratum's good documents.
-A rule without a cutoff that passes is not applied in that stratum.
+Each rule refuses documents whose signal exceeds a cutoff. The rules' cutoffs form a ladder: step
+by step each rule's gets stricter, so what a step refuses the next one refuses too. On labelled documents (all of them
+held out, as nothing else is learnt from them), and for each stratum, the false rejections of a whole step
+(good documents that any rule refuses) are tested against the allowed rate with the exact
+binomial tail. Steps are tested from the loosest to the strictest and the last before the first
+failure is used (a fixed sequence needs no correction); over strata the level is divided (Bonferroni).
+So with probability ``1 - delta`` no stratum loses more than ``alpha`` of its good documents to the rules. A
+stratum in which no step passes has no rule; the least number of good labels that can prove anything is
+log(strata / delta) / -log(1 - alpha), 217 for four strata.
 
 Signals are computed once, row by row, in DataFrame functions: no shuffle, no Python.
 """
@@ -121,31 +123,40 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
     return F.when(n <= 0, 1.0).when(k >= n * rate, 1.0).otherwise(F.least(total, F.lit(1.0)))
 
 
+def ladder(cutoffs: Mapping[str, Sequence[float]]) -> list[dict[str, float]]:
+    """Each step's cutoff by rule; a rule with fewer cutoffs stays at its last."""
+    return [{r: float(cs[min(i, len(cs) - 1)]) for r, cs in cutoffs.items() if cs} for i in range(max(map(len, cutoffs.values()), default=0))]
+
+
 def choose_cutoffs(
-    rows: DataFrame, labels: DataFrame, stratum: str, cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, alpha: float = 0.05, delta: float = 0.05,
+    rows: DataFrame, labels: DataFrame, stratum: str, cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, alpha: float = 0.02, delta: float = 0.05,
 ) -> DataFrame:
-    """``stratum, rule, cutoff, n_good, n_refused, tail`` of the cutoffs in use, from signals and labels (doc_id, quality).
+    """``stratum, step, n_good, n_refused, tail`` of the step in use in each stratum that has one, from signals and labels (doc_id, quality).
 
     Labelled documents that fail the base rules are no evidence, as the base refuses them
     anyway. A doc_id labelled twice counts as good only if all its labels say so.
     """
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).filter("doc_id is not null and quality = 1").select("doc_id")
     seen = rows.filter(~base_failed()).join(good, "doc_id", "left_semi")
-    counts = [F.sum((ratio(r) > c).cast("long")).alias(f"{r}|{i}") for r, cs in cutoffs.items() for i, c in enumerate(cs)]
+    counts = [F.sum(refused(step).cast("long")).alias(f"step{i}") for i, step in enumerate(ladder(cutoffs))]
     wide = seen.groupBy(stratum).agg(F.count(F.lit(1)).alias("n_good"), *counts)
-    tests = F.explode(F.array(*[
-        F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff"), F.col(f"`{r}|{i}`").alias("n_refused"))
-        for r, cs in cutoffs.items() for i, c in enumerate(cs)
-    ]))
+    tests = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"step{i}").alias("n_refused")) for i in range(len(counts))]))
     long = wide.select(stratum, "n_good", tests.alias("t")).select(stratum, "n_good", "t.*")
     strata = rows.select(stratum).distinct().agg(F.count(F.lit(1)).alias("strata"))
-    rate = alpha / len(cutoffs)
-    long = long.withColumn("tail", binomial_tail(F.col("n_good"), F.col("n_refused"), rate)).crossJoin(F.broadcast(strata))  # one row
-    passed = F.col("tail") <= F.lit(delta) / (F.col("strata") * len(cutoffs))
-    runs = long.groupBy(stratum, "rule").agg(F.min(F.when(~passed, F.col("step"))).alias("fails_at"))
-    used = long.join(runs.withColumnRenamed(stratum, "__s").withColumnRenamed("rule", "__r"), (F.col("rule") == F.col("__r")) & F.col(stratum).eqNullSafe(F.col("__s")))
-    used = used.filter("fails_at is null or step < fails_at")
-    return used.groupBy(stratum, "rule").agg(F.max(F.struct("step", "cutoff", "n_good", "n_refused", "tail")).alias("u")).select(stratum, "rule", "u.cutoff", "u.n_good", "u.n_refused", "u.tail")
+    long = long.withColumn("tail", binomial_tail(F.col("n_good"), F.col("n_refused"), alpha)).crossJoin(F.broadcast(strata))  # one row
+    passed = F.col("tail") <= F.lit(delta) / F.col("strata")
+    used = long.groupBy(stratum).agg(
+        F.min(F.when(~passed, F.col("step"))).alias("fails_at"), F.sort_array(F.collect_list(F.struct("step", "n_good", "n_refused", "tail"))).alias("steps"))  # a row a step
+    used = used.withColumn("u", F.get("steps", F.coalesce(F.col("fails_at"), F.size("steps")) - 1)).filter("u is not null")
+    return used.select(stratum, "u.step", "u.n_good", "u.n_refused", "u.tail")
+
+
+def refused(step: Mapping[str, float]) -> Column:
+    """Whether any rule refuses the document at this step of the ladder."""
+    out = F.lit(False)
+    for r, c in step.items():
+        out = out | (ratio(r) > c)
+    return out
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **how) -> DataFrame:
@@ -168,16 +179,15 @@ def _judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **how) ->
     rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__s": F.col(stratum).cast("string"), "__d": _digest(stratum)})
     rows = rows.select(F.col("__id").alias("doc_id"), F.col("__s").alias("stratum"), F.col("__d").alias("digest"), "text")
     rows = written(signals(rows, "doc_id", "stratum", "digest"), "signals")
-    # One row a stratum with a cutoff, or null, for each rule: strata are few, the join decides by measured size.
-    chosen = written(choose_cutoffs(rows, labels, "stratum", **how), "cutoffs")
-    rules = list(how.get("cutoffs", CUTOFFS))
-    wide = chosen.groupBy(F.col("stratum").alias("__s")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"__{r}") for r in rules])
-    out = rows.join(wide, F.col("stratum").eqNullSafe(F.col("__s")), "left")
-    refused = F.lit(False)
-    for r in rules:
-        refused = refused | F.coalesce(ratio(r) > F.col(f"__{r}"), F.lit(False))
+    # One row a stratum: strata are few, the join decides by measured size.
+    chosen = written(choose_cutoffs(rows, labels, "stratum", **how), "cutoffs").select(F.col("stratum").alias("__s"), F.col("step").alias("__step"))
+    out = rows.join(chosen, F.col("stratum").eqNullSafe(F.col("__s")), "left")
+    steps = ladder(how.get("cutoffs", CUTOFFS))
+    bad = F.lit(False)
+    for i, step in enumerate(steps):  # a step refuses what the ones before it refuse
+        bad = bad | ((F.coalesce("__step", F.lit(-1)) >= i) & refused(step))
     out = out.withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & ~refused).drop("__s", *[f"__{r}" for r in rules])
+    return out.withColumn("kept", ~F.col("base_failed") & ~bad).drop("__s", "__step")
 
 
 def op4_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,15 +225,15 @@ f AS (SELECT doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws
       FROM d JOIN lined USING (doc_id) LEFT JOIN covered USING (doc_id)),
 g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
 signals AS (SELECT doc_id, lang, base_failed, unnest([{", ".join(f"{{'rule': '{r}', 'x': {x}}}" for r, x in _RULES.items())}], recursive := true) FROM g),
-cutoffs AS (SELECT unnest([{", ".join(f"{{'rule': '{r}', 'step': {i}, 'cutoff': {c}::DOUBLE}}" for r, cs in CUTOFFS.items() for i, c in enumerate(cs))}], recursive := true)),
+cutoffs AS (SELECT unnest([{", ".join(f"{{'rule': '{r}', 'step': {i}, 'cutoff': {c}::DOUBLE}}" for i, step in enumerate(ladder(CUTOFFS)) for r, c in step.items())}], recursive := true)),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
-counted AS (SELECT lang, rule, step, cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k
-            FROM signals JOIN good USING (doc_id) JOIN cutoffs USING (rule) WHERE NOT base_failed GROUP BY ALL),
-tested AS (SELECT *, CASE WHEN k >= n * 0.0125 THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda i:
-              exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0125) + (n - i) * ln(1 - 0.0125)))) END
-              <= 0.05 / (4 * (SELECT count(*) FROM (SELECT DISTINCT lang FROM documents))) AS passed FROM counted),
-used AS (SELECT lang, rule, min(cutoff) AS cutoff FROM (SELECT *, bool_and(passed) OVER (PARTITION BY lang, rule ORDER BY step) AS ok FROM tested) WHERE ok GROUP BY lang, rule),
-refused AS (SELECT DISTINCT doc_id FROM signals s JOIN used u ON s.rule = u.rule AND s.lang IS NOT DISTINCT FROM u.lang WHERE x > cutoff)
+judged AS (SELECT doc_id, lang, base_failed, step, bool_or(x > cutoff) AS bad FROM signals JOIN cutoffs USING (rule) GROUP BY ALL),
+counted AS (SELECT lang, step, count(*) AS n, count(*) FILTER (bad) AS k FROM judged JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+tested AS (SELECT *, CASE WHEN k >= n * 0.02 THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda i:
+              exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(1 - 0.02)))) END
+              <= 0.05 / (SELECT count(*) FROM (SELECT DISTINCT lang FROM documents)) AS passed FROM counted),
+used AS (SELECT lang, max(step) AS step FROM (SELECT *, bool_and(passed) OVER (PARTITION BY lang ORDER BY step) AS ok FROM tested) WHERE ok GROUP BY lang),
+refused AS (SELECT DISTINCT doc_id FROM judged j JOIN used u ON j.step = u.step AND j.lang IS NOT DISTINCT FROM u.lang WHERE bad)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM refused) AS kept
 FROM g

@@ -2,20 +2,22 @@
 
 A page's markup is read into a tree of block elements and text. Its token stream is folded:
 neighbouring groups of equal elements become one repeated group. The folded streams of a
-host are then aligned one after another: where they agree elements are merged, text against
-other text becomes a slot, and an element that only one side has becomes optional or, next
-to an equal group, one more repetition. What results is a regular expression without unions,
-the host's wrapper. Its slots are the places that text can stand in.
-
-All pages of a host take part. Equal folded streams are counted once, partial wrappers are
-inferred over salted shares of them and aligned with each other, so a host with a third of
-all pages is no single task.
-
-The wrapper does not decide the text; element paths do. An article or main element is taken
-whole. Where pages have none, all pages of the host are summed by path: text that is the same
-on every page is template, and the region that holds most of the text that varies is taken. Menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and comments are known by element, role, class and
-id.
+host are then aligned with each other: where they agree elements are merged, equal text stays
+template, text against other text becomes a slot, and an element that only one side has becomes
+optional or, next to an equal group, one more repetition. What results is a regular expression
+without unions, the host's wrapper. Each of its slots counts the pages, characters and characters in
+links that it has taken.
+
+The wrapper decides the text. From its root one descends into the element whose slots hold half or
+more of all text that varies, as long as it is no repetition and no varying heading is left
+outside. Names break ties: of the elements on that way an article (or main) element is taken, and one
+that lies elsewhere if it holds a quarter. Each page is then matched with the wrapper, and what its
+element of that place holds is its main text; the slots and constants of an article are taken whole, of
+another element without what is template. Menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles and comments inside are known by element, role, class and id.
+
+All pages of a host take part. Each task aligns the pages that it reads, and partial wrappers are
+aligned FAN by FAN until a host has one, so a host with a third of all pages is no single task.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.llm._shared import table, written
+from copse.llm._shared import drop_tables, table, written
 
-SALTS, LEAST_PAGES, GROUP, DEEP, BROADCAST_BYTES = 16, 8, 4, 100, 32 << 20
+SALTS, LEAST_PAGES, GROUP, DEEP, FAN, BROADCAST_BYTES = 16, 8, 4, 100, 8, 4 << 20
+MOST_ITEMS, HOSTS = 100, 500
 
 # Fixed values of HTML: elements without content, with raw content, within a line, and those that end an open element.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,18 +71,19 @@ _MARKUP = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_LETTERS = re.compile(r"[^\d]*")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @lru_cache(20_000)
 def signature(tag: str, attrs: str) -> tuple[str, str]:
-    """The element as a token of the stream (numbers in names as 0), and its kind: '' plain, 'out' no main text, 'main', 'article', 'header'.
+    """The element as a token of the stream (names up to their first digit), and its kind: '' plain, 'out' no main text, 'main', 'article', 'header'.
 
     'word ' before a kind says that a name bars the element; :func:`settle` decides.
     """
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
     names = " ".join(x for x in (a.get("class", ""), a.get("id", "")) if x)
-    sig = tag + "".join(sorted({"." + re.sub(r"\d+", "0", x) for x in names.split()}))
+    sig = tag + "".join(sorted({"." + _LETTERS.match(x)[0] for x in names.split()}))  # what follows a digit is made by a program
     tokens = [{w.lower() for w in _WORDS.findall(x)} for x in names.split()]
     role = a.get("role", "").lower()
     hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", ""))
@@ -185,7 +190,7 @@ def parse(page: str) -> Node:
             if tag in SIBLING:
                 close(SIBLING[tag], SCOPE[tag])
             sig, kind = signature(tag, attrs)
-            if len(stack) > DEEP and (not barred(kind) or any(barred(x.kind) for x in stack)):
+            if len(stack) > DEEP and (not kind or any(barred(x.kind) for x in stack) or len(stack) > 2 * DEEP):
                 flat[tag] = flat.get(tag, 0) + 1
                 continue
             node = Node(tag, sig, kind)
@@ -244,8 +249,9 @@ def settle(root: Node) -> None:
         x.kind = x.kind.removeprefix("word ") if id(x) in kept else "out"
 
 
-# A wrapper is nested lists, so that it can be written as JSON: ["#"] is a slot, ["e", token, items] an element and
-# ["g", items] a group; an item is [least, most, node], most 0 for any number.
+# A wrapper is nested lists, so that it can be written as JSON: ["#", digest, characters, in links, pages] is a text, a slot
+# if its digest is 0; ["e", token, kind, items] is an element and ["g", items] a group; an item is [least, most, node], most 0 for
+# any number. An element whose items became too many has them by tag alone: their tokens end in ".*".
 
 
 def token(node: list) -> str:
@@ -254,14 +260,16 @@ def token(node: list) -> str:
 
 
 def skeleton(node: Node) -> list:
-    """The folded stream of an element."""
-    items = [[1, 1, ["#"] if isinstance(c, tuple) else skeleton(c)] for c in node.children]
-    return ["e", node.sig, folded(items)]
+    """The folded stream of an element; elements without main text are leaves."""
+    if barred(node.kind):
+        return ["e", node.sig, "out", []]
+    items = [[1, 1, ["#", xxhash.xxh3_64_intdigest(c[0]) or 1, len(c[0]), c[1], 1] if isinstance(c, tuple) else skeleton(c)] for c in node.children]
+    return ["e", node.sig, node.kind, folded(items)]
 
 
-def _joined(a: list, b: list) -> list:
+def _joined(a: list, b: list, same: bool) -> list:
     """The item that either of two neighbours with the same token is a repetition of."""
-    return [min(a[0], b[0]), 0, merged(a[2], b[2])]
+    return [min(a[0], b[0]), 0, merged(a[2], b[2], same)]
 
 
 def folded(items: list) -> list:
@@ -269,12 +277,14 @@ def folded(items: list) -> list:
     out: list = []
     for x in items:
         if out and token(out[-1][2]) == token(x[2]):
-            out[-1] = _joined(out[-1], x)
+            out[-1] = _joined(out[-1], x, True)
         else:
             out.append(x)
     for size in range(2, GROUP + 1):
-        i, folding = 0, []
         names = [token(x[2]) for x in out]
+        if not any(names[i : i + size] == names[i + size : i + 2 * size] for i in range(len(names) - 2 * size + 1)):
+            continue
+        i, folding = 0, []
         while i < len(out):
             reps = 1
             while names[i : i + size] == names[i + reps * size : i + (reps + 1) * size] and len(names[i : i + size]) == size:
@@ -282,7 +292,7 @@ def folded(items: list) -> list:
             if reps > 1:
                 part = ["g", out[i : i + size]]
                 for k in range(1, reps):
-                    part = merged(part, ["g", out[i + k * size : i + (k + 1) * size]])
+                    part = merged(part, ["g", out[i + k * size : i + (k + 1) * size]], True)
                 folding.append([1, 0, part])
                 i += reps * size
             else:
@@ -292,14 +302,17 @@ def folded(items: list) -> list:
     return out
 
 
-def merged(a: list, b: list) -> list:
-    """Two nodes with the same token as one."""
+def merged(a: list, b: list, same: bool = False) -> list:
+    """Two nodes with the same token as one; ``same`` says that both are of one page."""
     if a[0] == "#":
-        return a
-    return [*a[:-1], aligned(a[-1], b[-1])]
+        return ["#", a[1] if a[1] == b[1] else 0, a[2] + b[2], a[3] + b[3], max(a[4], b[4]) if same else a[4] + b[4]]
+    if a[0] == "g":
+        return ["g", aligned(a[1], b[1], same)]
+    kind = b[2] if a[2] == "out" else a[2] or (b[2] if b[2] != "out" else "")
+    return ["e", a[1], kind, aligned(a[3], b[3], same)]
 
 
-def _grouped(items: list, groups: list[list]) -> list:
+def _grouped(items: list, groups: list[list], same: bool) -> list:
     """Plain runs of items that a group of the other side describes, as that group."""
     for g in groups:
         names, size = [token(x[2]) for x in g[1]], len(g[1])
@@ -307,7 +320,7 @@ def _grouped(items: list, groups: list[list]) -> list:
         while i < len(items):
             if [token(x[2]) for x in items[i : i + size]] == names:
                 part = [1, 1, ["g", items[i : i + size]]]
-                out = [*out[:-1], _joined(out[-1], part)] if out and token(out[-1][2]) == token(part[2]) else [*out, part]
+                out = [*out[:-1], _joined(out[-1], part, True)] if out and token(out[-1][2]) == token(part[2]) else [*out, part]
                 i += size
             else:
                 out.append(items[i])
@@ -316,10 +329,30 @@ def _grouped(items: list, groups: list[list]) -> list:
     return items
 
 
-def aligned(a: list, b: list) -> list:
-    """Two sequences of items as one: a longest common subsequence is merged, all else is optional."""
-    a, b = _grouped(a, [x[2] for x in b if x[2][0] == "g"]), _grouped(b, [x[2] for x in a if x[2][0] == "g"])
+def _general(items: list) -> list:
+    """Items by tag alone, groups dissolved."""
+    plain = [y for x in items for y in ([[0, 0, z] for z in spots(x[2])] if x[2][0] == "g" else [x])]
+    return folded([[x[0], x[1], ["e", x[2][1].split(".", 1)[0] + ".*", *x[2][2:]]] if x[2][0] == "e" else x for x in plain])
+
+
+def _by_tag(items: list) -> bool:
+    return any(x[2][0] == "e" and x[2][1].endswith(".*") for x in items)
+
+
+def aligned(a: list, b: list, same: bool = False) -> list:
+    """Two sequences of items as one: a longest common subsequence is merged, all else is optional.
+
+    More than MOST_ITEMS (names that differ on every page) are aligned by tag alone.
+    """
+    if len(a) == len(b) == 0:
+        return a
+    if _by_tag(a) or _by_tag(b) or max(len(a), len(b)) > MOST_ITEMS:
+        a, b = _general(a), _general(b)
+    elif any(x[2][0] == "g" for x in a) or any(x[2][0] == "g" for x in b):
+        a, b = _grouped(a, [x[2] for x in b if x[2][0] == "g"], same), _grouped(b, [x[2] for x in a if x[2][0] == "g"], same)
     x, y = [token(i[2]) for i in a], [token(i[2]) for i in b]
+    if x == y:
+        return [[min(p[0], q[0]), 0 if 0 in (p[1], q[1]) else 1, merged(p[2], q[2], same)] for p, q in zip(a, b)]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
@@ -329,171 +362,223 @@ def aligned(a: list, b: list) -> list:
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and x[i] == y[j]:
             p, q = a[i], b[j]
-            item = [min(p[0], q[0]), 0 if 0 in (p[1], q[1]) else 1, merged(p[2], q[2])]
+            item = [min(p[0], q[0]), 0 if 0 in (p[1], q[1]) else 1, merged(p[2], q[2], same)]
             i, j = i + 1, j + 1
         elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
             item, i = [0, *a[i][1:]], i + 1
         else:
             item, j = [0, *b[j][1:]], j + 1
         if out and token(out[-1][2]) == token(item[2]):
-            out[-1] = [min(out[-1][0], item[0]), 0, merged(out[-1][2], item[2])]
+            out[-1] = [min(out[-1][0], item[0]), 0, merged(out[-1][2], item[2], True)]
         else:
             out.append(item)
-    return out
+    return out if len(out) <= MOST_ITEMS or _by_tag(out) else _general(out)
 
 
 def expression(node: list) -> str:
-    """A wrapper as text: element(content), # for a slot, ? optional, + and * repeated."""
+    """A wrapper as text: element(content), # for a slot, = for template text, ? optional, + and * repeated."""
     if node[0] == "#":
-        return "#"
+        return "=" if node[1] else "#"
     inside = " ".join(expression(n) + {(1, 1): "", (0, 1): "?", (1, 0): "+", (0, 0): "*"}[low, high] for low, high, n in node[-1])
     return f"{node[1]}({inside})" if node[0] == "e" else f"({inside})"
 
 
-def infer(skeletons: list[str]) -> str | None:
-    """The wrapper of folded streams (JSON), aligned in order."""
+def _aligned_all(wrappers: list[str]) -> str | None:
+    """The wrapper of partial wrappers (JSON), aligned in order."""
     found = None
-    for s in skeletons:
+    for s in wrappers:
         new = json.loads(s)
         found = new if found is None else merged(found, new)
     return None if found is None else json.dumps(found, separators=(",", ":"))
 
 
-def blocks(root: Node) -> list[tuple[str, str, int]]:
-    """(slot, text, characters in links) of each text in page order that is in no element without main text.
+def spots(node: list) -> list[list]:
+    """An element's parts in order, groups looked through."""
+    return [y for _, _, x in node[-1] for y in (spots(x) if x[0] == "g" else [x])]
 
-    Text of the page's article (or main element) has a slot that begins with '!'.
-    """
-    out: list[tuple[str, str, int]] = []
-
-    def size(node: Node) -> int:
-        return 0 if node.kind == "out" else sum(len(c[0]) if isinstance(c, tuple) else size(c) for c in node.children)
 
-    def tops(node: Node, kind: str) -> list[Node]:
-        if node.kind == kind:
-            return [node]
-        return [] if node.kind == "out" else [x for c in node.children if isinstance(c, Node) for x in tops(c, kind)]
+class Placed:
+    """A wrapper with its place of the main text, ready to be matched with pages."""
 
-    def holds(node: Node) -> list[Node]:
-        """The elements around the chosen one."""
-        for c in node.children:
-            if c is chosen:
-                return [node]
-            if isinstance(c, Node) and c.kind != "out" and (found := holds(c)):
-                return [node, *found]
-        return []
-
-    def walk(node: Node, path: str, inside: bool):
-        inside = inside or node is chosen
-        if node.kind == "out" or node.kind == "header" and not inside and node not in above:
-            return
-        if node is not chosen and node.kind == "article" and inside and chosen.kind == "article" and node.tag == "article":
-            return  # an article in an article is a reader's comment or another article
-        path = f"{path}/{node.sig}" if path else node.sig
-        for c in node.children:
-            if isinstance(c, tuple):
-                out.append(("!" + path if inside else path, *c))
-            else:
-                walk(c, path, inside)
+    def __init__(self, wrapper: list):
+        self.wrapper, self.memo, self.places = wrapper, {}, {}
+        self.place = self.place_among(None)
 
-    found = tops(root, "article") or tops(root, "main")
-    chosen = max(found, key=size) if found else None
-    above = holds(root) if chosen else []
-    walk(root, "", False)
-    return out
+    def is_template(self, text: list) -> bool:
+        return text[1] != 0 and text[4] >= LEAST_PAGES
 
+    def _weigh(self, node: list, among: frozenset[int] | None, how: int, weight: dict[int, int], within: str = "") -> int:
+        """Characters of the text that varies and stands in no link (how 0), in no link (1), or of all (2), by element or group.
 
-def host_of(url: str | None) -> str:
+        Text of a header that is not within an article does not count.
+        """
+        if node[0] == "e" and (node[2] in ("article", "main") or node[2] == "header" and not within):
+            within = node[2]
+        if node[0] != "g" and among is not None and id(node) not in among:
+            w = 0
+        elif node[0] == "#":
+            w = 0 if how == 0 and self.is_template(node) or within == "header" else node[2] if how == 2 else max(0, node[2] - 2 * node[3])
+        else:
+            w = sum(self._weigh(x[2], among, how, weight, within) for x in node[-1])
+        weight[id(node)] = w
+        return w
+
+    def _inner(self, node: list) -> list[tuple[list, bool]]:
+        """Elements right inside an element, and whether they are repeated; groups are looked through."""
+        return [y for _, most, x in node[-1] if x[0] != "#" for y in ([(x, most == 0)] if x[0] == "e" else [(z, True) for z, _ in self._inner(x)])]
+
+    def _elements(self, node: list) -> Iterator[list]:
+        for x, _ in self._inner(node):
+            yield x
+            yield from self._elements(x)
+
+    def place_among(self, among: frozenset[int] | None) -> list | None:
+        """The element that holds the main text, of all or of the parts that a page has."""
+        weight: dict[int, int] = {}
+        total = next((w for how in range(3) if (w := self._weigh(self.wrapper, among, how, weight))), 0)
+        if not total:
+            return None
+        of = lambda x: weight.get(id(x), 0)
+        way = [self.wrapper]
+        while True:
+            inner = self._inner(way[-1])
+            best, repeated = max(inner, key=lambda x: of(x[0]), default=(None, True))
+            named = best is not None and best[2] in ("article", "main")
+            if best is None or 2 * of(best) < total or repeated and not named:
+                break
+            if not named and any(x is not best and re.match(r"h[1-6]\b", x[1]) and of(x) for x, _ in inner):
+                break
+            way.append(best)
+        for kind in ("article", "main"):
+            on_way = [x for x in way if x[2] == kind]
+            if on_way:
+                return on_way[0]
+            best = max((x for x in self._elements(self.wrapper) if x[2] == kind), key=of, default=None)
+            if best is not None and of(best) and 4 * of(best) >= total:
+                return best
+        return way[-1]
+
+    def matched(self, node: list, children: tuple[str, ...]) -> list[list | None]:
+        """The part of a wrapper's element that each child (by token) is an instance of."""
+        key = id(node), children
+        found = self.memo.get(key)
+        if found is None:
+            parts = spots(node)
+            at: dict[str, list[int]] = {}
+            for i, x in enumerate(parts):
+                at.setdefault(token(x), []).append(i)
+            found, now = [], 0
+            for name in children:
+                places = at.get(name) or at.get(name.split(".", 1)[0] + ".*") or []
+                # the next place from here on; else a repetition: the last one before
+                spot = next((i for i in places if i >= now), places[-1] if places else None)
+                found.append(None if spot is None else parts[spot])
+                now = now if spot is None else spot
+            if len(self.memo) > 20_000:
+                self.memo.clear()
+            self.memo[key] = found
+        return found
+
+    def text(self, root: Node) -> str:
+        """The page's main text: what its element at the place holds, in page order.
+
+        A page without that element has its place among the parts that it does have.
+        """
+        def seek(node: Node, part: list, place: list) -> Iterator[Node]:
+            if part is place:
+                yield node
+                return
+            for c, p in self._pairs(node, part):
+                if p is not None and not isinstance(c, tuple) and not barred(c.kind):
+                    yield from seek(c, p, place)
+
+        def parts(node: Node, part: list) -> Iterator[int]:
+            yield id(part)
+            for c, p in self._pairs(node, part):
+                if p is not None:
+                    yield from [id(p)] if isinstance(c, tuple) else parts(c, p)
+
+        def size(node: Node) -> int:
+            return 0 if barred(node.kind) else sum(len(c[0]) if isinstance(c, tuple) else size(c) for c in node.children)
+
+        def take(node: Node, part: list | None, out: list[str]) -> list[str]:
+            for c, p in self._pairs(node, part) if part is not None else [(c, None) for c in node.children]:
+                if isinstance(c, tuple):
+                    if whole or p is None or not self.is_template(p):
+                        out.append(c[0])
+                elif not (barred(c.kind) or c.kind == "header" and not whole or c.tag == "article" and chosen.tag == "article"):
+                    take(c, p, out)  # an article in an article is a reader's comment or another article
+            return out
+
+        place = self.place
+        found = list(seek(root, self.wrapper, place)) if place is not None else []
+        if not any(map(size, found)):
+            among = frozenset(parts(root, self.wrapper))
+            if among not in self.places:
+                if len(self.places) > 1000:
+                    self.places.clear()
+                self.places[among] = self.place_among(among)
+            place = self.places[among]
+            found = list(seek(root, self.wrapper, place)) if place is not None else []
+        if not found:
+            return ""
+        whole = place[2] in ("article", "main")
+        chosen = max(found, key=size)
+        return "\n".join(take(chosen, place, []))
+
+    def _pairs(self, node: Node, part: list) -> Iterator[tuple]:
+        return zip(node.children, self.matched(part, tuple("#" if isinstance(c, tuple) else c.sig for c in node.children)))
+
+
+def host_of(url: Column) -> Column:
     """Host of a URL, lower case, without user and port; empty if there is none."""
-    m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
-
-
-def region(slots: list[tuple[str, int, int]]) -> str | None:
-    """The deepest path that holds three fifths of the text of the slots (path, characters, of these in links), not counting links."""
-    weight: dict[str, int] = {}
-    for path, chars, links in slots:
-        steps = path.split("/")
-        for k in range(1, len(steps) + 1):
-            at = "/".join(steps[:k])
-            weight[at] = weight.get(at, 0) + max(0, chars - 2 * links)
-    total = max(weight.values(), default=0)
-    wide = [p for p, w in weight.items() if total and w >= 0.6 * total]
-    best = max(wide, key=lambda p: (p.count("/"), p), default=None)
-    # A repeated element (a paragraph) is no region; what holds it is.
-    while best and "/" in best and re.split(r"[.]", best.rpartition("/")[2])[0] in ("p", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "tr", "dd", "dl"):
-        best = best.rpartition("/")[0]
-    return best
-
-
-def chosen_text(found: list[tuple[str, str, int]], slots: dict[str, tuple[int, int, bool]]) -> str:
-    """The page's main text from its blocks and its host's slots (characters, in links, template)."""
-    inside = [b for b in found if b[0].startswith("!")]
-    if inside:  # an article is taken whole
-        return "\n".join(t for _, t, _ in inside)
-    best = region([(p, c, l) for p, (c, l, fixed) in slots.items() if not fixed and not p.startswith("!")])
-    inside = [b for b in found if best and (b[0] == best or b[0].startswith(best + "/"))] or found
-    return "\n".join(t for p, t, _ in inside if not (p in slots and slots[p][2]))
-
-
-PARSED = "page_id long, url string, host string, skeleton string, blocks array<struct<slot:string,text:string,links:int>>"
-
-
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("slot", pa.string()), ("text", pa.string()), ("links", pa.int32())]))
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            skeletons, found = [], []
-            for page in part.column("html").to_pylist():
-                root = parse(page or "")
-                skeletons.append(json.dumps(skeleton(root), separators=(",", ":")))
-                found.append([dict(zip(("slot", "text", "links"), b)) for b in blocks(root)])
-            hosts = [host_of(u) for u in part.column("url").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(hosts), pa.array(skeletons), pa.array(found, kind)], ["page_id", "url", "host", "skeleton", "blocks"])
-
-
-def parsed_pages(pages: DataFrame) -> DataFrame:
-    """Each page once through the parser: host, folded stream and blocks."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return written(pages.mapInArrow(_parsed, PARSED), "parsed")
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[a-zA-Z][\w+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def infer_wrappers(parsed: DataFrame) -> DataFrame:
-    """``host, wrapper, expression``: one union-free expression a host, over all its pages."""
-    streams = parsed.groupBy("host", "skeleton").agg(F.count(F.lit(1)).alias("pages"))
-    salted = streams.withColumn("salt", F.pmod(F.hash("skeleton"), F.lit(SALTS)))
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages of a task, aligned by host: a row a host, and again when HOSTS of them are held."""
+    held: dict[str, list] = {}
 
-    def align(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [key[0]], "skeleton": [infer(rows["skeleton"].sort_values().tolist())]})
-
-    def last(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = infer(rows["skeleton"].sort_values().tolist())
-        return pd.DataFrame({"host": [key[0]], "wrapper": [found], "expression": [expression(json.loads(found))]})
-
-    parts = salted.groupBy("host", "salt").applyInPandas(align, "host string, skeleton string")
-    return parts.groupBy("host").applyInPandas(last, "host string, wrapper string, expression string")
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array([json.dumps(x, separators=(",", ":")) for x in held.values()], pa.string())], ["host", "wrapper"])
 
+    for batch in batches:
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            new = skeleton(parse(page or ""))
+            held[host] = merged(held[host], new) if host in held else new
+            if len(held) >= HOSTS:
+                yield rows()
+                held.clear()
+    if held:
+        yield rows()
+
+
+def infer_wrappers(pages: DataFrame) -> DataFrame:
+    """``host, wrapper``: one union-free expression a host (JSON, see :func:`expression`), over all its pages (``host, html``)."""
+    def align(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [key[0]], "wrapper": [_aligned_all(rows["wrapper"].tolist())]})
 
-def slots_of(node: list, path: str = "") -> set[str]:
-    """Paths of a wrapper's slots."""
-    if node[0] == "#":
-        return {path}
-    path = (f"{path}/{node[1]}" if path else node[1]) if node[0] == "e" else path
-    return {s for _, _, n in node[-1] for s in slots_of(n, path)}
+    parts = written(pages.select("host", "html").mapInArrow(_partial, "host string, wrapper string"), "partial-wrappers")
+    while (most := parts.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > 1:
+        shares = -(-most // FAN)  # of some FAN partial wrappers each
+        dealt = parts.withColumn("share", F.pmod(F.xxhash64("wrapper"), F.lit(shares)))
+        nxt = written(dealt.groupBy("host", "share").applyInPandas(align, "host string, wrapper string"), "partial-wrappers")
+        drop_tables(parts)
+        parts = nxt
+    return parts
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept: dict[str, set[str]] = {}
+    kept: dict[str, Placed] = {}
     for batch in batches:
         texts = []
-        wrappers, hosts = batch.column("wrapper").to_pylist(), batch.column("host").to_pylist()
-        for host, wrapper, found, slots in zip(hosts, wrappers, batch.column("blocks").to_pylist(), batch.column("slots").to_pylist()):
+        hosts, wrappers = batch.column("host").to_pylist(), batch.column("wrapper").dictionary_encode()
+        for host, at, page in zip(hosts, wrappers.indices.to_pylist(), batch.column("html").to_pylist()):
             if host not in kept:
-                kept = {host: slots_of(json.loads(wrapper))} if len(kept) > 1000 else kept | {host: slots_of(json.loads(wrapper))}
-            places = kept[host]
-            by = {s["slot"]: (s["chars"], s["links"], s["fixed"]) for s in slots or [] if s["slot"].lstrip("!") in places}
-            texts.append(chosen_text([(b["slot"], b["text"], b["links"]) for b in found if b["slot"].lstrip("!") in places], by))
+                if len(kept) >= HOSTS:
+                    kept.clear()
+                kept[host] = Placed(json.loads(wrappers.dictionary[at].as_py()))
+            texts.append(kept[host].text(parse(page or "")))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -502,31 +587,23 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Null and empty pages, and pages without main text, have the empty text. A null or
     malformed URL belongs to the host ''. Repeated rows give repeated rows; a null page_id
-    stays null; extra columns are not read. An empty table gives an empty table.
+    stays null; extra columns are not read. An empty table gives an empty table. Elements that lie
+    deeper than 2 * DEEP levels only end blocks.
 
-    The text of an article or main element is taken whole. Elsewhere text is template, and left
-    out, if its slot holds nothing else on all pages of the host that have it and LEAST_PAGES or
-    more of those differ in their other text.
+    Text is template if LEAST_PAGES or more pages of the host have a text at its place in the wrapper
+    and all the same. It is left out unless it stands in an article or main element.
     """
-    parsed = parsed_pages(pages)
-    wrappers = infer_wrappers(parsed)
-    each = parsed.select("host", F.xxhash64(F.to_json("blocks")).alias("page"), F.explode("blocks").alias("b")).select("host", "page", "b.*")
-    of_page = each.groupBy("host", "slot", "page").agg(
-        F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"), F.sum(F.length("text")).alias("chars"), F.sum("links").alias("links"))
-    slots = of_page.groupBy("host", "slot").agg(
-        F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    fixed = (F.col("n") >= LEAST_PAGES) & (F.col("low") == F.col("high"))
-    slots = slots.select("host", F.struct("slot", "chars", "links", fixed.alias("fixed")).alias("s")).groupBy("host").agg(F.collect_list("s").alias("slots"))  # one entry a slot of the wrapper
-    known = written(wrappers.select("host", "wrapper").join(slots, "host", "left"), "hosts")
-    size = known.agg(F.sum(F.length("wrapper") + F.length(F.to_json("slots")) + 100)).first()[0] or 0
-    rows = parsed.select("page_id", "url", "host", "blocks")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    pages = pages.withColumn("host", host_of(F.col("url")))
+    known = infer_wrappers(pages)
+    size = known.agg(F.sum(F.octet_length("wrapper") + 100)).first()[0] or 0
+    rows = pages
     if size <= BROADCAST_BYTES:  # measured; beyond it each host's row is repeated over salts and met by a shuffle
         rows = rows.join(F.broadcast(known), "host")
     else:
         known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rows.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS))).join(known, ["host", "salt"])
-    rows = rows.select("page_id", "url", "host", "wrapper", "blocks", "slots")
-    return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "host", "wrapper", "html").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
 
 
 def op3_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

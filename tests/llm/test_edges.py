@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,8 +16,7 @@ P = pytest.importorskip("public_tokenizers")
 N = len(rows())
 
 
-def never():
-    return F.lit(False)
+PAGE_SCHEMA = "page_id long, url string, html string, host string, wrapper string, text string"
 
 
 def run_all(spark, docs):
@@ -47,8 +47,7 @@ def test_one_row_for_each(found):
 
 def test_empty_tables(spark, none):
     assert {k: df.count() for k, df in run_all(spark, none).items()} == dict.fromkeys((1, 2, 4, 5, 6, 7, 8, 9, 10), 0)
-    pages = spark.createDataFrame([], "page_id long, url string, html string, host string")
-    assert wrappers.main_text(pages).count() == 0
+    assert wrappers.main_text(spark.createDataFrame([], PAGE_SCHEMA)).count() == 0
     assert curriculum.mixed(none).count() == 0
 
 
@@ -129,3 +128,51 @@ def test_counts(found):
     by = {r["doc_id"]: r for r in found[10]}
     assert by[4]["n_tokens"] == by[5]["n_tokens"] == by[6]["n_tokens"] == 0
     assert by[7]["over_limit"] and not by[10]["over_limit"]
+
+
+def test_pages(spark):
+    long = "<article>" + "".join(f"<p>paragraph {i}</p>" for i in range(20_000)) + "</article>"
+    pages = [
+        (1, "http://a.example/1", "<article><p>One</p></article>"), (1, "http://a.example/1", "<article><p>One</p></article>"),  # a repeated row
+        (1, "http://a.example/1", "<article><p>Other</p></article>"), (None, "http://a.example/2", "<article><p>No id</p></article>"),
+        (2, None, None), (3, "http://a.example/3", ""), (4, "http://long.example/", long), (5, "::::", "&lt;text&gt;"), (6, None, "<article></article>"),
+    ]
+    got = wrappers.main_text(spark.createDataFrame([(*p, "x", None, "y") for p in pages], PAGE_SCHEMA)).collect()
+    found = sorted((-1 if r["page_id"] is None else r["page_id"], r["text"]) for r in got if r["page_id"] != 4)
+    assert found == [(-1, "No id"), (1, "One"), (1, "One"), (1, "Other"), (2, ""), (3, ""), (5, "<text>"), (6, "")]
+    whole = next(r for r in got if r["page_id"] == 4)
+    assert whole["text"].count("\n") == 19_999 and whole["n_chars"] == len(whole["text"])
+
+
+def test_stages(spark, edge, none, tmp_path):
+    """Every stage and the whole pipeline on the edge rows and on an empty table."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1, None), (1, 0, 0), (None, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
+    left = {}
+    for name, docs in (("edge", edge), ("none", none)):
+        at = str(tmp_path / name)
+        docs.write.parquet(os.path.join(at, "documents.parquet"))
+        labels.write.parquet(os.path.join(at, "labels.parquet"))
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            out = f(spark, docs, at)
+            assert sorted(out.columns) == sorted(docs.columns), stage
+            left[name, stage] = out.collect()
+        left[name, "run"] = corpus_pipeline.run(spark, at).collect()
+    assert not any(v for (name, _), v in left.items() if name == "none")
+    ids = lambda stage: sorted((-1 if r["doc_id"] is None else r["doc_id"], (r["text"] or "")[:20]) for r in left["edge", stage])
+    assert (10, "one two three") not in ids("quality_rules") and (2, PROSE[:20]) in ids("quality_rules")
+    # other texts under one doc_id are judged on their own: the copy of doc 1 goes, its other text stays
+    assert [x for x in ids("minhash_near_dedup") if x[0] in (1, 2, 3)] == [(1, "another text under t"), (1, PROSE[:20])]
+    assert sum(i == -1 for i, _ in ids("minhash_near_dedup")) == 2  # rows without an id stay
+    assert all(r["n_tokens"] > 0 for r in left["edge", "run"])
+
+
+def test_a_text_under_an_id_does_not_decide_another(spark, tmp_path):
+    """A short row and a clean one share an id, and a copy shares an id with a text of its own."""
+    clean, own = PROSE + " " + PROSE.upper()[::-1], " ".join(f"own{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, clean, "en", "a", 1), (1, "too short", "en", "a", 1), (2, clean, "en", "a", 1), (2, own, "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = risk_rules.quality_stage(spark, docs, str(tmp_path))
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted([(1, clean), (2, clean), (2, own)])
+    assert sorted((r["doc_id"], r["text"]) for r in minmax_dedup.minhash_stage(spark, out, "").collect()) == sorted([(1, clean), (2, own)])

@@ -110,6 +110,73 @@ def test_lattice_scores(spark, small, documents, texts):
     assert worse >= 0.98 * sum(len(t) > 100 for t in texts.values())
 
 
+def test_score_is_the_sum_over_segmentations_and_classes(spark):
+    """The score of tiny texts by enumeration: one round of estimation, whole-word arcs, hidden classes."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    docs = [(1, "the cat sat", "x"), (2, "The mat the", "x"), (3, "le chat", "y"), (4, "", "y"), (5, "the chat", "x"), (6, "ça cat cat", None)]
+    held = {5, 6}
+    ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    steps = {x: k + 2 for k, x in enumerate(sorted({sp.get_score(i) for i in ids}, reverse=True))}
+    first = {i: 1 / steps[sp.get_score(i)] for i in ids} | {sp.eos_id(): 0.5}
+    first = {i: x / sum(first.values()) for i, x in first.items()}
+    piece = {sp.id_to_piece(i): i for i in ids if not sp.is_byte(i)}
+
+    def ways(s):
+        """All segmentations as tuples of ids; characters without a piece in bytes."""
+        if not s:
+            yield ()
+            return
+        for k in range(1, len(s) + 1):
+            if s[:k] in piece:
+                yield from ((piece[s[:k]], *rest) for rest in ways(s[k:]))
+        if s[0] not in piece:
+            spelt = tuple(sp.piece_to_id(f"<0x{b:02X}>") for b in s[0].encode())
+            yield from (spelt + rest for rest in ways(s[1:]))
+
+    def chance(word, weights):
+        return sum(math.prod(weights[i] for i in way) for way in ways("▁" + word))
+
+    train = [(t.lower().split(), z) for i, t, z in docs if i not in held]
+    classes = ["x", "y"]
+    c = {z: collections.Counter(w for ws, of in train if of == z for w in ws) for z in classes}
+    ends = {z: sum(of == z for _, of in train) for z in classes}
+    expected = {}
+    for z in classes:
+        e = collections.Counter()
+        for w in c[z]:
+            every = [(math.prod(first[i] for i in way), way) for way in ways("▁" + w)]
+            for p, way in every:
+                for i in way:
+                    e[i] += p / sum(q for q, _ in every)
+        e[sp.eos_id()] = len(c[z])
+        expected[z] = e
+    both = collections.Counter()
+    for e in expected.values():
+        both.update(e)
+    weights = {}
+    for z in classes:
+        mass = {i: expected[z][i] + 0.001 * both[i] + 0.01 for i in first}
+        weights[z] = {i: x / sum(mass.values()) for i, x in mass.items()}
+    n = {z: sum(c[z].values()) + ends[z] for z in classes}
+    types = {z: len(c[z]) + 1 for z in classes}
+    all_types, total = len(set(c["x"]) | set(c["y"])) + 1, sum(n.values())
+
+    def in_class(counts, z, pieces):
+        pooled = (sum(counts.values()) + all_types * pieces) / (total + all_types)
+        return (counts[z] + types[z] * pooled) / (n[z] + types[z])
+
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in lattice_lm.lattice_scores(df, P.path("piece_bpe_32k.model"), F.col("doc_id").isin(*held), "lang").collect()}
+    for i, t, _ in docs:
+        words = t.lower().split()
+        of = {z: (ends[z] + 1) / (sum(ends.values()) + 2) * in_class(ends, z, 0.0) * math.prod(in_class({y: c[y][w] for y in classes}, z, chance(w, weights[z])) for w in words) for z in classes}
+        assert math.isclose(got[i]["score"], math.log10(sum(of.values())), rel_tol=1e-9)
+        own = first[sp.eos_id()] * math.prod(chance(w, first) for w in words)
+        assert math.isclose(got[i]["vocabulary_score"], math.log10(own), rel_tol=1e-9)
+
+
 # 2 -------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 1000, 70_000, 600_000])
