@@ -33,11 +33,11 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/copse/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and outlives an executor."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

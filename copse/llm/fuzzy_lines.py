@@ -32,7 +32,7 @@ from copse.llm._shared import WORD, drop_tables, maybe_broadcast, table, text_of
 from copse.llm.components import connected_components
 
 MOST_BITS, SIMILARITY, LEAST_WORDS = 21, 0.8, 5
-KEYS, ALL, CROWD, FEATURES = 6, 16, 256, 0x3FFF
+KEYS, ALL, CROWD, FEATURES = 6, 16, 2048, 0x7FFF
 
 
 _ASCII = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -71,12 +71,14 @@ def _runs(rows: DataFrame, sampled: bool, least_words: int, *keep: str) -> DataF
     last = F.when(n < least_words, -1).when(n < 8, 2 * n - 4).otherwise(n - 3)
     rows = rows.select(*keep, "words", "bytes", n.alias("n"), F.explode(F.sequence(F.lit(-1), F.greatest(last, F.lit(-1)))).alias("i"))
     n, i = F.col("n"), F.col("i")
-    key = F.when((i >= 0) & (i <= n - 3), _run(i, 3)).when((i >= 0) & (i > n - 3), _run(i - n + 2, 2))
-    rows = rows.select(*keep, "words", "bytes", "n", "i", key.alias("key"))
     if sampled:
         long = sum((F.octet_length(F.get("words", i + k)) for k in (1, 2)), F.octet_length(F.get("words", i))) * n >= 3 * F.col("bytes")
+        rows = rows.filter((i <= 0) | (n <= ALL) | long)
+    key = F.when((i >= 0) & (i <= n - 3), _run(i, 3)).when((i >= 0) & (i > n - 3), _run(i - n + 2, 2))
+    rows = rows.select(*keep, "n", "i", key.alias("key"))
+    if sampled:
         below = F.shiftrightunsigned("key", 1) < F.lit(float(1 << 63) * 2 * KEYS) / n
-        rows = rows.filter((i <= 0) | (n <= ALL) | (below & long))
+        rows = rows.filter((i <= 0) | (n <= ALL) | below)
     place = F.when(i <= n - 3, i).otherwise(i - n + 2).alias("i")
     return rows.select(*keep, "n", place, "key")
 
@@ -99,7 +101,7 @@ def _as_characters(hashes: Column) -> Column:
 
 
 def _simhash(hashes: Column, lane: int) -> Column:
-    """Each bit's majority over up to 2 ** (lane - 2) - 1 hashes, ties as 0.
+    """Each bit's majority over up to 2 ** (lane - 1) - 1 hashes, ties as 0.
 
     Counters of ``lane`` bits lie side by side in longs, so a hash is added to all 64 counters by
     ``lane`` additions; adding half a counter's range less the majority sets its last bit but one where it has won.
@@ -127,7 +129,7 @@ def simhashes(rows: DataFrame) -> DataFrame:
     hashed = rows.select("lid", F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))).alias("hashes"))  # made once
     features = F.array_distinct("hashes")
     features = F.when(F.size(features) <= FEATURES, features).otherwise(F.slice(F.sort_array(features), 1, FEATURES))
-    return hashed.select("lid", _as_characters(F.col("hashes")).alias("line"), F.explode(F.array(features)).alias("features")).select("lid", F.when(F.size("features") < 64, _simhash(F.col("features"), 8)).otherwise(_simhash(F.col("features"), 16)).alias("sim"), "line")
+    return hashed.select("lid", _as_characters(F.col("hashes")).alias("line"), F.explode(F.array(features)).alias("features")).select("lid", F.when(F.size("features") < 128, _simhash(F.col("features"), 8)).otherwise(_simhash(F.col("features"), 16)).alias("sim"), "line")
 
 
 def _differ(a: str, b: str) -> Column:
@@ -161,15 +163,12 @@ def _alike(similarity: float) -> Column:
 
 
 def _with_company(keys: DataFrame, similarity: float) -> DataFrame:
-    """``key, lid, n, i, crowd`` of the keys that several classes share; in keys of up to CROWD only classes with another of like length and like place."""
-    crowds = written(keys.groupBy("key").agg(F.count_distinct("lid").alias("crowd")).filter("crowd > 1"), "line-crowds")
+    """``key, lid, n, i, crowd`` of the keys that several classes share; in keys of up to CROWD only classes with another of like length and place."""
+    crowds = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"), "line-crowds")
     shared = keys.join(maybe_broadcast(crowds), "key")
-    small = shared.filter(F.col("crowd") <= CROWD)
-    reach = (1 / F.lit(similarity) - 1) * F.col("n") + F.lit(1e-9)  # edits that the longer of two lines allows
-    for c in ("n", "i"):
-        here = Window.partitionBy("key").orderBy(c)  # of CROWD lines
-        small = small.withColumns({"less": F.lag(c).over(here), "more": F.lead(c).over(here)})
-        small = small.filter((F.col(c) - F.col("less") <= reach) | (F.col("more") - F.col(c) <= reach)).drop("less", "more")
+    other = keys.select(F.col("key").alias("key_b"), F.col("lid").alias("lid_b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"))
+    company = (F.col("key") == F.col("key_b")) & (F.col("lid") != F.col("lid_b")) & _alike(similarity)
+    small = shared.filter(F.col("crowd") <= CROWD).join(other, company, "left_semi")
     return written(small.unionByName(shared.filter(F.col("crowd") > CROWD)), "line-members")
 
 
@@ -242,7 +241,7 @@ def line_components(keys: DataFrame, lines: DataFrame, docs: DataFrame, most_bit
 
 def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS, most_bits: int = MOST_BITS, similarity: float = SIMILARITY) -> DataFrame:
     """``k1, k2, dropped``: the numbers (from 0) of the lines that each document loses."""
-    keyed = written(line_keys(docs, least_words), "lines")
+    keyed = written(line_keys(docs, least_words), "lines", "snappy")
     lines = keyed.filter("key is null").select("k1", "k2", "pos", "lid")
     each = keyed.filter("key is not null").select("key", "lid", "n", "i")
     shared = written(each.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).filter("lo <> hi").select("key"), "line-shared")

@@ -188,7 +188,7 @@ def splits_at_space(content: bytes) -> bool:
     t = json.loads(content)
     pre = t.get("pre_tokenizer") or {}
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and pre.get("add_prefix_space") is False and t.get("normalizer") is None
-    return plain and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or any(c.isspace() for c in a["content"]) for a in t["added_tokens"])
+    return plain and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or any(c.isspace() for c in a["content"]) or a["content"][:1].isalpha() for a in t["added_tokens"])
 
 
 def _ids(batches: Iterator[pa.RecordBatch], content: bytes, end: int, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -79,11 +79,14 @@ def drops_space(content: bytes) -> bool:
     t = json.loads(content)
     steps = (t.get("pre_tokenizer") or {}).get("pretokenizers", [])
     split = steps[0] if steps else {}
+    # Normalisers that a Latin word's lower case stands for, and that make no space and no word of two.
+    norms = (t.get("normalizer") or {}).get("normalizers", [])
+    plain = [n["type"] for n in norms] == ["NFC", "Replace", "Lowercase"] and norms[1]["pattern"] == {"Regex": r"\s+"} and norms[1]["content"] == " "
     return (
-        split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed"
+        plain and split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed"
         and split.get("pattern", {}).get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         and all(s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in steps[1:])
-        and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or any(c.isspace() for c in a["content"]) for a in t["added_tokens"])
+        and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or any(c.isspace() for c in a["content"]) or a["content"][:1].isalpha() for a in t["added_tokens"])
     )
 
 

@@ -9,8 +9,8 @@ without unions, the host's wrapper. Each of its slots counts the pages, characte
 links that it has taken.
 
 The wrapper decides the text. From its root one descends into the element whose slots hold half or
-more of all text that varies, as long as it is no repetition and no varying heading is left
-outside. Names break ties: of the elements on that way an article (or main) element is taken, and one
+more of all text that varies, as long as it is no repetition, no part of a text (a paragraph, a list) and no varying
+heading is left outside. Names break ties: of the elements on that way an article (or main) element is taken, and one
 that lies elsewhere if it holds a quarter. Each page is then matched with the wrapper, and what its
 element of that place holds is its main text; the slots and constants of an article are taken whole, of
 another element without what is template. Menus, headers, footers, sidebars, notices, adverts, forms,
@@ -50,6 +50,7 @@ CLOSES_P = frozenset(
 )
 SIBLING = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}}
+PARTS = frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre figure".split())  # parts of a text, never all of it
 # Fixed values of this operator: elements, roles and words of class or id that hold no main text.
 NO_TEXT = frozenset("head script style noscript template iframe object svg canvas nav aside form button select textarea menu dialog footer noembed noframes title search".split())
 NO_ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
@@ -249,8 +250,8 @@ def settle(root: Node) -> None:
         x.kind = x.kind.removeprefix("word ") if id(x) in kept else "out"
 
 
-# A wrapper is nested lists, so that it can be written as JSON: ["#", digest, characters, in links, pages] is a text, a slot
-# if its digest is 0; ["e", token, kind, items] is an element and ["g", items] a group; an item is [least, most, node], most 0 for
+# A wrapper is nested lists, so that it can be written as JSON: ["#", digest, characters, in links, pages] is a text (or
+# repeated ones, by a digest of all), a slot if its digest is 0; ["e", token, kind, items] is an element and ["g", items] a group; an item is [least, most, node], most 0 for
 # any number. An element whose items became too many has them by tag alone: their tokens end in ".*".
 
 
@@ -305,7 +306,9 @@ def folded(items: list) -> list:
 def merged(a: list, b: list, same: bool = False) -> list:
     """Two nodes with the same token as one; ``same`` says that both are of one page."""
     if a[0] == "#":
-        return ["#", a[1] if a[1] == b[1] else 0, a[2] + b[2], a[3] + b[3], max(a[4], b[4]) if same else a[4] + b[4]]
+        if same:  # one after the other: equal on pages where both are
+            return ["#", a[1] and b[1] and xxhash.xxh3_64_intdigest(f"{a[1]} {b[1]}") or 0, a[2] + b[2], a[3] + b[3], max(a[4], b[4])]
+        return ["#", a[1] if a[1] == b[1] else 0, a[2] + b[2], a[3] + b[3], a[4] + b[4]]
     if a[0] == "g":
         return ["g", aligned(a[1], b[1], same)]
     kind = b[2] if a[2] == "out" else a[2] or (b[2] if b[2] != "out" else "")
@@ -369,7 +372,7 @@ def aligned(a: list, b: list, same: bool = False) -> list:
         else:
             item, j = [0, *b[j][1:]], j + 1
         if out and token(out[-1][2]) == token(item[2]):
-            out[-1] = [min(out[-1][0], item[0]), 0, merged(out[-1][2], item[2], True)]
+            out[-1] = [min(out[-1][0], item[0]), 0, merged(out[-1][2], item[2], same)]
         else:
             out.append(item)
     return out if len(out) <= MOST_ITEMS or _by_tag(out) else _general(out)
@@ -444,7 +447,7 @@ class Placed:
             inner = self._inner(way[-1])
             best, repeated = max(inner, key=lambda x: of(x[0]), default=(None, True))
             named = best is not None and best[2] in ("article", "main")
-            if best is None or 2 * of(best) < total or repeated and not named:
+            if best is None or 2 * of(best) < total or not named and (repeated or re.split(r"[.]", best[1])[0] in PARTS):
                 break
             if not named and any(x is not best and re.match(r"h[1-6]\b", x[1]) and of(x) for x, _ in inner):
                 break

@@ -11,6 +11,7 @@ import math
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import regex
@@ -284,7 +285,8 @@ def test_wrappers_fold_and_align():
 
     a, b, c = "<div><h2>x</h2><p>1</p><p>2</p></div>", "<div><h2>y</h2><p>1</p><table><td>z</table></div>", "<div><p>1</p></div>"
     assert inferred(a, b, c) == "#(div(h2(#)? p(#)+ table(td(=))?))"
-    assert inferred("<dl><dt>a<dd>b<dt>c<dd>d</dl>") == "#(dl((dt(#) dd(#))+))"
+    assert inferred(a, a) == "#(div(h2(=) p(=)+))" and inferred(a, a.replace(">2<", ">3<")) == "#(div(h2(=) p(#)+))"
+    assert inferred("<dl><dt>a<dd>b<dt>c<dd>d</dl>") == "#(dl((dt(=) dd(=))+))"
     assert inferred("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "<dl><dt>a<dd>b</dl>") == "#(dl((dt(#) dd(#))+))"
     assert inferred("<p>same<div>x</div>", "<p>same<div>y</div>") == "#(p(=) div(#))"  # equal text is template
     many = ["<div>" + "".join(f"<p class='n{chr(97 + (7 * i + k) % 26)}{chr(97 + k % 26)}{chr(97 + i % 26)}'>{i}</p>" for i in range(60)) + "</div>" for k in range(20)]
@@ -295,18 +297,19 @@ def nameless(i, body="div"):
     """A page without article, roles or names: links, a constant notice, a line that varies, the story, and a foot."""
     links = "".join(f"<li><a href=/{i}{k}>Section {i} {k}</a>" for k in range(30))
     story = f"<h2>Story {i}</h2><p>Text number {i} says something that no other page says, at length.</p><p>And so does paragraph two of {i}.</p>"
-    return f"<html><body><div><ul>{links}</ul></div><p>This notice is the same on every page and it is as long as stories are, or longer still.</p><table><td>Seen {i} times</table><{body}>{story}<p>Our paper</p></{body}><center>About {i}</center></body></html>"
+    notice = "<div><p>This notice is the same on every page.</p><p>" + "It is as long as stories are, and longer still. " * 8 + "</p></div>"
+    return f"<html><body><div><ul>{links}</ul></div>{notice}<table><td>Seen {i} times</table><{body}>{story}<p>Our paper</p></{body}><center>About {i}</center></body></html>"
 
 
 def test_wrappers_decide_without_names(spark, monkeypatch):
     pages = [(f"http://n.example/{i}", nameless(i)) for i in range(24)] + [(f"http://n.example/{i}", nameless(i, "section")) for i in range(24, 30)]
     want = {i: f"Story {i}\nText number {i} says something that no other page says, at length.\nAnd so does paragraph two of {i}." for i in range(30)}
     got = texts_of(spark, pages)
-    assert all(got[i].startswith(want[i]) and "notice" not in got[i] and "Section" not in got[i] and "Seen" not in got[i] and "About" not in got[i] for i in range(30))
-    with monkeypatch.context() as m:  # without what other pages tell, each page is a host of its own
-        one = wrappers.infer_wrappers
+    assert all(got[i].startswith(want[i]) and "notice" not in got[i] and "longer still" not in got[i] and "Section" not in got[i] and "Seen" not in got[i] and "About" not in got[i] for i in range(30))
+    with monkeypatch.context() as m:  # each page a host of its own: without what other pages tell, the longest part is the notice
         m.setattr(wrappers, "host_of", lambda url: F.coalesce(url, F.lit("")))
-        assert wrappers.infer_wrappers is one and texts_of(spark, pages) != got
+        alone = texts_of(spark, pages)
+    assert all("notice" in alone[i] and "Story" not in alone[i] for i in range(30))
 
 
 def test_wrappers_do_not_depend_on_tasks(spark):
@@ -351,6 +354,40 @@ def test_cutoffs_keep_the_good(spark):
     assert few.filter("not kept").count() == 0
 
 
+def test_cutoffs_act_by_stratum(spark, tmp_path):
+    """Strata of other sizes and dirt: the ladder's step in each by brute force, and the SQL's verdicts."""
+    rng = np.random.default_rng(2)
+    rows, labels = [], []
+    for lang, n, dirty in (("a", 900, 0.0), ("b", 900, 0.01), ("c", 900, 0.3), ("d", 100, 0.0)):
+        for _ in range(n):
+            i = len(rows)
+            good = rng.random() < 0.7
+            marks = "##" if (rng.random() < dirty if good else rng.random() < 0.8) else ""
+            rows.append((i, " ".join(f"w{i}q{k}{marks}" for k in range(30)), lang, "s", 1))
+            labels.append((i, int(good), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    truth = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in risk_rules.quality_rules(docs, truth).collect()}
+    for lang in "abcd":
+        mine = [(t.count("#") / 30, y) for (_, t, at, *_), (_, y, _) in zip(rows, labels) if at == lang]
+        n, step = sum(y for _, y in mine), None
+        for cut in [s["symbols_per_word"] for s in risk_rules.ladder(risk_rules.CUTOFFS)]:
+            k = sum(y and x > cut for x, y in mine)
+            tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(0.02) + (n - i) * math.log(0.98)) for i in range(k + 1))
+            if k >= n * 0.02 or tail > 0.05 / 4:
+                break
+            step = cut
+        refused = {i for (i, t, at, *_) in rows if at == lang and step is not None and t.count("#") / 30 > step}
+        assert {i for (i, _, at, *_) in rows if at == lang and not got[i]} == refused, lang
+        assert (lang in "ab") == bool(refused)  # dirt among the good, or too few labels, forbids the cut
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    truth.write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert_same(risk_rules.op4_risk_rules(spark, str(tmp_path)), risk_rules.ORACLE, con)
+
+
 def test_stage_drops_what_fails(spark, small, documents):
     out = risk_rules.quality_stage(spark, documents, small)
     assert out.columns == documents.columns
@@ -574,6 +611,31 @@ def test_equal_parts_have_equal_names():
     assert parsing_fingerprints.likeness(read, x) == 1.0
 
 
+def test_likeness_estimates_the_share_of_names(texts, monkeypatch):
+    """Against the names of both texts in full: the estimate's error is that of a sample of 48."""
+    long = [t for t in texts.values() if len(t) > 1500][:40]
+    pairs = [(t, parsing_fingerprints.edited(t, o)) for t, o in zip(long, long[1:])] + list(zip(long, long[1:])) + [(t, t[: len(t) * 9 // 10]) for t in long]
+    every = [x for pair in pairs for x in pair]
+    guess = parsing_fingerprints.parsed(every)
+    monkeypatch.setattr(parsing_fingerprints, "COARSE", 1 << 20)
+    monkeypatch.setattr(parsing_fingerprints, "FINE", 1 << 20)
+    whole = [set(p[1].tolist()) for p in parsing_fingerprints.parsed(every)]
+    monkeypatch.undo()
+    errors = []
+    for k in range(0, len(every), 2):
+        a, b = whole[k], whole[k + 1]
+        true = len(a & b) / len(a | b)
+        errors.append(parsing_fingerprints.likeness(guess[k], guess[k + 1]) - true)
+    assert np.sqrt(np.mean(np.square(errors))) < 0.08 and abs(np.mean(errors)) < 0.02
+
+
+def test_places_among_many_cuts(spark):
+    cuts = sorted({int(x) for x in np.random.default_rng(3).integers(-(10**9), 10**9, 2000)})
+    values = [*cuts[:50], *(c + 1 for c in cuts[::37]), -(10**10), 10**10, *cuts[250:260], cuts[-1]]
+    got = spark.createDataFrame([(v,) for v in values], "k long").select("k", parsing_fingerprints._below(F.col("k"), cuts).alias("n")).collect()
+    assert all(r["n"] == sum(c < r["k"] for c in cuts) for r in got)
+
+
 def test_fingerprints(spark, small, texts):
     got = {r["doc_id"]: r for r in parsing_fingerprints.op8_parsing_fingerprints(spark, small).collect()}
     order = sorted(texts, reverse=True)
@@ -668,6 +730,29 @@ def test_counts_and_cache(spark, documents, texts):
     assert spark.read.parquet(path).select("version").distinct().count() == 2
 
 
+def test_a_second_run_encodes_nothing(spark, documents, monkeypatch):
+    path = scratch(spark, "cache")
+    first = sorted(map(tuple, token_cache.token_counts(documents, P.path("word_bpe_49k.json"), path).collect()))
+
+    def never(*_):
+        raise AssertionError("a miss")
+
+    monkeypatch.setattr(token_cache, "_misses", never)
+    assert sorted(map(tuple, token_cache.token_counts(documents, P.path("word_bpe_49k.json"), path).collect())) == first
+
+
+def test_other_settings_go_to_the_library():
+    """The short cuts hold for the files' own settings only."""
+    t = json.load(open(P.path("word_bpe_49k.json")))
+    assert token_cache.drops_space(json.dumps(t).encode())
+    for change in ({"normalizer": None}, {"normalizer": {"type": "NFC"}}, {"added_tokens": [t["added_tokens"][0] | {"content": "abc"}]}):
+        assert not token_cache.drops_space(json.dumps(t | change).encode())
+    t = json.load(open(P.path("byte_bpe_50k.json")))
+    assert rans.splits_at_space(json.dumps(t).encode())
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"added_tokens": [t["added_tokens"][0] | {"content": "abc"}]}):
+        assert not rans.splits_at_space(json.dumps(t | change).encode())
+
+
 def test_words_give_the_librarys_counts():
     content = open(P.path("word_bpe_49k.json"), "rb").read()
     c = token_cache.Counter(content, "json")
