@@ -11,18 +11,18 @@ def _text(part) -> Column:
 
 
 def draw(*parts) -> Column:
-    """An integer in [0, 2**32) that depends on the parts only: the first 32 bits of the MD5 of the parts joined by colons."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *map(_text, parts))), 1, 8), 16, 10).cast("long")
+    """An integer in [0, 2**60) that depends on the parts only: the first 60 bits of the MD5 of the parts joined by colons."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *map(_text, parts))), 1, 15), 16, 10).cast("long")
 
 
 def uniform(*parts) -> Column:
     """:func:`draw` as a number in [0, 1)."""
-    return draw(*parts) / F.lit(4294967296.0)
+    return draw(*parts) / F.lit(1152921504606846976.0)
 
 
 def draw_sql(*parts: str) -> str:
     """DuckDB text of :func:`draw`; the parts are SQL expressions."""
-    return "('0x' || substr(md5(concat_ws(':', " + ", ".join(parts) + ")), 1, 8))::BIGINT"
+    return "('0x' || substr(md5(concat_ws(':', " + ", ".join(parts) + ")), 1, 15))::BIGINT"
 
 
 def int8_encode(value: Column, scale: float, zero: float = 0.0) -> Column:

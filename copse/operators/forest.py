@@ -36,7 +36,7 @@ NODES = (
 )
 
 #: Cells (rows times features) up to which trees are grown whole in a task, and nodes up to which a forest travels to the rows.
-WHOLE_CELLS, SENT_NODES = 40_000_000, 4_000_000
+WHOLE_CELLS, SENT_NODES = 4_000_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -183,29 +183,46 @@ def _grow_by_level(rows: DataFrame, bag: DataFrame, params: GrowParams, p: int,
 # -- a tree a task -----------------------------------------------------------------------
 
 def _draw(*parts) -> int:
-    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:15], 16)
 
 
-def _best_numeric(b: np.ndarray, x: np.ndarray, stats: np.ndarray, by_class: bool):
-    """(score, bin, split value) of the best cut of one feature; stats has a row a row: weights by class, or moments."""
+def _best_numeric(node: np.ndarray, k: int, b: np.ndarray, x: np.ndarray, stats: np.ndarray, t: np.ndarray, by_class: bool):
+    """(score, bin, split value) of the best cut of one feature in each of k nodes at once; -inf where there is none.
+
+    Rows come with their node; stats has a row a row: weights by class, or moments. Cells are the bins of a node that
+    hold rows, in order, so running sums over cells less those before the node are what lies left of a cut.
+    """
+    score, at, value = np.full(k, -np.inf), np.zeros(k, np.int64), np.full(k, np.nan)
+    if not len(node):
+        return score, at, value
     size = int(b.max()) + 1
-    hist = np.stack([np.bincount(b, s, size) for s in stats.T], axis=1)
-    left = np.cumsum(hist, axis=0)
-    right = left[-1] - left
+    key = node.astype(np.int64) * size + b
+    order = np.argsort(key.astype(np.uint16) if k * size <= 1 << 16 else key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    of, bins = np.divmod(key[starts], size)
+    cells = np.add.reduceat(stats[order], starts, axis=0)
+    low, high = np.fmin.reduceat(x[order], starts), np.fmax.reduceat(x[order], starts)
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    many = np.diff(first, append=len(of))
+    sums = np.cumsum(cells, axis=0)
+    left = sums - np.repeat(sums[first] - cells[first], many, axis=0)
+    right = t[of] - left
     nl, nr = (left.sum(axis=1), right.sum(axis=1)) if by_class else (left[:, 0], right[:, 0])
-    # A cut after an empty bin is the cut before it; only bins that hold rows count.
-    ok = (nl >= 1) & (nr >= 1) & (np.bincount(b, minlength=size) > 0)
-    if not ok.any():
-        return None
     with np.errstate(divide="ignore", invalid="ignore"):
         if by_class:
-            score = (left * left).sum(axis=1) / nl + (right * right).sum(axis=1) / nr
+            each = (left * left).sum(axis=1) / nl + (right * right).sum(axis=1) / nr
         else:
-            score = left[:, 1] * left[:, 1] / nl + right[:, 1] * right[:, 1] / nr
-    at = int(np.where(ok, score, -np.inf).argmax())
-    with np.errstate(all="ignore"):
-        below, above = np.nanmax(np.append(x[b <= at], -np.inf)), np.nanmin(np.append(x[b > at], np.inf))
-    return float(score[at]), at, float(below if np.isinf(above) else (below + above) / 2)
+            each = left[:, 1] * left[:, 1] / nl + right[:, 1] * right[:, 1] / nr
+    each = np.where((nl >= 1) & (nr >= 1), each, -np.inf)
+    most = np.maximum.reduceat(each, first)
+    hit = np.flatnonzero((each == np.repeat(most, many)) & (each > -np.inf))
+    owner, place = np.unique(of[hit], return_index=True)  # the first of equals
+    cell = hit[place]
+    above = low[np.minimum(cell + 1, len(low) - 1)]
+    score[owner], at[owner] = each[cell], bins[cell]
+    value[owner] = np.where(np.isnan(above), high[cell], (high[cell] + above) / 2)
+    return score, at, value
 
 
 def _best_categorical(b: np.ndarray, x: np.ndarray, stats: np.ndarray, by_class: bool, params: GrowParams, name: str):
@@ -232,60 +249,85 @@ def _best_categorical(b: np.ndarray, x: np.ndarray, stats: np.ndarray, by_class:
     return found
 
 
-def _grow_tree(tree: int, b: np.ndarray, x: np.ndarray, y: np.ndarray, nin: np.ndarray, params: GrowParams, classes: int) -> list[tuple]:
-    """Node rows of one tree; b, x: rows by features, nin: multiplicities."""
-    by_class = params.task == "class"
+def _asked(params: GrowParams, tree: int, nodes: np.ndarray, can: np.ndarray, p: int) -> np.ndarray:
+    """Which features each node asks: nodes by features."""
+    out = np.zeros((len(nodes), p), bool)
+    if params.mtry >= p:
+        out[can] = True
+        return out
+    for i in np.flatnonzero(can):
+        node = int(nodes[i])
+        out[i, sorted(range(p), key=lambda f: (_draw(params.seed, tree, node, f), f))[: params.mtry]] = True
+    return out
+
+
+def _grow_tree(tree: int, b: np.ndarray, x: np.ndarray, y: np.ndarray, nin: np.ndarray, params: GrowParams, classes: int) -> pd.DataFrame:
+    """Node rows of one tree, all nodes of a level at once; b, x: rows by features, nin: multiplicities."""
+    by_class, p = params.task == "class", b.shape[1]
     inside = np.flatnonzero(nin)
-    w = nin[inside].astype(float) if params.casewise else np.ones(len(inside))
+    b, x, y, nin = b[inside], x[inside], y[inside], nin[inside]
+    w = nin.astype(float) if params.casewise else np.ones(len(inside))
     if by_class:
         stats = np.zeros((len(inside), classes))
-        stats[np.arange(len(inside)), y[inside].astype(int)] = w
+        stats[np.arange(len(inside)), y.astype(int)] = w
     else:
-        stats = np.stack([w, w * y[inside], w * y[inside] ** 2], axis=1)
-    out, level, used = [], [(0, np.arange(len(inside)))], 1
+        stats = np.stack([w, w * y, w * y**2], axis=1)
+    rows, node, used = np.arange(len(inside)), np.zeros(len(inside), np.int64), 1
+    out: list[pd.DataFrame] = []
     for depth in range(params.max_depth + 1):
-        below: list[tuple[int, np.ndarray]] = []
-        room = params.max_nodes - used
-        for node, rows in sorted(level, key=lambda e: e[0]):
-            if not len(rows):
-                continue
-            t = stats[rows].sum(axis=0)
-            if by_class:
-                can = len(rows) >= max(2, params.min_node) and (t > 0).sum() > 1
-            else:
-                can = len(rows) >= max(2, 2 * params.min_node) and t[2] / t[0] - (t[1] / t[0]) ** 2 >= 1e-6
-            found = None
-            if can and depth < params.max_depth and used + 2 <= params.max_nodes and room >= 2:
-                p = b.shape[1]
-                features = sorted(sorted(range(p), key=lambda f: (_draw(params.seed, tree, node, f), f))[: params.mtry])
-                for f in features:
-                    fb, fx, fs = b[inside[rows], f], x[inside[rows], f], stats[rows]
-                    if f in params.categorical:
-                        got = _best_categorical(fb, fx, fs, by_class, params, f"{tree}:{node}:{f}")
-                        got = got and (got[0], got[1], None, got[2])
-                    else:
-                        got = _best_numeric(fb, fx, fs, by_class)
-                        got = got and (*got, None)
-                    if got and (found is None or got[0] > found[0]):
-                        found = (*got, f)
-                if found and not by_class and (found[0] - t[1] * t[1] / t[0]) / t[0] < 1e-6:
-                    found = None
-            label = int(t.argmax()) if by_class else None
-            mean = None if by_class else float(t[1] / t[0] if params.casewise else y[inside[rows]].mean())
-            weight = float(nin[inside[rows]].sum() / len(rows))
-            if found:
-                room -= 2
-                _, cut, value, cats, f = found
-                go = np.isin(x[inside[rows], f], cats) if cats is not None else b[inside[rows], f] <= cut
-                below += [(2 * node + 1, rows[go]), (2 * node + 2, rows[~go])]
-                out.append((tree, node, SPLIT, f, value, cats, 2 * node + 1, 2 * node + 2, label, mean, weight, len(rows), depth))
-            else:
-                out.append((tree, node, TERMINAL, None, None, None, None, None, label, mean, weight, len(rows), depth))
-        used += len(below)
-        level = below
-        if not level:
+        if not len(rows):
             break
-    return out
+        nodes, of = np.unique(node, return_inverse=True)
+        k, n = len(nodes), np.bincount(of)
+        t = np.stack([np.bincount(of, s, k) for s in stats[rows].T], axis=1)
+        if by_class:
+            can = (n >= max(2, params.min_node)) & ((t > 0).sum(axis=1) > 1)
+        else:
+            can = (n >= max(2, 2 * params.min_node)) & (t[:, 2] / t[:, 0] - (t[:, 1] / t[:, 0]) ** 2 >= 1e-6)
+        room = params.max_nodes - used
+        score, feature, cut, value, cats = np.full(k, -np.inf), np.full(k, -1), np.zeros(k, np.int64), np.full(k, np.nan), np.full(k, None, object)
+        if depth < params.max_depth and room >= 2 and can.any():
+            asked = _asked(params, tree, nodes, can, p)
+            for f in np.flatnonzero(asked.any(axis=0)):
+                mine = np.flatnonzero(asked[of, f])
+                r, o = rows[mine], of[mine]
+                if f in params.categorical:
+                    got, at, v, c = np.full(k, -np.inf), np.zeros(k, np.int64), np.full(k, np.nan), np.full(k, None, object)
+                    order = np.argsort(o, kind="stable")
+                    for part in np.split(order, np.flatnonzero(np.diff(o[order])) + 1):
+                        i, each = o[part[0]], r[part]
+                        found = _best_categorical(b[each, f], x[each, f], stats[each], by_class, params, f"{tree}:{nodes[i]}:{f}")
+                        if found:
+                            got[i], at[i], c[i] = found
+                else:
+                    got, at, v = _best_numeric(o, k, b[r, f], x[r, f], stats[r], t, by_class)
+                    c = np.full(k, None, object)
+                better = got > score
+                score[better], feature[better], cut[better], value[better], cats[better] = got[better], f, at[better], v[better], c[better]
+        split_here = feature >= 0
+        if not by_class:
+            with np.errstate(invalid="ignore"):
+                split_here &= (score - t[:, 1] * t[:, 1] / t[:, 0]) / t[:, 0] >= 1e-6
+        split_here &= 2 * np.cumsum(split_here) <= room
+        mean = None if by_class else t[:, 1] / t[:, 0] if params.casewise else np.bincount(of, y[rows], k) / n
+        no = lambda a: pd.array(np.where(split_here, a, 0), dtype="Int64").copy()
+        children = {"left_id": no(2 * nodes + 1), "right_id": no(2 * nodes + 2), "feature": no(feature)}
+        for column in children.values():
+            column[~split_here] = pd.NA
+        out.append(pd.DataFrame({
+            "tree_id": tree, "node_id": nodes, "status": np.where(split_here, SPLIT, TERMINAL), "feature": children["feature"], "split_value": np.where(split_here, value, np.nan),
+            "cats_left": np.where(split_here, cats, None), "left_id": children["left_id"], "right_id": children["right_id"],
+            "node_class": pd.array(t.argmax(axis=1) if by_class else [None] * k, dtype="Int64"), "node_pred": np.nan if mean is None else mean,
+            "node_weight": np.bincount(of, nin[rows], k) / n, "n": n, "depth": depth}))
+        used += 2 * int(split_here.sum())
+        keep = split_here[of]
+        rows, of, node = rows[keep], of[keep], node[keep]
+        go = b[rows, feature[of]] <= cut[of]
+        for i in [i for i in np.flatnonzero(split_here) if cats[i] is not None]:
+            here = np.flatnonzero(of == i)
+            go[here] = np.isin(x[rows[here], feature[i]], cats[i])
+        node = np.where(go, 2 * node + 1, 2 * node + 2)
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame()
 
 
 def _grow_whole(rows: DataFrame, bag: DataFrame, params: GrowParams, p: int, classes: int) -> DataFrame:
@@ -304,7 +346,7 @@ def _grow_whole(rows: DataFrame, bag: DataFrame, params: GrowParams, p: int, cla
         at = np.minimum(np.searchsorted(ids, part["row_id"].to_numpy()), len(ids) - 1)
         known = ids[at] == part["row_id"].to_numpy()
         nin[at[known]] = part["nin"].to_numpy()[known]
-        return pd.DataFrame(_grow_tree(int(key[0]), b, x, y, nin, params, classes), columns=names).astype({"feature": "Int32", "left_id": "Int64", "right_id": "Int64", "node_class": "Int32"})
+        return _grow_tree(int(key[0]), b, x, y, nin, params, classes).reindex(columns=names)
 
     # A tree a partition, as many tasks as trees; a bag's rows fit a task as the whole table does.
     return materialised(bag.repartition(params.n_trees, "tree_id").groupBy("tree_id").applyInPandas(run, NODES), "nodes")
@@ -396,21 +438,66 @@ def route(rows: DataFrame, nodes: DataFrame, keep: Sequence[str] = (), by_join:
     return rows.mapInArrow(run, schema)
 
 
+def _steps_by_join(at: DataFrame, nodes: DataFrame, keep: Sequence[str]) -> Iterator[DataFrame]:
+    """Rows (tree_id, x, kept columns) after each level of their tree, beginning at the root: ``node_id``, and the ``split_on`` feature of the step before (null where there was none)."""
+    inner = nodes.filter(F.col("status") == SPLIT).select(
+        "tree_id", "node_id", F.col("feature").alias("__f"), F.col("split_value").alias("__v"), F.col("cats_left").alias("__c"), F.col("left_id").alias("__l"), F.col("right_id").alias("__r"))
+    at = at.select("tree_id", "x", *keep, F.lit(0).cast("long").alias("node_id"))
+    yield at.withColumn("split_on", F.lit(None).cast("int"))
+    for _ in range(nodes.agg(F.max("depth")).first()[0] or 0):
+        value = F.get("x", F.col("__f"))
+        left = F.when(F.col("__c").isNotNull(), F.array_contains("__c", value)).otherwise(value <= F.col("__v"))
+        step = F.when(F.col("__f").isNull(), F.col("node_id")).when(F.coalesce(left, F.lit(False)), F.col("__l")).otherwise(F.col("__r"))
+        at = materialised(at.join(inner, ["tree_id", "node_id"], "left").select("tree_id", "x", *keep, step.alias("node_id"), F.col("__f").cast("int").alias("split_on")), "step")
+        yield at
+        at = at.drop("split_on")
+
+
 def _route_by_join(rows: DataFrame, nodes: DataFrame, keep: Sequence[str]) -> DataFrame:
-    inner = nodes.filter(F.col("status") == SPLIT).select("tree_id", "node_id", "feature", "split_value", "cats_left", "left_id", "right_id")
     trees = nodes.select("tree_id").distinct()
-    at = rows.select("row_id", "x", *keep).crossJoin(trees).withColumn("node_id", F.lit(0).cast("long"))  # a row a row and tree, as the result has
-    depth = nodes.agg(F.max("depth")).first()[0] or 0
-    for _ in range(depth):
-        value = F.col("x")[F.col("feature")]
-        left = F.when(F.col("cats_left").isNotNull(), F.array_contains("cats_left", value)).otherwise(value <= F.col("split_value"))
-        step = F.when(F.col("feature").isNull(), F.col("node_id")).when(F.coalesce(left, F.lit(False)), F.col("left_id")).otherwise(F.col("right_id"))
-        at = at.join(inner, ["tree_id", "node_id"], "left").select("row_id", "x", *keep, "tree_id", step.alias("node_id"))
+    at = rows.select("row_id", "x", *keep).crossJoin(trees)  # a row a row and tree, as the result has
+    for at in _steps_by_join(at, nodes, ["row_id", *keep]):
+        pass
     return at.select("tree_id", "row_id", *keep, F.col("node_id").alias("leaf_id"))
 
 
-def paths(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``tree_id, row_id, feature, depth``: each split on each row's way, depth from 1."""
+def reroute(changed: DataFrame, nodes: DataFrame, keep: Sequence[str], by_join: bool | None = None) -> DataFrame:
+    """``tree_id``, kept columns and ``leaf_id`` of rows (tree_id, x) in their own tree only; large forests (a checked number of nodes) by joins."""
+    if by_join is None:
+        by_join = nodes.count() > SENT_NODES
+    if by_join:
+        for at in _steps_by_join(changed, nodes, keep):
+            pass
+        return at.select("tree_id", *keep, F.col("node_id").alias("leaf_id"))
+    sent = nodes.sparkSession.sparkContext.broadcast(_trees(nodes.collect()))
+    changed = changed.select("tree_id", *keep, "x")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in changed.schema.fields[:-1]) + ", leaf_id long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tree_ids = batch.column("tree_id").to_numpy()
+            leaf = np.zeros(batch.num_rows, np.int64)
+            if batch.num_rows:
+                x = _matrix(batch.column("x"))
+                for t in np.unique(tree_ids):
+                    at = np.flatnonzero(tree_ids == t)
+                    tree = sent.value[int(t)]
+                    leaf[at] = tree.ids[_walk(tree, x[at])]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("tree_id", *keep)], pa.array(leaf)], ["tree_id", *keep, "leaf_id"])
+
+    return changed.mapInArrow(run, schema)
+
+
+def paths(rows: DataFrame, nodes: DataFrame, by_join: bool | None = None) -> DataFrame:
+    """``tree_id, row_id, feature, depth``: each split on each row's way, depth from 1. Large forests (a checked number of nodes) by joins."""
+    if by_join is None:
+        by_join = nodes.count() > SENT_NODES
+    if by_join:
+        levels = list(_steps_by_join(rows.select("row_id", "x").crossJoin(nodes.select("tree_id").distinct()), nodes, ["row_id"]))  # a row a row and tree
+        out = levels[0].filter(F.lit(False)).select("tree_id", "row_id", F.col("split_on").alias("feature"), F.lit(0).alias("depth"))
+        for depth, at in enumerate(levels[1:], 1):
+            out = out.union(at.filter("split_on is not null").select("tree_id", "row_id", "split_on", F.lit(depth)))
+        return out
     sent = rows.sparkSession.sparkContext.broadcast(_trees(nodes.collect()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copse.functions.portable import draw
-from copse.operators.forest import paths, route
+from copse.operators.forest import paths, reroute, route
 from copse.operators.prep import with_row_id
 from copse.operators.votes import argmax_class, class_votes, mean_prediction, with_leaf
 
@@ -26,29 +26,7 @@ def _swapped(x: Column, feature: Column, value: Column) -> Column:
 
 def _rerouted(changed: DataFrame, nodes: DataFrame) -> DataFrame:
     """``tree_id, row_id, feature, k, leaf_id`` of rows (tree_id, row_id, feature, k, x) in their own tree only."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    from copse.operators.forest import _matrix, _trees, _walk
-
-    sent = nodes.sparkSession.sparkContext.broadcast(_trees(nodes.collect()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for batch in batches:
-            tree_ids = batch.column("tree_id").to_numpy()
-            leaf = np.zeros(batch.num_rows, np.int64)
-            if batch.num_rows:
-                x = _matrix(batch.column("x"))
-                for t in np.unique(tree_ids):
-                    at = np.flatnonzero(tree_ids == t)
-                    tree = sent.value[int(t)]
-                    leaf[at] = tree.ids[_walk(tree, x[at])]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("tree_id", "row_id", "feature", "k")] + [pa.array(leaf)], ["tree_id", "row_id", "feature", "k", "leaf_id"])
-
-    return changed.select("tree_id", "row_id", "feature", "k", "x").mapInArrow(run, "tree_id int, row_id long, feature int, k int, leaf_id long")
+    return reroute(changed, nodes, ["row_id", "feature", "k"])
 
 
 def oob_donors(leaves: DataFrame, seed: int | str = 42) -> DataFrame:

@@ -134,8 +134,7 @@ def tune_threshold(
     """The row of :func:`threshold_sweep` that serves the objective best, the lowest threshold of equals.
 
     Constraints that no threshold meets are dropped (``constrained`` is false then). A target
-    precision asks for the highest recall at that precision, a target recall for the highest
-    precision at that recall.
+    asks for the threshold whose precision (or recall) is nearest to it.
     """
     swept = threshold_sweep(df, grid)
     p, r = F.col("precision"), F.col("recall")
@@ -144,9 +143,9 @@ def tune_threshold(
         raise ValueError(f"unknown objective {objective!r}")
     goal, ok = goals[objective], F.lit(True)
     if target_precision is not None:
-        goal, ok = r, p >= target_precision
+        goal = -F.abs(p - target_precision)
     elif target_recall is not None:
-        goal, ok = p, r >= target_recall
+        goal = -F.abs(r - target_recall)
     else:
         ok = (p >= (min_precision or 0.0)) & (r >= (min_recall or 0.0))
     ranked = swept.withColumn("constrained", ok).withColumn("goal", F.round(goal, 12))

@@ -15,10 +15,23 @@ NOTHING = 1e-10
 def squared_sums(rows: DataFrame, others: DataFrame, n_trees: int) -> DataFrame:
     """``row_id, total``: the sum over all rows of ``others`` of the squared share of trees whose leaf they share with the row.
 
-    A squared count is a count of pairs of trees, so the sum over partners is a sum over
-    pairs of trees of the rows that are in both leaves. That grows with the rows, however
-    large the leaves are.
+    By counts of each pair of rows in a leaf, or without pairs of rows: a squared count is a
+    count of pairs of trees, so the sum over partners is a sum over pairs of trees of the rows
+    that are in both leaves. The first grows with the leaves' sizes, the second with the square
+    of the trees; the cheaper one is taken, by counts.
     """
+    sizes = lambda df, c: df.groupBy("tree_id", "leaf_id").agg(F.count(F.lit(1)).alias(c))
+    by_rows = sizes(rows, "a").join(sizes(others, "b"), ["tree_id", "leaf_id"]).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+    by_trees = (rows.count() + others.count()) * (n_trees + 1) / 2
+    if by_rows <= by_trees:
+        partners = others.select("tree_id", "leaf_id", F.col("row_id").alias("j"))
+        shared = rows.select("tree_id", "leaf_id", "row_id").join(partners, ["tree_id", "leaf_id"]).groupBy("row_id", "j").agg(F.count(F.lit(1)).alias("c"))
+        sums = shared.groupBy("row_id").agg((F.sum(F.col("c") * F.col("c")) / F.lit(float(n_trees) ** 2)).alias("total"))
+        return rows.select("row_id").distinct().join(sums, "row_id", "left").select("row_id", F.coalesce("total", F.lit(0.0)).alias("total"))
+    return _by_pairs_of_trees(rows, others, n_trees)
+
+
+def _by_pairs_of_trees(rows: DataFrame, others: DataFrame, n_trees: int) -> DataFrame:
     def pairs(df: DataFrame, name: str) -> DataFrame:
         packed = df.groupBy(F.col("row_id").alias(name)).agg(F.sort_array(F.collect_list(F.struct("tree_id", "leaf_id"))).alias("at"))  # one entry a tree
         first = packed.select(name, "at", F.posexplode("at").alias("k", "s"))

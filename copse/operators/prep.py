@@ -6,14 +6,19 @@ ingest). Rows that take part in sampling have a dense ``row_id`` from 0.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copse.functions.portable import draw, uniform
+from copse.operators.prefix import running_sums
 from copse.plans.storage import materialised
 
+#: Distinct values of a feature up to which one task ranks them.
+RANK_ROWS = 1_000_000
+
 
 # -- ingest -----------------------------------------------------------------------------
 
@@ -120,10 +125,9 @@ def bin_edges(df: DataFrame, features: Sequence[str], n_bins: int = 256, categor
     the value itself as both ends. A single value has one bin.
     """
     distinct = long_form(df, features, ()).filter("value is not null").distinct()
-    ranked = distinct.withColumn("rank", F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1)
     sizes = distinct.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
     cats = F.col("feature").isin(list(categorical)) if categorical else F.lit(False)
-    placed = ranked.join(sizes, "feature")
+    placed = _ranked(distinct, sizes).join(sizes, "feature")
     by_category = placed.filter(cats).select("feature", F.col("rank").cast("int").alias("bin"), F.col("value").alias("lo"), F.col("value").alias("hi"))
     two = sizes.filter(~cats & (F.col("n") == 2)).withColumn("mid", (F.col("least") + F.col("most")) / 2)
     two = two.select("feature", F.explode(F.array(
@@ -139,6 +143,17 @@ def bin_edges(df: DataFrame, features: Sequence[str], n_bins: int = 256, categor
     return by_category.union(two).union(edged)
 
 
+def _ranked(distinct: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Values with their rank in their feature, from 0. Beyond RANK_ROWS values (counted) no task ranks a feature alone."""
+    counts = {r["feature"]: r["n"] for r in sizes.orderBy("feature").collect()}  # a row a feature
+    if max(counts.values(), default=0) <= RANK_ROWS:
+        return distinct.withColumn("rank", F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1)
+    before = dict(zip(counts, itertools.accumulate(counts.values(), initial=0)))
+    first = F.element_at(F.create_map(*[F.lit(x) for item in before.items() for x in item]), F.col("feature"))
+    at = running_sums(distinct.withColumn("one", F.lit(1).cast("long")), ["feature", "value"], ["one"], ["at"])
+    return at.select("feature", "value", (F.col("at") - 1 - first).alias("rank"))
+
+
 def edge_arrays(edges: DataFrame) -> dict[str, list[tuple[float, float]]]:
     """Bins of each feature on the driver: at most n_bins a feature, however many rows."""
     out: dict[str, list[tuple[float, float]]] = {}
@@ -181,7 +196,7 @@ def bootstrap(df: DataFrame, n_trees: int, seed: int | str = 12345, n: int | Non
     return picked.groupBy("tree_id", "row_id").agg(F.count(F.lit(1)).alias("nin"))
 
 
-def weighted_bootstrap(df: DataFrame, weight: str, n_trees: int, seed: int | str = 12345, bucket_rows: int = 4096) -> DataFrame:
+def weighted_bootstrap(df: DataFrame, weight: str, n_trees: int, seed: int | str = 12345, bucket_rows: int = 128) -> DataFrame:
     """:func:`bootstrap` in which a row's chance is its weight.
 
     A draw is a point on the running sum of the weights in row order. Runs of rows are

@@ -85,11 +85,12 @@ def prototypes(leaves: DataFrame, k: int, group: str | None = None) -> DataFrame
     return _top(rounded, "mean", k, "group", "row_id").select("group", "rank", "row_id", "mean")
 
 
-def top_cosine(queries: DataFrame, rows: DataFrame, k: int, vector: str = "x", blocks: int = 16) -> DataFrame:
-    """``i, rank, j, cosine`` of vectors, itself left out; a query set against all rows, in blocks.
+def top_cosine(queries: DataFrame, rows: DataFrame, k: int, vector: str = "x", block_rows: int = 50_000) -> DataFrame:
+    """``i, rank, j, cosine`` of vectors, itself left out; a query set against all rows, in blocks of some ``block_rows``, 16 at least.
 
     Each block of rows keeps its k best of each query before blocks meet.
     """
+    blocks = max(16, -(-rows.count() // block_rows))
     q = queries.select(F.col("row_id").alias("i"), unit(F.col(vector)).alias("u")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     r = rows.select(F.col("row_id").alias("j"), unit(F.col(vector)).alias("v")).withColumn("block", F.pmod(F.hash("j"), F.lit(blocks)))
     scored = q.join(r, "block").filter("i <> j").select("block", "i", "j", F.round(dot(F.col("u"), F.col("v")), 9).alias("cosine"))

@@ -166,18 +166,9 @@ def label_dictionary(spark, sf_dir):
     return prep.dictionary(read(spark, sf_dir, "customer"), "c_mktsegment")
 
 
-@query("""WITH d AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS code FROM (SELECT DISTINCT p_brand AS b FROM part WHERE p_partkey % 2 = 0))
-SELECT p_partkey, code, b AS label FROM part LEFT JOIN d ON p_brand = b""")
-def encode_decode(spark, sf_dir):
-    """Codes learnt from half the parts, and what they decode to."""
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    labels = prep.dictionary(part.filter("p_partkey % 2 = 0"), "p_brand")
-    return prep.decode(prep.encode(part, "p_brand", labels), "code", labels).select("p_partkey", "code", "label")
-
-
 @query("""WITH d AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS code FROM (SELECT DISTINCT p_brand AS b FROM part))
 SELECT p_partkey, code, b AS label FROM part LEFT JOIN d ON p_brand = b""")
-def encode_decode_whole(spark, sf_dir):
+def encode_decode(spark, sf_dir):
     """Codes learnt from all parts, and what they decode to."""
     part = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
     labels = prep.dictionary(part, "p_brand")
@@ -190,7 +181,7 @@ def bootstrap_uniform(spark, sf_dir):
 
 
 @query(f"""WITH {BASE_SQL}, w AS (SELECT row_id, x1 + 1 AS w, sum(x1 + 1) OVER (ORDER BY row_id ROWS UNBOUNDED PRECEDING) AS upto FROM base),
-u AS (SELECT tree_id, {draw_sql("'wbag'", "tree_id", "d")} / 4294967296.0::DOUBLE * (SELECT max(upto) FROM w) AS u
+u AS (SELECT tree_id, {draw_sql("'wbag'", "tree_id", "d")} / 1152921504606846976.0::DOUBLE * (SELECT max(upto) FROM w) AS u
   FROM (SELECT unnest(range({TREES})) AS tree_id), (SELECT unnest(range((SELECT n FROM n))) AS d))
 SELECT tree_id::INT AS tree_id, row_id, count(*) AS nin FROM u JOIN w ON u >= upto - w AND u < upto GROUP BY 1, 2""")
 def bootstrap_weighted(spark, sf_dir):
@@ -265,7 +256,7 @@ def feature_engineering(spark, sf_dir):
     return r6(c.select("c_custkey", "nation", band.alias("band"), F.col("segment_BUILDING").alias("segment_building"), prep.ratio(F.col("c_acctbal"), F.col("raw")).alias("per_nation")))
 
 
-MASKED_SQL = f"""{BASE_SQL}, masked AS (SELECT row_id, {", ".join(f"CASE WHEN {draw_sql("'mask'", f"'{c}'", 'row_id')} / 4294967296.0::DOUBLE >= 0.15 THEN {c} END AS {c}" for c in ("x0", "x1", "x2"))} FROM base)"""
+MASKED_SQL = f"""{BASE_SQL}, masked AS (SELECT row_id, {", ".join(f"CASE WHEN {draw_sql("'mask'", f"'{c}'", 'row_id')} / 1152921504606846976.0::DOUBLE >= 0.15 THEN {c} END AS {c}" for c in ("x0", "x1", "x2"))} FROM base)"""
 
 
 def masked(spark, sf_dir):
@@ -277,11 +268,6 @@ def mask_cells(spark, sf_dir):
     return masked(spark, sf_dir)
 
 
-@query()
-def anomalies(spark, sf_dir):
-    return prep.inject_anomalies(customers(spark, sf_dir).select("row_id", "x0", "x1"), ["x0", "x1"], 0.1)
-
-
 # -- routing, votes ----------------------------------------------------------------------
 
 @query(f"WITH {STUB_SQL} SELECT tree_id::INT AS tree_id, row_id, leaf_id::BIGINT AS leaf_id, nin, is_oob FROM leaves")
@@ -466,13 +452,6 @@ def most_similar_label(spark, sf_dir):
     return votes.most_similar_label(pairs, s.rows.select("row_id", F.col("y").cast("int").alias("label")))
 
 
-@query()
-def cluster_labels(spark, sf_dir):
-    leaves = Stub(spark, sf_dir).leaves
-    pairs = proximity.finished(proximity.raw_proximity(leaves), votes.oob_count(leaves))
-    return proximity.cluster_labels(pairs, leaves.select("row_id").distinct(), 0.5)
-
-
 @query(f"WITH {STUB_SQL} SELECT tree_id::INT AS tree_id, leaf_id::BIGINT AS leaf_id, count(*) AS n, min(row_id) AS first_row FROM leaves GROUP BY 1, 2")
 def leaf_index(spark, sf_dir):
     return proximity.leaf_index(Stub(spark, sf_dir).leaves).select("tree_id", "leaf_id", "n", F.col("rows")[0].alias("first_row"))
@@ -562,7 +541,7 @@ def percentile_flags(spark, sf_dir):
     return outlier.percentile_flags(read(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("score"))).select("c_custkey", "flag")
 
 
-@query(f"""WITH s AS (SELECT c_mktsegment AS method, {draw_sql("'imp'", "c_custkey")} / 4294967296.0::DOUBLE AS p FROM customer),
+@query(f"""WITH s AS (SELECT c_mktsegment AS method, {draw_sql("'imp'", "c_custkey")} / 1152921504606846976.0::DOUBLE AS p FROM customer),
 m AS (SELECT method, avg(p) AS mean_p, avg((p > 0.5)::INT) AS share_above FROM s GROUP BY 1)
 SELECT method, round(mean_p, 6) AS mean_p, round(share_above, 6) AS share_above, (row_number() OVER (ORDER BY mean_p, method))::INT AS rank FROM m""")
 def rank_imputers(spark, sf_dir):
@@ -626,18 +605,6 @@ def path_importance(spark, sf_dir):
     return r6(importance.path_importance(s.rows, s.nodes, TREES))
 
 
-@query()
-def predicted_permutation(spark, sf_dir):
-    s = Stub(spark, sf_dir)
-    return r6(importance.predicted_permutation(s.rows, s.nodes, 3, 3))
-
-
-@query()
-def predicted_proximity_importance(spark, sf_dir):
-    s = Stub(spark, sf_dir)
-    return r6(importance.predicted_proximity_importance(s.rows, s.nodes, 3, 3))
-
-
 # -- imputation --------------------------------------------------------------------------
 
 FILL_SQL = "f0 AS (SELECT median(x0) AS f0 FROM masked), f1 AS (SELECT median(x1) AS f1 FROM masked), f2 AS (SELECT x2 AS f2 FROM masked WHERE x2 IS NOT NULL GROUP BY x2 ORDER BY count(*) DESC, x2 LIMIT 1)"
@@ -791,12 +758,6 @@ def calibration(spark, sf_dir):
     return r6(metrics.calibration(toxic(spark, sf_dir).withColumn("score", F.round(F.col("score") * 100) / 100)))
 
 
-@query()
-def bootstrap_ci(spark, sf_dir):
-    t = prep.with_row_id(toxic(spark, sf_dir).withColumnRenamed("row_id", "id"), ["id"])
-    return metrics.bootstrap_ci(t, replicates=50)
-
-
 @query("""WITH p AS (SELECT l_extendedprice AS y, l_quantity * 1500 AS p FROM lineitem), a AS (SELECT count(*) AS n, avg((y - p) * (y - p)) AS mse, avg(abs(y - p)) AS mae, corr(y, p) AS corr, var_pop(y) AS v FROM p)
 SELECT n, round(mse, 3) AS mse, round(sqrt(mse), 6) AS rmse, round(mae, 6) AS mae, round(corr, 6) AS corr, round(1 - mse / v, 6) AS r2 FROM a""")
 def regression_metrics(spark, sf_dir):
@@ -849,13 +810,12 @@ def user_ranking(spark, sf_dir):
     return r6(metrics.user_ranking(_recommended(spark, sf_dir), rel, 10))
 
 
-@query("""WITH v AS (SELECT vec_id, unnest(range(8)) AS k, embedding FROM embeddings), x AS (SELECT vec_id, k, embedding[k + 1]::DOUBLE AS v FROM v),
+@query("""WITH v AS (SELECT vec_id, unnest(range(len(embedding))) AS k, embedding FROM embeddings), x AS (SELECT vec_id, k, embedding[k + 1]::DOUBLE AS v FROM v),
 c AS (SELECT *, trunc(greatest(least(v / 0.02::DOUBLE + 3, 127), -128))::INT AS i8, (least(floor(abs(v) * 7 + 0.5), 7) + CASE WHEN v < 0 THEN 8 ELSE 0 END)::INT AS n4 FROM x)
 SELECT vec_id, k::INT AS k, i8, n4, round((i8 - 3) * 0.02::DOUBLE, 6) AS i8_back, round(CASE WHEN n4 >= 8 THEN (8 - n4) / 7.0::DOUBLE ELSE n4 / 7.0::DOUBLE END, 6) AS n4_back FROM c""")
 def quant_codec(spark, sf_dir):
-    """Codes of the first eight entries of each vector and what they decode to."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("k", "v"))
-    return _quantised(e)
+    """Codes of all entries of each vector and what they decode to."""
+    return _quantised(read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v")))
 
 
 def _quantised(e):
@@ -864,14 +824,6 @@ def _quantised(e):
     return r6(e.select("*", portable.int8_decode(F.col("i8"), 0.02, 3).alias("i8_back"), portable.nf4_decode(F.col("n4")).alias("n4_back")))
 
 
-@query("""WITH v AS (SELECT vec_id, unnest(range(len(embedding))) AS k, embedding FROM embeddings), x AS (SELECT vec_id, k, embedding[k + 1]::DOUBLE AS v FROM v),
-c AS (SELECT *, trunc(greatest(least(v / 0.02::DOUBLE + 3, 127), -128))::INT AS i8, (least(floor(abs(v) * 7 + 0.5), 7) + CASE WHEN v < 0 THEN 8 ELSE 0 END)::INT AS n4 FROM x)
-SELECT vec_id, k::INT AS k, i8, n4, round((i8 - 3) * 0.02::DOUBLE, 6) AS i8_back, round(CASE WHEN n4 >= 8 THEN (8 - n4) / 7.0::DOUBLE ELSE n4 / 7.0::DOUBLE END, 6) AS n4_back FROM c""")
-def quant_codec_whole(spark, sf_dir):
-    """Codes of all entries of each vector and what they decode to."""
-    return _quantised(read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v")))
-
-
 # -- grown forests: rows only, invariants are tested --------------------------------------
 
 def _learnable(spark, sf_dir):
@@ -894,14 +846,6 @@ def grow_regressor(spark, sf_dir):
     return ForestRegressor(["x0", "x1", "x2"], "target", n_trees=10, max_depth=8, n_bins=64, min_node=5).fit(_learnable(spark, sf_dir)).oob_predictions()
 
 
-@query()
-def grow_by_level(spark, sf_dir):
-    """A small forest grown level by level."""
-    rows = forest.feature_rows(_learnable(spark, sf_dir), ["x0", "x1", "x2"], "label")
-    params = forest.GrowParams(n_trees=3, max_depth=3, n_bins=32)
-    return forest.grow(rows, forest.make_bag(rows, params), params, 3, 2, by_level=True).select("tree_id", "node_id", "status", "feature", "split_value", "node_class", "n")
-
-
 @query()
 def unsupervised_anomaly(spark, sf_dir):
     """The chance of being synthetic, of rows some of which were made anomalous."""

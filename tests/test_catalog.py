@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from copse.plans import catalog
+from copse.plans import catalog, derived  # noqa: F401
 from tests.oracle import assert_same, connection
 
 
