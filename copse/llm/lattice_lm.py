@@ -2,8 +2,8 @@
 
 The pieces and their scores come from an existing vocabulary; nothing adds or drops a
 piece. Scores of a BPE file are negative ranks, no log probabilities, so they are normalised as such:
-probability falling as one over the rank. ``vocabulary_score`` is the marginal under these weights
-alone, with nothing learnt.
+probability falling as one over the rank. On request ``vocabulary_score`` is the marginal under these
+weights alone, with nothing learnt.
 
 ``score`` is that of the model adapted to the training documents. Weights are re-estimated from their
 distinct words by expectation over all segmentations (forward-backward), which keeps every
@@ -312,15 +312,15 @@ def _expected(batches: Iterator[pa.RecordBatch], model: bytes, log_p: np.ndarray
     yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(used, pa.int32()), pa.array(found[of, used], pa.float64())], ["class", "piece", "expected"])
 
 
-def _scored_words(batches: Iterator[pa.RecordBatch], model: bytes, log_p: np.ndarray, word_model: WordModel) -> Iterator[pa.RecordBatch]:
-    """Each word's count, its log probability in each class, and that under the vocabulary's weights."""
+def _scored_words(batches: Iterator[pa.RecordBatch], model: bytes, log_p: np.ndarray, word_model: WordModel, own: bool) -> Iterator[pa.RecordBatch]:
+    """Each word's count, its log probability in each class, and if asked for that under the vocabulary's weights."""
     vocabulary, k = Vocabulary(model), len(log_p)
-    lattice = Lattice(vocabulary, np.vstack([log_p, vocabulary.first_weights()]))
-    names = ["word", "c", *[f"l{z}" for z in range(k)], "own"]
+    lattice = Lattice(vocabulary, np.vstack([log_p, vocabulary.first_weights()]) if own else log_p)
+    names = ["word", "c", *[f"l{z}" for z in range(k)], *["own"] * own]
     for batch in batches:
         words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
         c = np.array(batch.column("c").to_pylist(), dtype=float).reshape(len(words), k)
-        pieces = np.zeros((len(words), k + 1))
+        pieces = np.zeros((len(words), k + own))
         for part in _batches(words):
             if part and len(words[part[0]]) <= LONG:
                 pieces[part] = Batch(lattice, [words[i] for i in part]).log_probability()
@@ -364,7 +364,9 @@ def _scored_docs(docs: pd.DataFrame, words: pd.DataFrame, model: WordModel, own_
     base, known, logs, own = np.zeros(size), np.zeros(size, bool), np.zeros((k, size)), np.zeros(size)
     if size:
         at, c = words["number"].to_numpy(), words["c"].to_numpy().astype(float)
-        base[at], known[at], own[at] = model.base(c), c > 0, words["own"].to_numpy()
+        base[at], known[at] = model.base(c), c > 0
+        if "own" in words:
+            own[at] = words["own"].to_numpy()
         for z in range(k):
             logs[z, at] = words[f"l{z}"].to_numpy()
     end_base, end = float(model.base(model.ends.sum())), model.log_end()
@@ -379,8 +381,8 @@ def _scored_docs(docs: pd.DataFrame, words: pd.DataFrame, model: WordModel, own_
     return out
 
 
-def lattice_scores(docs: DataFrame, model_path: str, held_out, class_col: str | None = None, rounds: int = 1, most_classes: int = 32) -> DataFrame:
-    """Each text's score: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, vocabulary_score``.
+def lattice_scores(docs: DataFrame, model_path: str, held_out, class_col: str | None = None, rounds: int = 1, most_classes: int = 32, vocabulary_score: bool = False) -> DataFrame:
+    """Each text's score: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, and ``vocabulary_score`` if asked for.
 
     ``held_out`` is a condition on the documents; the others are learnt from. Tokens are
     words (ASCII lower case, ASCII white space) and one end. ``score`` is the log10
@@ -427,16 +429,19 @@ def lattice_scores(docs: DataFrame, model_path: str, held_out, class_col: str |
         expected = np.zeros((k, vocabulary.size))
         for row in learnt.groupBy("class", "piece").agg(F.sum("expected").alias("x")).collect():  # a row a class and piece at most
             expected[row["class"], row["piece"]] = row["x"]
-        expected[:, vocabulary.end] = [found[2 * i + 1] for i in range(k)]
+        expected[:, vocabulary.end] = [found[2 * i + 1] * ends[i] / max(1, found[2 * i]) for i in range(k)]  # ends are as rare as among tokens
         log_p = np.stack([vocabulary.weights(x + 0.001 * expected.sum(axis=0)) for x in expected])
-    logs = [*[f"l{z}" for z in range(k)], "own"]
-    scored = words.mapInArrow(lambda it: _scored_words(it, model, log_p, word_model), "word binary, c long, " + ", ".join(f"{x} double" for x in logs))
+    own = vocabulary_score
+    logs = [*[f"l{z}" for z in range(k)], *["own"] * own]
+    scored = words.mapInArrow(lambda it: _scored_words(it, model, log_p, word_model, own), "word binary, c long, " + ", ".join(f"{x} double" for x in logs))
     filled = entries.select("chunk", "number", "word").join(scored, "word").select(F.col("chunk").alias("of"), "number", "c", *logs)
     own_end = float(vocabulary.first_weights()[vocabulary.end])
     names = ["n_tokens long", "n_known long", "base_score double", "score double", "vocabulary_score double"]
-    out = texts.groupBy("chunk").cogroup(filled.groupBy("of")).applyInPandas(
+    spread = 4 * max(1, texts.select("chunk").distinct().count())  # so that few chunks meet in a task
+    out = texts.repartition(spread, "chunk").groupBy("chunk").cogroup(filled.repartition(spread, "of").groupBy("of")).applyInPandas(
         lambda d, w: _scored_docs(d, w, word_model, own_end), "doc_id long, held_out boolean, " + ", ".join(names))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(word_model.n).cast("long").alias("train_tokens"), "base_score", "score", "vocabulary_score")
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(word_model.n).cast("long").alias("train_tokens"), "base_score", "score"]
+    return out.select(*columns, *["vocabulary_score"] * own)
 
 
 def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

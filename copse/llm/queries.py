@@ -22,6 +22,8 @@ QUERIES = {
 
 #: The others are tested against brute force, round trips or held-out likelihood.
 ORACLES: dict[str, str] = {
+    "op3_wrappers": wrappers.ORACLE,
     "op4_risk_rules": risk_rules.ORACLE,
+    "op6_minmax_dedup": minmax_dedup.ORACLE,
     "op9_curriculum": curriculum.ORACLE,
 }

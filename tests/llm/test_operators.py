@@ -151,7 +151,7 @@ def test_score_is_the_sum_over_segmentations_and_classes(spark):
             for p, way in every:
                 for i in way:
                     e[i] += p / sum(q for q, _ in every)
-        e[sp.eos_id()] = len(c[z])
+        e[sp.eos_id()] = len(c[z]) * ends[z] / sum(c[z].values())
         expected[z] = e
     both = collections.Counter()
     for e in expected.values():
@@ -169,7 +169,7 @@ def test_score_is_the_sum_over_segmentations_and_classes(spark):
         return (counts[z] + types[z] * pooled) / (n[z] + types[z])
 
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r for r in lattice_lm.lattice_scores(df, P.path("piece_bpe_32k.model"), F.col("doc_id").isin(*held), "lang").collect()}
+    got = {r["doc_id"]: r for r in lattice_lm.lattice_scores(df, P.path("piece_bpe_32k.model"), F.col("doc_id").isin(*held), "lang", vocabulary_score=True).collect()}
     for i, t, _ in docs:
         words = t.lower().split()
         of = {z: (ends[z] + 1) / (sum(ends.values()) + 2) * in_class(ends, z, 0.0) * math.prod(in_class({y: c[y][w] for y in classes}, z, chance(w, weights[z])) for w in words) for z in classes}
