@@ -8,16 +8,19 @@ compared: lines at the similarity differ in some 13 bits, give or take 3.
 Blocks of the SimHash cannot propose such pairs: with 13 bits changed, hardly a block of 16 is
 whole, and smaller ones tell no lines apart. Instead a line's keys are hashes of its runs of three
 words. A line of up to ALL words has all its runs (and runs of two, under eight words); lines at
-the similarity always share one of them. A longer line has those of its runs with long words whose
-hash is below a bound that gives KEYS of them; about half the runs of two lines at the similarity
-agree, so they miss each other with a chance of 1 %.
+the similarity always share one of them. A longer line has its first run and those of its
+runs with long words whose hash is below a bound that gives KEYS of them; about half the runs of two lines
+at the similarity agree, so they miss each other with a chance of some 5 %, nearer ones hardly ever. Where
+a run stands tells a pair, too: the words before it and those after it may differ in number by
+the allowed edits only.
 
 How crowded keys are searched: lines with equal words are one class first. Every class is compared
 with the hub of each of its keys, the class whose keys are the most crowded. Where that leaves
-several components, those that share a key of up to CROWD classes are compared with each other, and those of more
-crowded keys are proposed again by prefixes: of all runs, ordered from the rarest, two lines at the similarity
-share one among the first six tenths. Runs that many lines hold come last and count only for lines made
-of little else; of these, what a second hub does not connect is compared whole.
+several components, more hubs are drawn if the keys concerned hold more than DENSE rows on average (at
+most ROUNDS times). Then those that share a key of up to CROWD classes are compared with each other, and those
+of more crowded keys are proposed again by prefixes: of all runs, ordered from the rarest, two lines
+at the similarity share one among the first six tenths. Runs that many lines hold come last and count
+only for lines made of little else; of these, what hubs do not connect is compared whole.
 
 Of each connected group of lines one occurrence is kept, the first by doc_id and line number.
 Lines under LEAST_WORDS words go only if all words are equal.
@@ -25,6 +28,8 @@ Lines under LEAST_WORDS words go only if all words are equal.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +38,7 @@ from copse.llm.components import connected_components
 
 MOST_BITS, SIMILARITY, LEAST_WORDS = 21, 0.8, 5
 KEYS, ALL, CROWD, FEATURES = 6, 16, 2048, 0x7FFF
+DENSE, ROUNDS = 32, 3
 
 
 _ASCII = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -188,6 +194,14 @@ def _stars(members: DataFrame, most_bits: int, similarity: float) -> DataFrame:
     return pairs.select(F.least("lid", "b").alias("a"), F.greatest("lid", "b").alias("b")).distinct()
 
 
+def _drawn_stars(left: DataFrame, number: int, most_bits: int, similarity: float) -> DataFrame:
+    """Pairs of each class with a hub of each of its keys, drawn anew for each number, if they are in different components."""
+    hubs = left.groupBy("key").agg(F.max(F.struct(F.xxhash64("lid", F.lit(number)).alias("h"), "lid", "sim", "n", "i", "root")).alias("hub"))
+    hubs = hubs.select("key", F.col("hub.lid").alias("b"), *[F.col(f"hub.{c}").alias(f"{c}_b") for c in ("sim", "n", "i", "root")])
+    pairs = left.join(hubs, "key").filter((F.col("root") != F.col("root_b")) & (_differ("sim", "sim_b") <= most_bits) & _alike(similarity))
+    return pairs.select(F.least("lid", "b").alias("a"), F.greatest("lid", "b").alias("b")).distinct()
+
+
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     """Components with more links: only their roots are connected anew."""
     of = lambda end: found.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
@@ -218,6 +232,19 @@ def _prefixes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     return ranked.filter(F.col("at") <= 0.6 * F.col("of") + 3).select("key", "lid", "n", "i")
 
 
+def _thinned(found: DataFrame, left: DataFrame, verified: Callable[[DataFrame], DataFrame], most_bits: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """More rounds of hubs while the keys that are left in pieces hold many rows each: families of lines some of which are alike."""
+    for number in range(ROUNDS):
+        rows, squares = left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c"), F.sum(F.col("c") * F.col("c"))).first()
+        if not rows or squares <= DENSE * rows:
+            break
+        more = _joined(found, verified(_drawn_stars(left, number, most_bits, similarity)))
+        if more is found:
+            break
+        found, left = more, _left(left.drop("root"), more)
+    return found, left
+
+
 def line_components(keys: DataFrame, lines: DataFrame, docs: DataFrame, most_bits: int = MOST_BITS, similarity: float = SIMILARITY) -> DataFrame:
     """``node, root`` of the classes with a link, from distinct ``key, lid, n, i``."""
     members = _with_company(keys, similarity)
@@ -226,7 +253,7 @@ def line_components(keys: DataFrame, lines: DataFrame, docs: DataFrame, most_bit
     members = written(members.join(sims, "lid"), "line-members")
     verified = lambda pairs: written(_verified(pairs, texts, similarity), "line-links")
     found = written(connected_components(verified(_stars(members, most_bits, similarity))), "line-components")
-    left = _left(members, found)
+    found, left = _thinned(found, _left(members, found), verified, most_bits, similarity)
     if left.isEmpty():
         return found
     links = verified(_each_other(left.filter(F.col("crowd") <= CROWD), most_bits, similarity))
@@ -236,7 +263,8 @@ def line_components(keys: DataFrame, lines: DataFrame, docs: DataFrame, most_bit
         return found
     members = written(_with_company(_prefixes(wanted, texts), similarity).join(sims, "lid"), "line-members")
     found = _joined(found, verified(_stars(members, most_bits, similarity)))
-    return _joined(found, verified(_each_other(_left(members, found), most_bits, similarity)))
+    found, left = _thinned(found, _left(members, found), verified, most_bits, similarity)
+    return _joined(found, verified(_each_other(left, most_bits, similarity)))
 
 
 def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS, most_bits: int = MOST_BITS, similarity: float = SIMILARITY) -> DataFrame:
