@@ -616,6 +616,6 @@ def op3_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: For pages whose text stands in one article of headings and paragraphs, as in the tables here; the operator does not know that.
 ORACLE = r"""WITH inside AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS h FROM pages),
 parts AS (SELECT page_id, url, list_transform(regexp_split_to_array(replace(h, '<br>', ' '), '</?(?:p|h1)>'), lambda x: trim(regexp_replace(
-  replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS ps FROM inside),
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS ps FROM inside),
 joined AS (SELECT page_id, url, array_to_string(list_filter(ps, lambda x: x <> ''), chr(10)) AS text FROM parts)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM joined"""
