@@ -120,9 +120,9 @@ def test_explained_neighbours(s):
     """Shares of the features that speak for a neighbour sum to one for each pair."""
     new = s.rows.filter("row_id < 20")
     pairs, per_pair, summed = similar.explained_new(forest.route(new, s.nodes), s.leaves, forest.paths(new, s.nodes), 4, TREES, 3)
-    assert pairs.count() == 80 and summed.count() == 60
-    totals = per_pair.groupBy("i", "j").agg(F.sum("share").alias("t")).collect() if "share" in per_pair.columns else []
-    assert all(math.isclose(r["t"], 1) for r in totals)
+    assert 20 <= pairs.count() <= 80 and max(r["count"] for r in summed.groupBy("i").count().collect()) <= 3
+    totals = per_pair.groupBy("i", "j").agg(F.sum("share").alias("t")).collect()
+    assert len(totals) == pairs.count() and all(math.isclose(r["t"], 1) for r in totals)
 
 
 def test_median_change_by_hand(s):
