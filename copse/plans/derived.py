@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from copse.functions.portable import draw_sql
-from copse.operators import embed, forest, importance, metrics, outlier, prep, proximity, split, votes
+from copse.operators import embed, forest, importance, metrics, outlier, prep, proximity, similar, split, votes
 from copse.plans import stub
 from copse.plans.catalog import (
-    FINISH_SQL, FULL_SQL, NEW_SQL, PERM_SQL, SWEEP_SQL, TOXIC_SQL, _learnable, _norm_sql, _supplier_rows, _vote_sql, query, r6, read, toxic,
+    FINISH_SQL, FULL_SQL, NEW_SQL, ORACLES, PERM_SQL, PROX_IMP_SQL, SWEEP_SQL, TOXIC_SQL, _learnable, _norm_sql, _supplier_rows, _vote_sql, query, r6, read, toxic,
 )
 from copse.plans.storage import materialised, shared_dir
 from copse.plans.stub import BASE_SQL, STUB_SQL, TREES, Stub, customers
@@ -237,6 +237,116 @@ def stream_score(spark, sf_dir):
     return spark.read.parquet(f"{path}/scores").select("row_id", "prediction")
 
 
+# -- out-of-bag answers, loaded models, sparse rows -------------------------------------------------
+
+@query(_vote_sql("1", True, """, p AS (SELECT row_id, class FROM v QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY votes DESC, class) = 1)
+SELECT row_id, y::INT AS y, class::INT AS prediction FROM base LEFT JOIN p USING (row_id)"""))
+def oob_predictions(spark, sf_dir):
+    """Each row's class by the trees that have not drawn it; null where all have."""
+    s = Stub(spark, sf_dir)
+    out = votes.oob_predictions(votes.with_leaf(s.leaves, s.nodes), s.rows)
+    return out.select("row_id", F.col("y").cast("int").alias("y"), "prediction")
+
+
+@query(f"WITH {BASE_SQL} SELECT row_id, k::INT AS k, {draw_sql('12345', 'row_id', 'k')} % (SELECT n FROM n) AS donor FROM base, (SELECT unnest(range(4)) AS k)")
+def row_donors(spark, sf_dir):
+    return importance.row_donors(Stub(spark, sf_dir).rows, 4)
+
+
+def _loaded(spark, sf_dir):
+    """The stub's forest, saved in the shared folder and loaded again."""
+    from copse.plans.estimators import FittedClassifier
+    from copse.plans.model import Model
+
+    s = Stub(spark, sf_dir)
+    labels = spark.createDataFrame([(k, k) for k in range(stub.CLASSES)], "label int, code long")
+    path = f"{shared_dir(spark)}/copse-core/model-{uuid.uuid4().hex}"
+    Model(forest.GrowParams(n_trees=TREES), list(stub.FEATURES), "classify", {"nodes": s.nodes, "bag": s.bag, "rows": s.rows, "leaves": s.leaves, "labels": labels}).save(path)
+    return s, FittedClassifier.load(spark, path)
+
+
+@query(_vote_sql("1", False, """, p AS (SELECT row_id, class FROM v QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY votes DESC, class) = 1)
+SELECT row_id, class::INT AS label FROM p"""))
+def loaded_predict(spark, sf_dir):
+    s, model = _loaded(spark, sf_dir)
+    return model.predict(s.raw)
+
+
+@query(ORACLES["topk_similar"])
+def loaded_topk(spark, sf_dir):
+    s, model = _loaded(spark, sf_dir)
+    return r6(model.top_similar(s.rows.filter("row_id % 50 = 0"), 10))
+
+
+def _entries(spark, sf_dir):
+    """What is stored of the customers' second and third feature: all but zeros."""
+    c = customers(spark, sf_dir)
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).alias("value")) for x in ("x1", "x2")])).alias("e")
+    return c, c.select("row_id", each).select("row_id", "e.*").filter("value <> 0")
+
+
+@query(f"WITH {BASE_SQL} SELECT row_id, x1, x2 FROM base")
+def sparse_ingest(spark, sf_dir):
+    c, entries = _entries(spark, sf_dir)
+    return prep.from_sparse(entries, ["x1", "x2"], c)
+
+
+@query(f"""WITH {BASE_SQL}, e AS (SELECT row_id, 'x1' AS feature, x1 AS value FROM base WHERE x1 <> 0 UNION ALL SELECT row_id, 'x2', x2 FROM base WHERE x2 <> 0),
+cells AS (SELECT d, feature, {draw_sql("'sp'", "feature", "d")} % (SELECT n FROM n) AS row_id FROM (SELECT unnest(range((SELECT n FROM n))) AS d), (SELECT unnest(['x1', 'x2']) AS feature))
+SELECT d + (SELECT n FROM n) AS row_id, feature, value FROM cells JOIN e USING (row_id, feature)""")
+def sparse_synthetic(spark, sf_dir):
+    c, entries = _entries(spark, sf_dir)
+    return prep.synthetic_sparse(entries, c.count(), ["x1", "x2"], 1.0, "sp")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, count(DISTINCT {c}) AS n_unique, max(abs({c} - round({c}))) <= 1e-5 AND count(DISTINCT {c}) <= 60 AS categorical FROM part" for c in ("p_size", "p_retailprice", "p_partkey")))
+def detect_kinds_imputer(spark, sf_dir):
+    return prep.kinds(read(spark, sf_dir, "part").select("p_size", "p_retailprice", "p_partkey"), ["p_size", "p_retailprice", "p_partkey"], 60, for_imputer=True)
+
+
+@query(f"""WITH {PROX_IMP_SQL} SELECT row_id, (row_number() OVER (PARTITION BY row_id ORDER BY round(importance, 6) DESC, feature))::INT AS rank, feature::INT AS feature, round(importance, 6) AS value
+FROM imp WHERE row_id % 50 = 0 QUALIFY rank <= 2""")
+def topk_features(spark, sf_dir):
+    """The features that matter most for each of a query set's rows."""
+    s = Stub(spark, sf_dir)
+    return similar.top_features(r6(importance.proximity_importance(s.rows, s.nodes, s.leaves)), s.rows.filter("row_id % 50 = 0"), 2)
+
+
+@query("SELECT 'r_regionkey' AS dimension, r_regionkey::INT AS key, r_name AS description FROM region UNION ALL SELECT 'n_nationkey', n_nationkey::INT, n_name FROM nation")
+def stacked_lookup(spark, sf_dir):
+    """Two small tables written below each other in one file, and read as a lookup."""
+    from copse.sources.datasets import read_stacked_keys
+
+    region, nation = read(spark, sf_dir, "region").select("r_regionkey", "r_name"), read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    lines = [x for t in (region, nation) for x in [",".join(t.columns), *[f"{k},{name}" for k, name in sorted(t.collect())], ""]]  # the lookup's 30 rows
+    path = f"{shared_dir(spark)}/copse-core/stacked-{uuid.uuid4().hex}"
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    return read_stacked_keys(spark, path)
+
+
+@query(f"""WITH {PROX_IMP_SQL}, ov AS (SELECT feature, sum(importance) / (SELECT n FROM n) AS importance FROM imp GROUP BY 1),
+ov_votes AS (SELECT row_id, node_class AS class, count(*) AS v FROM leaves JOIN ends USING (tree_id, leaf_id) WHERE is_oob GROUP BY 1, 2),
+p AS (SELECT row_id, class FROM ov_votes QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY v DESC, class) = 1)
+SELECT 'importance' AS panel, feature::VARCHAR AS name, round(importance, 6) AS value FROM ov
+UNION ALL SELECT 'error', 'out of bag', round(avg((class <> y)::INT), 6) FROM p JOIN base USING (row_id)
+UNION ALL SELECT 'rows', y::VARCHAR, count(*)::DOUBLE FROM base GROUP BY y
+UNION ALL SELECT 'leaves', tree_id::VARCHAR, count(DISTINCT leaf_id)::DOUBLE FROM leaves GROUP BY tree_id""")
+def report_panels(spark, sf_dir):
+    """What a report on a forest shows, as one table of named numbers."""
+    s = Stub(spark, sf_dir)
+    n = s.rows.count()
+    parts = [
+        importance.overall(importance.proximity_importance(s.rows, s.nodes, s.leaves), n).select(F.lit("importance").alias("panel"), F.col("feature").cast("string").alias("name"), F.col("importance").alias("value")),
+        votes.oob_error(votes.with_leaf(s.leaves, s.nodes), s.rows).select(F.lit("error"), F.lit("out of bag"), "oob_error"),
+        s.rows.groupBy(F.col("y").cast("int").cast("string").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("rows"), "name", "value"),
+        s.leaves.groupBy(F.col("tree_id").cast("string").alias("name")).agg(F.count_distinct("leaf_id").cast("double").alias("value")).select(F.lit("leaves"), "name", "value"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return r6(out)
+
+
 # -- growth ----------------------------------------------------------------------------------------
 
 def grown_sql(trees: int, depth: int, bins: int, mtry: int) -> str:
