@@ -82,6 +82,23 @@ def with_bins(rows: DataFrame, p: int, edges: dict[str, list[tuple[float, float]
     return rows.withColumn("b", F.array(*each))
 
 
+def bins_of_array(x: np.ndarray, edges: dict[str, list[tuple[float, float]]], params: GrowParams) -> np.ndarray:
+    """What :func:`with_bins` gives, for rows by features."""
+    out = np.zeros(x.shape, np.int32)
+    for i in range(x.shape[1]):
+        bins = edges.get(str(i), [])
+        starts, value = np.array([lo for lo, _ in bins]), x[:, i]
+        if i in params.categorical:
+            at = np.searchsorted(starts, value)
+            out[:, i] = np.where((at < len(starts)) & (starts[np.minimum(at, len(starts) - 1)] == value), at, 0) if len(starts) else 0
+        elif len(bins) == 2:
+            out[:, i] = value > starts[1]
+        else:
+            out[:, i] = np.maximum(np.searchsorted(starts, value, side="right") - 1, 0)
+        out[np.isnan(value), i] = len(bins)
+    return out
+
+
 def make_bag(rows: DataFrame, params: GrowParams, weights: DataFrame | None = None) -> DataFrame:
     """The bag of all trees; ``weights`` (row_id, weight) makes it a weighted one."""
     if weights is None:
@@ -106,12 +123,12 @@ def grow(rows: DataFrame, bag: DataFrame, params: GrowParams, p: int, classes: i
     n = rows.count()
     params = params.resolved(n, p)
     edges = bins_of(rows, p, params)
-    binned = with_bins(rows.filter("y is not null"), p, edges, params)
+    rows = rows.filter("y is not null")
     if by_level is None:
         by_level = n * p > WHOLE_CELLS
     if by_level:
-        return _grow_by_level(materialised(binned, "binned"), bag_weight(bag, params.casewise), params, p, classes)
-    return _grow_whole(binned, bag, params, p, classes)
+        return _grow_by_level(materialised(with_bins(rows, p, edges, params), "binned"), bag_weight(bag, params.casewise), params, p, classes)
+    return _grow_whole(rows, edges, bag, params, p, classes)
 
 
 # -- level by level ----------------------------------------------------------------------
@@ -330,15 +347,15 @@ def _grow_tree(tree: int, b: np.ndarray, x: np.ndarray, y: np.ndarray, nin: np.n
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame()
 
 
-def _grow_whole(rows: DataFrame, bag: DataFrame, params: GrowParams, p: int, classes: int) -> DataFrame:
+def _grow_whole(rows: DataFrame, edges: dict[str, list[tuple[float, float]]], bag: DataFrame, params: GrowParams, p: int, classes: int) -> DataFrame:
     spark = rows.sparkSession
-    table = rows.select("row_id", "b", "x", "y").toPandas().sort_values("row_id")  # at most WHOLE_CELLS cells, checked by the caller
+    table = rows.select("row_id", "x", "y").toPandas().sort_values("row_id")  # at most WHOLE_CELLS cells, checked by the caller
     names = [f.strip().split(" ")[0] for f in NODES.split(", ")]
     if table.empty:
         return spark.createDataFrame([], NODES)
     ids = table["row_id"].to_numpy()
-    sent = spark.sparkContext.broadcast((
-        ids, np.stack(table["b"].to_numpy()).astype(np.int32), np.array([[math.nan if v is None else v for v in r] for r in table["x"]], float), table["y"].to_numpy()))
+    x = np.array([[math.nan if v is None else v for v in r] for r in table["x"]], float)
+    sent = spark.sparkContext.broadcast((ids, bins_of_array(x, edges, params), x, table["y"].to_numpy()))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         ids, b, x, y = sent.value

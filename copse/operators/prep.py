@@ -178,6 +178,11 @@ def bin_of(value: Column, bins: Sequence[tuple[float, float]], categorical: bool
     two = len(bins) == 2
     if two:  # the lower bin holds its end
         return F.when(value > F.lit(float(starts[1])), 1).when(value.isNotNull(), 0)
+    if len(starts) > 64:  # a search over arrays: so many branches would be too large to compile
+        reached = lambda x: F.size(F.filter(x, lambda s: s <= value))
+        whole = 16 * reached(F.lit([float(s) for s in starts[15::16]]))
+        count = whole + reached(F.slice(F.lit([float(s) for s in starts]), whole + 1, F.lit(16)))
+        return F.when(value.isNotNull(), F.greatest(count - 1, F.lit(0)))
     return F.when(value.isNotNull(), search(0, max(0, len(starts) - 1)))
 
 

@@ -49,6 +49,21 @@ def test_bins_ranked_in_ranges(spark, monkeypatch):
     assert same(one, prep.bin_edges(df, ["a", "b", "c"], 32))
 
 
+def test_bins_by_columns_and_by_arrays(spark):
+    rng = np.random.default_rng(6)
+    n = 3000
+    values = [[float(rng.normal()), float(rng.integers(0, 7) + 3), float(rng.integers(0, 2)), None if rng.random() < 0.2 else float(rng.integers(0, 90)), 5.0] for _ in range(n)]
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "row_id long, a double, c double, t double, m double, o double")
+    rows = forest.feature_rows(df.withColumn("y", F.lit(1.0)), ["a", "c", "t", "m", "o"], "y")
+    for n_bins in (16, 256):
+        params = forest.GrowParams(n_bins=n_bins, categorical=(1,))
+        edges = forest.bins_of(rows, 5, params)
+        edges["1"] = edges["1"][1:]  # a category that was not there
+        x = np.array([[math.nan if v is None else v for v in r] for r in values])
+        got = {r["row_id"]: r["b"] for r in forest.with_bins(rows, 5, edges, params).collect()}
+        assert np.array_equal(np.array([got[i] for i in range(n)]), forest.bins_of_array(x, edges, params))
+
+
 def test_draws_reach_beyond_32_bits(spark):
     from copse.functions.portable import draw, uniform
 
