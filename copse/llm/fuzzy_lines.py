@@ -16,8 +16,8 @@ the allowed edits only.
 
 How crowded keys are searched: lines with equal words are one class first. Every class is compared
 with the hub of each of its keys, the class whose keys are the most crowded. Where that leaves
-several components, more hubs are drawn if the keys concerned hold more than DENSE rows on average (at
-most ROUNDS times). Then those that share a key of up to CROWD classes are compared with each other, and those
+several components, more hubs are drawn for the keys concerned that hold more than DENSE rows (at most
+ROUNDS times). Then those that share a key of up to CROWD classes are compared with each other, and those
 of more crowded keys are proposed again by prefixes: of all runs, ordered from the rarest, two lines
 at the similarity share one among the first six tenths. Runs that many lines hold come last and count
 only for lines made of little else; of these, what hubs do not connect is compared whole.
@@ -38,7 +38,7 @@ from copse.llm.components import connected_components
 
 MOST_BITS, SIMILARITY, LEAST_WORDS = 21, 0.8, 5
 KEYS, ALL, CROWD, FEATURES = 6, 16, 2048, 0x7FFF
-DENSE, ROUNDS = 32, 3
+DENSE, ROUNDS = 8, 3
 
 
 _ASCII = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -233,12 +233,11 @@ def _prefixes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _thinned(found: DataFrame, left: DataFrame, verified: Callable[[DataFrame], DataFrame], most_bits: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """More rounds of hubs while the keys that are left in pieces hold many rows each: families of lines some of which are alike."""
+    """More rounds of hubs for keys left in pieces that hold more than DENSE rows: families of lines some of which are alike."""
     for number in range(ROUNDS):
-        rows, squares = left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c"), F.sum(F.col("c") * F.col("c"))).first()
-        if not rows or squares <= DENSE * rows:
-            break
-        more = _joined(found, verified(_drawn_stars(left, number, most_bits, similarity)))
+        dense = left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > DENSE).select("key")
+        pairs = written(_drawn_stars(left.join(dense, "key"), number, most_bits, similarity), "line-pairs")
+        more = found if pairs.isEmpty() else _joined(found, verified(pairs))
         if more is found:
             break
         found, left = more, _left(left.drop("root"), more)
