@@ -3,7 +3,9 @@
 Lines are normalised to lower-case words. Two lines are linked if the edit similarity of their
 words (1 less the edit distance over the longer length) reaches SIMILARITY. A 64-bit SimHash of
 a line's distinct words refuses a pair that differs in more than MOST_BITS bits before its words are
-compared: lines at the similarity differ in some 13 bits, give or take 3.
+compared: lines at the similarity differ in some 13 bits, give or take 3. Where all pairs of a key are
+compared, a pair must agree in 256 parities of its words, too, as far as the allowed edits can change
+them: an exact bound, so that lines around a passage that many share make no pairs, and no link is lost.
 
 Blocks of the SimHash cannot propose such pairs: with 13 bits changed, hardly a block of 16 is
 whole, and smaller ones tell no lines apart. Instead a line's keys are hashes of its runs of three
@@ -39,6 +41,7 @@ from copse.llm.components import connected_components
 MOST_BITS, SIMILARITY, LEAST_WORDS = 21, 0.8, 5
 KEYS, ALL, CROWD, FEATURES = 6, 16, 2048, 0x7FFF
 DENSE, ROUNDS = 8, 3
+PARITIES = ("p0", "p1", "p2", "p3")
 
 
 _ASCII = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -127,15 +130,24 @@ def _simhash(hashes: Column, lane: int) -> Column:
     return F.aggregate(hashes, start, lambda acc, h: F.struct(*[(acc[n] + F.shiftrightunsigned(h, j).bitwiseAND(ones)).alias(n) for j, n in enumerate(names)]), won)
 
 
+def _parities(hashes: Column) -> list[Column]:
+    """Four longs of 64 bits: for each of 256 parts of all words, whether the line's words in it are odd in number."""
+    one = F.lit(1).cast("long")
+    flipped = lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int")))
+    part = lambda j: F.filter(hashes, lambda h: h.bitwiseAND(192) == 64 * j)
+    return [F.aggregate(part(j), F.lit(0).cast("long"), flipped).alias(p) for j, p in enumerate(PARITIES)]
+
+
 def simhashes(rows: DataFrame) -> DataFrame:
-    """``lid, sim, line`` of rows ``lid, words``: SimHash of the distinct words, and the words as characters.
+    """``lid, sim, line, p0, p1, p2, p3`` of rows ``lid, words``: SimHash of the distinct words, the words as characters, and the parities of the words.
 
     A line of more than FEATURES distinct words is counted by its FEATURES least hashes.
     """
     hashed = rows.select("lid", F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))).alias("hashes"))  # made once
     features = F.array_distinct("hashes")
     features = F.when(F.size(features) <= FEATURES, features).otherwise(F.slice(F.sort_array(features), 1, FEATURES))
-    return hashed.select("lid", _as_characters(F.col("hashes")).alias("line"), F.explode(F.array(features)).alias("features")).select("lid", F.when(F.size("features") < 128, _simhash(F.col("features"), 8)).otherwise(_simhash(F.col("features"), 16)).alias("sim"), "line")
+    made = hashed.select("lid", _as_characters(F.col("hashes")).alias("line"), *_parities(F.col("hashes")), F.explode(F.array(features)).alias("features"))
+    return made.select("lid", F.when(F.size("features") < 128, _simhash(F.col("features"), 8)).otherwise(_simhash(F.col("features"), 16)).alias("sim"), "line", *PARITIES)
 
 
 def _differ(a: str, b: str) -> Column:
@@ -143,7 +155,7 @@ def _differ(a: str, b: str) -> Column:
 
 
 def _texts(wanted: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """``lid, sim, line`` of the wanted classes, from the text of one occurrence each."""
+    """The rows of :func:`simhashes` of the wanted classes, from the text of one occurrence each."""
     at = lines.join(maybe_broadcast(wanted), "lid").groupBy("lid").agg(*[F.first(c).alias(c) for c in ("k1", "k2", "pos")])  # of the same row
     places = written(at.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "lid")).alias("places")), "places")  # lines of one document
     keyed = docs.select(*_document(), F.split(text_of(), "\n").alias("lines"))
@@ -168,6 +180,16 @@ def _alike(similarity: float) -> Column:
     return before + after <= (1 - F.lit(similarity)) * F.greatest("n", "n_b") + F.lit(1e-9)
 
 
+def _agree(similarity: float) -> Column:
+    """Whether the parities of two lines' words (the second ``_b``) differ in no more parts than the allowed edits can change.
+
+    A replaced word changes two parts at most, one that goes or comes changes one, and as many go or come
+    as the numbers of words differ by, at least.
+    """
+    differ = sum((_differ(p, f"{p}_b") for p in PARITIES[1:]), _differ(PARITIES[0], f"{PARITIES[0]}_b"))
+    return differ <= 2 * F.floor((1 - F.lit(similarity)) * F.greatest("n", "n_b") + F.lit(1e-9)) - F.abs(F.col("n") - F.col("n_b"))
+
+
 def _with_company(keys: DataFrame, similarity: float) -> DataFrame:
     """``key, lid, n, i, crowd`` of the keys that several classes share; in keys of up to CROWD only classes with another of like length and place."""
     crowds = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"), "line-crowds")
@@ -179,9 +201,9 @@ def _with_company(keys: DataFrame, similarity: float) -> DataFrame:
 
 
 def _each_other(members: DataFrame, most_bits: int, similarity: float) -> DataFrame:
-    """Pairs of classes of several components with a key in common, near in bits and place."""
-    other = members.select("key", F.col("lid").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("sim", "n", "i", "root")])
-    near = (_differ("sim", "sim_b") <= most_bits) & _alike(similarity) & (F.col("root") != F.col("root_b"))
+    """Pairs of classes of several components with a key in common, near in bits and place, whose words' parities agree."""
+    other = members.select("key", F.col("lid").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("sim", "n", "i", "root", *PARITIES)])
+    near = (_differ("sim", "sim_b") <= most_bits) & _alike(similarity) & (F.col("root") != F.col("root_b")) & _agree(similarity)
     return members.join(other, (members["key"] == other["key"]) & (F.col("lid") < F.col("b")) & near).select(F.col("lid").alias("a"), "b").distinct()
 
 
@@ -233,14 +255,19 @@ def _prefixes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _thinned(found: DataFrame, left: DataFrame, verified: Callable[[DataFrame], DataFrame], most_bits: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """More rounds of hubs for keys left in pieces that hold more than DENSE rows: families of lines some of which are alike."""
+    """More rounds of hubs for keys left in pieces that hold more than DENSE rows: families of lines some of which are alike.
+
+    A round in which hardly a pair is a link is the last: what shares those keys is not alike.
+    """
     for number in range(ROUNDS):
         dense = left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > DENSE).select("key")
         pairs = written(_drawn_stars(left.join(dense, "key"), number, most_bits, similarity), "line-pairs")
-        more = found if pairs.isEmpty() else _joined(found, verified(pairs))
-        if more is found:
+        links = None if pairs.isEmpty() else verified(pairs)
+        if links is None or (more := _joined(found, links)) is found:
             break
         found, left = more, _left(left.drop("root"), more)
+        if 10 * links.count() < pairs.count():
+            break
     return found, left
 
 
@@ -248,11 +275,14 @@ def line_components(keys: DataFrame, lines: DataFrame, docs: DataFrame, most_bit
     """``node, root`` of the classes with a link, from distinct ``key, lid, n, i``."""
     members = _with_company(keys, similarity)
     texts = _texts(written(members.select("lid").distinct(), "wanted"), lines, docs)
-    sims = texts.select("lid", "sim")
+    sims = texts.select("lid", "sim", *PARITIES)
     members = written(members.join(sims, "lid"), "line-members")
     verified = lambda pairs: written(_verified(pairs, texts, similarity), "line-links")
     found = written(connected_components(verified(_stars(members, most_bits, similarity))), "line-components")
-    found, left = _thinned(found, _left(members, found), verified, most_bits, similarity)
+    left = _left(members, found)
+    wanted = written(left.select("lid").distinct(), "wanted")
+    texts = written(texts.join(maybe_broadcast(wanted), "lid"), "line-texts")  # no other is compared from here on
+    found, left = _thinned(found, left, verified, most_bits, similarity)
     if left.isEmpty():
         return found
     links = verified(_each_other(left.filter(F.col("crowd") <= CROWD), most_bits, similarity))

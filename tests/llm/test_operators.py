@@ -487,6 +487,41 @@ def test_crowded_runs(spark):
     assert lost(spark, docs) == gone
 
 
+def test_lines_around_a_passage_make_few_pairs(spark, monkeypatch):
+    """Lines that share much, though too little to be alike, are refused before their words are compared; those that are alike are not."""
+    rng = np.random.default_rng(12)
+    word = lambda: f"w{rng.integers(1 << 40):x}"
+    passage, docs = [f"passage{i}of{i * i}" for i in range(18)], []
+    for i in range(240):
+        own = [word() for _ in range(8)]
+        docs.append((len(docs), " ".join(own[:4] + passage + own[4:])))
+        if i % 6 == 0:
+            docs.append((len(docs), " ".join(own[:4] + passage + [word(), *own[5:]])))
+    compared, verified = [], fuzzy_lines._verified
+    monkeypatch.setattr(fuzzy_lines, "_verified", lambda pairs, *more: compared.append(pairs.count()) or verified(pairs, *more))
+    gone, pairs = line_truth(docs)
+    assert lost(spark, docs) == gone and len(gone) == len(pairs) == 40
+    assert sum(compared) <= 3000  # of 39,060
+
+
+def test_parities_refuse_no_line_at_the_similarity(spark):
+    rng = np.random.default_rng(13)
+    rows = []
+    for n in (5, 9, 16, 30, 80, 300, 1500):
+        for k in range(30):
+            a = [f"w{x}" for x in rng.integers(0, 3 * n, n)]  # words repeat
+            b = list(a)
+            for _ in range(n // 5 if k % 3 else 1):  # edits of any kind, as many as are allowed for the length of a
+                at, kind = int(rng.integers(len(b))), rng.integers(3)
+                b[at : at + (kind != 1)] = [] if kind == 0 else [f"x{rng.integers(1 << 40)}"]
+            if n - len(b) <= 0 or distance(a, b) <= len(a) // 5:
+                rows.append((len(rows), a, b))
+    df = spark.createDataFrame(rows, "lid long, a array<string>, b array<string>")
+    of = lambda side, end: fuzzy_lines.simhashes(df.select("lid", F.col(side).alias("words"))).select("lid", F.length("line").alias(f"n{end}"), *[F.col(p).alias(p + end) for p in fuzzy_lines.PARITIES])
+    got = of("a", "").join(of("b", "_b"), "lid").withColumn("agree", fuzzy_lines._agree(0.8)).collect()
+    assert len(got) == len(rows) > 180 and all(r["agree"] for r in got)
+
+
 def test_lines_at_the_similarity_are_linked(spark):
     rng = np.random.default_rng(5)
     docs, longest = [], (5, 8, 10, 14, 20, 30, 60, 100)
