@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from copse.llm._shared import WORD, maybe_broadcast, table, text_of, written
+from copse.llm._shared import WORD, table, text_of, written
 
 Schedule = Sequence[tuple[float, float]]
 
@@ -154,7 +154,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
         taken, keyed = (x.withColumn("__n", F.row_number().over(by_key)) for x in (plan, keyed))
         on = ["__key", "__n"]
     taken = taken.filter("copies > 0").drop("copies")
-    out = keyed.join(taken if len(on) > 1 else maybe_broadcast(written(taken, "taken")), on)
+    out = keyed.join(taken, on)  # no broadcast asked for: whole texts move at any size, as they must in a large table
     out = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("__positions").alias("__position"))
     return out.repartitionByRange("__position").sortWithinPartitions("__position").drop("__position")
 

@@ -159,7 +159,8 @@ def _texts(wanted: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     at = lines.join(maybe_broadcast(wanted), "lid").groupBy("lid").agg(*[F.first(c).alias(c) for c in ("k1", "k2", "pos")])  # of the same row
     places = written(at.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "lid")).alias("places")), "places")  # lines of one document
     keyed = docs.select(*_document(), F.split(text_of(), "\n").alias("lines"))
-    found = keyed.join(maybe_broadcast(places, "places"), ["k1", "k2"]).select("lines", F.explode("places").alias("p")).select("p.lid", F.get("lines", F.col("p.pos")).alias("line"))
+    found = keyed.join(places, ["k1", "k2"])  # no broadcast asked for: whole texts move at any size, as they must in a large table
+    found = found.select("lines", F.explode("places").alias("p")).select("p.lid", F.get("lines", F.col("p.pos")).alias("line"))
     return written(simhashes(found.select("lid", words_of(F.col("line")).alias("words"))).dropDuplicates(["lid"]), "line-texts")
 
 
@@ -331,7 +332,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, most_bits: int
     gone = gone.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("dropped").alias("__dropped"))
     keyed = docs.drop("n_lines", "n_dropped")
     columns = [c for c in keyed.columns]
-    joined = keyed.join(maybe_broadcast(gone, "__dropped"), (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("__k1")) & (F.xxhash64(text_of()) == F.col("__k2")), "left")
+    joined = keyed.join(gone, (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("__k1")) & (F.xxhash64(text_of()) == F.col("__k2")), "left")
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__dropped"), i)), "\n")
     text = F.when(F.col("__dropped").isNotNull(), kept).otherwise(F.col("text"))

@@ -504,6 +504,14 @@ def test_lines_around_a_passage_make_few_pairs(spark, monkeypatch):
     assert sum(compared) <= 3000  # of 39,060
 
 
+def test_whole_texts_are_joined_alike_at_any_size(spark, documents):
+    """No broadcast is forced where whole texts meet their lines or places, so shuffles of small tables tell those of large ones."""
+    docs = documents.select("doc_id", "text", "source")
+    for out in (fuzzy_lines.dedup_lines(docs), curriculum.mixed(docs)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" in plan and "strategy=broadcast" not in plan
+
+
 def test_parities_refuse_no_line_at_the_similarity(spark):
     rng = np.random.default_rng(13)
     rows = []
