@@ -6,9 +6,27 @@ over pairs (prototypes, outlier scores) is computed from leaf counts without any
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from copse.plans.storage import materialised
+
+
+def alike(leaves: DataFrame, by: Sequence[str] = ("tree_id", "leaf_id")) -> tuple[DataFrame, DataFrame]:
+    """``row_id, kind, size`` of each row, and the leaves of one row of each kind, with its ``size``.
+
+    Rows of a kind agree in the columns ``by`` in every tree, so they have the same proximity to any
+    other row. A kind is named by its lowest row, size is its number of rows. Questions about pairs of
+    rows are asked of pairs of kinds: few leaves hold few kinds, however many rows there are.
+    """
+    key = F.unhex(F.md5(F.sort_array(F.collect_list(F.struct(*by))).cast("string"))).alias("key")
+    keyed = materialised(leaves.groupBy("row_id").agg(key), "keys")
+    first = keyed.groupBy("key").agg(F.min("row_id").alias("kind"), F.count(F.lit(1)).alias("size"))
+    kinds = materialised(keyed.join(first, "key").select("row_id", "kind", "size"), "kinds")
+    return kinds, materialised(leaves.join(kinds.filter("row_id = kind").select("row_id", "size"), "row_id"), "kind-leaves")
+
 
 def raw_proximity(leaves: DataFrame, casewise: bool = False) -> DataFrame:
     """``i, j, r``: trees in which i is out of bag, j in the bag and both in one leaf; casewise j counts by its share of the leaf's draws."""

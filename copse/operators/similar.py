@@ -6,33 +6,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from copse.functions.portable import dot, unit
-from copse.operators.proximity import shared
+from copse.operators.proximity import alike, shared
 
 
 def _top(df: DataFrame, by: str, k: int, group: str = "i", tie: str = "j") -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(by), tie))).filter(F.col("rank") <= k)
 
 
+def _nearest(mine: DataFrame, leaves: DataFrame, k: int, n_trees: int | None = None, exclude_self: bool = True) -> DataFrame:
+    """``i, rank, j, p``: of each row of ``mine`` the k rows that share most of its leaves, over ``n_trees`` or over the number of its leaves.
+
+    Kinds of queries meet kinds of rows. The k nearest rows lie in the k nearest kinds, kinds at
+    one distance by their lowest rows, and there they are the lowest rows of their kind.
+    """
+    most = k + 1 if exclude_self else k
+    asked, a = alike(mine)
+    rows, b = alike(leaves)
+    pairs = shared(a, b, n_trees or 1)
+    if n_trees is None:
+        pairs = pairs.join(a.groupBy(F.col("row_id").alias("i")).agg(F.count(F.lit(1)).alias("trees")), "i").withColumn("p", F.col("n") / F.col("trees"))
+    near = _top(pairs, "p", most).select("i", F.col("j").alias("kind"), "p")
+    lowest = rows.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("row_id"))).filter(F.col("rank") <= most).select("kind", F.col("row_id").alias("j"))
+    near = _top(near.join(lowest, "kind"), "p", most).select(F.col("i").alias("kind"), "rank", "j", "p")
+    out = asked.select("kind", F.col("row_id").alias("i")).join(near, "kind")
+    if exclude_self:
+        out = _top(out.filter("i <> j"), "p", k)
+    return out.select("i", "rank", "j", "p")
+
+
 def top_similar(leaves: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = True) -> DataFrame:
     """``i, rank, j, p`` for training rows as queries (row_id): over the trees in which the query is out of bag; zeros are left out, ties go to the lower row."""
     mine = leaves.filter("is_oob").join(queries.select("row_id"), "row_id", "left_semi")
-    trees = mine.groupBy(F.col("row_id").alias("i")).agg(F.count(F.lit(1)).alias("trees"))
-    pairs = shared(mine, leaves, 1).join(trees, "i")
-    if exclude_self:
-        pairs = pairs.filter("i <> j")
-    return _top(pairs.withColumn("p", F.col("n") / F.col("trees")), "p", k).select("i", "rank", "j", "p")
+    return _nearest(mine, leaves, k, exclude_self=exclude_self)
 
 
 def top_similar_all_trees(leaves: DataFrame, queries: DataFrame, k: int, n_trees: int) -> DataFrame:
     """``i, rank, j, p, norm`` over all trees; norm is p over the query's best."""
-    mine = leaves.join(queries.select("row_id"), "row_id", "left_semi")
-    top = _top(shared(mine, leaves, n_trees).filter("i <> j"), "p", k)
+    top = _nearest(leaves.join(queries.select("row_id"), "row_id", "left_semi"), leaves, k, n_trees)
     return top.withColumn("norm", F.col("p") / F.max("p").over(Window.partitionBy("i"))).select("i", "rank", "j", "p", "norm")
 
 
 def top_similar_new(new_leaves: DataFrame, leaves: DataFrame, k: int, n_trees: int) -> DataFrame:
     """``i, rank, j, p`` for rows that are not in the training table."""
-    return _top(shared(new_leaves, leaves, n_trees), "p", k).select("i", "rank", "j", "p")
+    return _nearest(new_leaves, leaves, k, n_trees, exclude_self=False)
 
 
 def top_features(importance: DataFrame, queries: DataFrame, n: int) -> DataFrame:
