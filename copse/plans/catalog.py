@@ -448,7 +448,7 @@ SELECT i AS row_id, (b.y)::INT AS prediction FROM top JOIN base b ON b.row_id =
 def most_similar_label(spark, sf_dir):
     """The label of the most similar training row."""
     s = Stub(spark, sf_dir)
-    pairs = proximity.shared(forest.route(_supplier_rows(spark, sf_dir), s.nodes), s.leaves, TREES)
+    pairs = similar.top_similar_new(forest.route(_supplier_rows(spark, sf_dir), s.nodes), s.leaves, 1, TREES)
     return votes.most_similar_label(pairs, s.rows.select("row_id", F.col("y").cast("int").alias("label")))
 
 

@@ -197,7 +197,7 @@ class FittedUnsupervised(Fitted):
     def predict(self, df: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         """The cluster (or given ``row_id, label``) of the most similar training row."""
         known = self.cluster_labels() if labels is None else labels
-        return votes.most_similar_label(proximity.shared(self.apply(df), self.leaves, self.n_trees), known)
+        return votes.most_similar_label(similar.top_similar_new(self.apply(df), self.leaves, 1, self.n_trees), known)
 
 
 class _Estimator:
