@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from copse.functions.portable import draw
 from copse.operators import forest
 from copse.operators.prep import kinds, synthetic_union, with_row_id
-from copse.operators.proximity import shared
+from copse.operators.proximity import alike, shared
 from copse.operators.votes import argmax_class, class_votes, mean_prediction, with_leaf
 from copse.plans.storage import materialised
 
@@ -148,8 +148,37 @@ def donor_fills(df: DataFrame, pairs: DataFrame, features: Sequence[str], catego
     if top is not None:
         near = Window.partitionBy("i", "feature").orderBy(F.desc("p"), "j")
         donors = donors.withColumn("__r", F.row_number().over(near)).filter(F.col("__r") <= top)
+    return _filled(donors.groupBy("i", "feature", "value").agg(F.sum("p").alias("w")), categorical, how).withColumnRenamed("i", "row_id")
+
+
+def leaf_fills(df: DataFrame, leaves: DataFrame, n_trees: int, features: Sequence[str], categorical: Sequence[str] = (), top: int | None = None, how: str = "mean") -> DataFrame:
+    """What :func:`donor_fills` gives for all pairs of rows that share a leaf.
+
+    Rows of a kind (with the same leaves) miss a cell alike: their donors are the same, so each kind is
+    filled once. Of each kind of donors the ``top`` lowest rows are enough, or the numbers of their values.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features]))
+    rows, one = alike(leaves)
+    long = materialised(df.select("row_id", cells.alias("c")).select("row_id", "c.*").join(rows.select("row_id", "kind"), "row_id"), "cells")
+    empty, full = long.filter("value is null").select("row_id", "kind", "feature"), long.filter("value is not null")
+    asked = empty.select(F.col("kind").alias("i"), "feature").distinct()
+    pairs = shared(one.join(empty.select(F.col("kind").alias("row_id")), "row_id", "left_semi"), one, n_trees).join(asked, "i")
+    if top is None:
+        held = full.groupBy(F.col("kind").alias("j"), "feature", "value").agg(F.count(F.lit(1)).alias("m"))
+        by_value = pairs.join(held, ["j", "feature"]).groupBy("i", "feature", "value").agg(F.sum(F.col("p") * F.col("m")).alias("w"))
+    else:
+        first = Window.partitionBy("kind", "feature").orderBy("row_id")
+        lowest = full.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= top).select(F.col("kind").alias("j"), "feature", "row_id", "value")
+        near = Window.partitionBy("i", "feature").orderBy(F.desc("p"), "row_id")
+        donors = pairs.join(lowest, ["j", "feature"]).withColumn("__r", F.row_number().over(near)).filter(F.col("__r") <= top)
+        by_value = donors.groupBy("i", "feature", "value").agg(F.sum("p").alias("w"))
+    fills = _filled(by_value, categorical, how).withColumnRenamed("i", "kind")
+    return empty.join(fills, ["kind", "feature"]).select("row_id", "feature", "value")
+
+
+def _filled(by_value: DataFrame, categorical: Sequence[str], how: str) -> DataFrame:
+    """``i, feature, value`` from the weight ``w`` of each value of (i, feature)."""
     cat = F.col("feature").isin(list(categorical)) if categorical else F.lit(False)
-    by_value = donors.groupBy("i", "feature", "value").agg(F.sum("p").alias("w"))
     votes = by_value.filter(cat).groupBy("i", "feature").agg(F.max(F.struct(F.round("w", 9).alias("w"), (-F.col("value")).alias("v"))).alias("m")).select("i", "feature", (-F.col("m.v")).alias("value"))
     numbers = by_value.filter(~cat)
     if how == "mean":
@@ -160,7 +189,7 @@ def donor_fills(df: DataFrame, pairs: DataFrame, features: Sequence[str], catego
         out = run.filter(F.col("__c") >= F.col("__a") / 2 - 1e-12).groupBy("i", "feature").agg(F.min("value").alias("value"))
     else:
         raise ValueError(f"unknown aggregation {how!r}")
-    return out.unionByName(votes).withColumnRenamed("i", "row_id")
+    return out.unionByName(votes)
 
 
 def apply_fills(df: DataFrame, fills: DataFrame, features: Sequence[str], otherwise: DataFrame) -> DataFrame:
@@ -188,9 +217,7 @@ def proximity_impute(
         p = forest.GrowParams(**({"n_trees": n_trees, "seed": f"{seed}:{step}", "categorical": tuple(i for i, f in enumerate(features) if f in cats)} | dict(params or {})))
         nodes = forest.grow(rows, materialised(forest.make_bag(rows, p), "impute-bag"), p, len(features), 2)
         ends = materialised(forest.route(forest.feature_rows(filled, features, None), nodes), "impute-leaves")
-        asked = df.filter(" or ".join(f"`{c}` is null" for c in features)).select("row_id")
-        pairs = shared(ends.join(asked, "row_id", "left_semi"), ends, n_trees)
-        filled = materialised(apply_fills(df, donor_fills(df, pairs, features, cats, top, how), features, filled), "imputed")
+        filled = materialised(apply_fills(df, leaf_fills(df, ends, n_trees, features, cats, top, how), features, filled), "imputed")
     return filled
 
 
