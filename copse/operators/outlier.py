@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copse.functions.portable import draw
+from copse.operators.proximity import alike, shared
 from copse.plans.storage import materialised
 
 #: Below this sum a row is next to no other one.
@@ -15,31 +16,42 @@ NOTHING = 1e-10
 def squared_sums(rows: DataFrame, others: DataFrame, n_trees: int) -> DataFrame:
     """``row_id, total``: the sum over all rows of ``others`` of the squared share of trees whose leaf they share with the row.
 
-    By counts of each pair of rows in a leaf, or without pairs of rows: a squared count is a
-    count of pairs of trees, so the sum over partners is a sum over pairs of trees of the rows
-    that are in both leaves. The first grows with the leaves' sizes, the second with the square
-    of the trees; the cheaper one is taken, by counts.
+    Kinds of rows are asked, with their sizes. By counts of each pair of kinds in a leaf, or without
+    pairs of kinds: a squared count is a count of pairs of trees, so the sum over partners is a sum
+    over pairs of trees of the rows that are in both leaves. The first grows with the leaves' kinds,
+    the second with the square of the trees; the cheaper one is taken, by counts.
     """
-    sizes = lambda df, c: df.groupBy("tree_id", "leaf_id").agg(F.count(F.lit(1)).alias(c))
-    by_rows = sizes(rows, "a").join(sizes(others, "b"), ["tree_id", "leaf_id"]).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
-    by_trees = (rows.count() + others.count()) * (n_trees + 1) / 2
+    asked, a = alike(rows)
+    b = a if others is rows else alike(others)[1]
+    in_leaves = lambda df, c: df.groupBy("tree_id", "leaf_id").agg(F.count(F.lit(1)).alias(c))
+    by_rows = in_leaves(a, "a").join(in_leaves(b, "b"), ["tree_id", "leaf_id"]).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+    by_trees = (a.count() + b.count()) * (n_trees + 1) / 2
     if by_rows <= by_trees:
-        partners = others.select("tree_id", "leaf_id", F.col("row_id").alias("j"))
-        shared = rows.select("tree_id", "leaf_id", "row_id").join(partners, ["tree_id", "leaf_id"]).groupBy("row_id", "j").agg(F.count(F.lit(1)).alias("c"))
-        sums = shared.groupBy("row_id").agg((F.sum(F.col("c") * F.col("c")) / F.lit(float(n_trees) ** 2)).alias("total"))
-        return rows.select("row_id").distinct().join(sums, "row_id", "left").select("row_id", F.coalesce("total", F.lit(0.0)).alias("total"))
-    return _by_pairs_of_trees(rows, others, n_trees)
+        sums = _met(a, b, n_trees).select("row_id", "total")
+    else:
+        sums = _by_pairs_of_trees(a, b, n_trees)
+    sums = sums.withColumnRenamed("row_id", "kind")
+    return asked.select("row_id", "kind").join(sums, "kind", "left").select("row_id", F.coalesce("total", F.lit(0.0)).alias("total"))
+
+
+def _met(a: DataFrame, b: DataFrame, n_trees: int) -> DataFrame:
+    """``row_id, near, total`` of each kind of ``a``: rows of the kinds of ``b`` that share a leaf with it, and the sum of their squared shares of trees."""
+    sizes = b.select(F.col("row_id").alias("j"), "size").distinct()
+    total = F.sum(F.col("n") * F.col("n") * F.col("size")) / F.lit(float(n_trees) ** 2)
+    return shared(a, b, n_trees).join(sizes, "j").groupBy(F.col("i").alias("row_id")).agg(F.sum("size").alias("near"), total.alias("total"))
 
 
 def _by_pairs_of_trees(rows: DataFrame, others: DataFrame, n_trees: int) -> DataFrame:
+    """Rows of ``others`` count by their ``size``, if there is one."""
     def pairs(df: DataFrame, name: str) -> DataFrame:
-        packed = df.groupBy(F.col("row_id").alias(name)).agg(F.sort_array(F.collect_list(F.struct("tree_id", "leaf_id"))).alias("at"))  # one entry a tree
-        first = packed.select(name, "at", F.posexplode("at").alias("k", "s"))
-        return first.select(name, F.col("s.tree_id").alias("t1"), F.col("s.leaf_id").alias("l1"), F.explode(F.slice("at", F.col("k") + 1, F.size("at"))).alias("u")).select(
-            name, "t1", "l1", F.col("u.tree_id").alias("t2"), F.col("u.leaf_id").alias("l2"))
+        size = (F.max("size") if "size" in df.columns else F.lit(1)).alias("size")
+        packed = df.groupBy(F.col("row_id").alias(name)).agg(F.sort_array(F.collect_list(F.struct("tree_id", "leaf_id"))).alias("at"), size)  # one entry a tree
+        first = packed.select(name, "size", "at", F.posexplode("at").alias("k", "s"))
+        return first.select(name, "size", F.col("s.tree_id").alias("t1"), F.col("s.leaf_id").alias("l1"), F.explode(F.slice("at", F.col("k") + 1, F.size("at"))).alias("u")).select(
+            name, "size", "t1", "l1", F.col("u.tree_id").alias("t2"), F.col("u.leaf_id").alias("l2"))
 
     keys = ["t1", "l1", "t2", "l2"]
-    held = pairs(others, "j").groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
+    held = pairs(others, "j").groupBy(*keys).agg(F.sum("size").alias("c"))
     mine = pairs(rows, "row_id").join(held, keys, "left")
     twice = F.when(F.col("t1") == F.col("t2"), F.col("c")).otherwise(2 * F.col("c"))
     return mine.groupBy("row_id").agg((F.sum(F.coalesce(twice, F.lit(0))) / F.lit(float(n_trees) ** 2)).alias("total"))
@@ -133,9 +145,10 @@ def predicted_raw(new_leaves: DataFrame, leaves: DataFrame, n_trees: int, anchor
     if anchors is not None:
         others = others.join(anchors, "row_id", "left_semi")
     rows = new_leaves.select("tree_id", "leaf_id", "row_id")
-    partners = rows.select("tree_id", "leaf_id", F.col("row_id").alias("i")).join(others, ["tree_id", "leaf_id"]).groupBy("i").agg(F.count_distinct("row_id").alias("near"))
-    sums = squared_sums(rows, others, n_trees).join(partners.withColumnRenamed("i", "row_id"), "row_id", "left")
-    return sums.select("row_id", raw_score(F.col("total"), F.coalesce("near", F.lit(0)).cast("double"), F.lit(float(n))).alias("raw"))
+    asked, a = alike(rows)
+    sums = asked.select(F.col("row_id").alias("i"), F.col("kind").alias("row_id")).join(_met(a, alike(others)[1], n_trees), "row_id", "left")
+    total, near = F.coalesce("total", F.lit(0.0)), F.coalesce("near", F.lit(0)).cast("double")
+    return sums.select(F.col("i").alias("row_id"), raw_score(total, near, F.lit(float(n))).alias("raw"))
 
 
 def predicted_scores(raw: DataFrame, stats: DataFrame, group: str | None = None) -> DataFrame:
