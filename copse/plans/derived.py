@@ -105,8 +105,7 @@ seed AS (SELECT row_id, CASE WHEN list_contains(seeds, row_id) THEN row_id ELSE
 SELECT row_id, (dense_rank() OVER (ORDER BY s) - 1)::INT AS label FROM seed""")
 def cluster_labels(spark, sf_dir):
     leaves = Stub(spark, sf_dir).leaves
-    pairs = proximity.finished(proximity.raw_proximity(leaves), votes.oob_count(leaves))
-    return proximity.cluster_labels(pairs, leaves.select("row_id").distinct(), 0.5).select("row_id", F.col("label").cast("int").alias("label"))
+    return proximity.leaf_cluster_labels(leaves, 0.5).select("row_id", F.col("label").cast("int").alias("label"))
 
 
 @query(f"""WITH {TOXIC_SQL}, r AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS i, y, score FROM t), n AS (SELECT count(*) AS n FROM r),

@@ -53,8 +53,7 @@ class Fitted:
     # similarity -------------------------------------------------------------------------
 
     def proximity(self, casewise: bool | None = None) -> DataFrame:
-        raw = proximity.raw_proximity(self.leaves, self.model.params.casewise if casewise is None else casewise)
-        return proximity.finished(raw, votes.oob_count(self.leaves))
+        return proximity.finished_proximity(self.leaves, self.model.params.casewise if casewise is None else casewise)
 
     def gap_proximity(self) -> DataFrame:
         return proximity.gap_proximity(self.leaves)
@@ -83,7 +82,7 @@ class Fitted:
         return embed.factors(self.proximity(), self.rows.select("row_id"), rank or (32 if self.kind == "classify" else 100))
 
     def cluster_labels(self, above: float = 0.5) -> DataFrame:
-        return proximity.cluster_labels(self.proximity(), self.rows.select("row_id"), above)
+        return proximity.leaf_cluster_labels(self.leaves, above, self.model.params.casewise)
 
     # importance -------------------------------------------------------------------------
 

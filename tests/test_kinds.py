@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import pytest
 
-from copse.operators import proximity, similar
+from copse.operators import impute, outlier, proximity, similar, votes
 
 TREES, N = 3, 240
 
@@ -46,3 +49,83 @@ def test_searches_meet_kinds(spark, leaves, monkeypatch):
             found.setdefault(r["i"], []).append((r["rank"], r["j"], r["p"]))
         assert {i: sorted(v) for i, v in found.items()} == {i: [(n, j, p) for n, (j, p) in enumerate(want(i), 1)] for i in range(0, N, 7) if want(i)}
     assert met and all(a <= 12 * TREES and b <= 4 * TREES for a, b in met)  # 4 sets of leaves, 3 patterns of draws
+
+
+def greedy(near, rows):
+    """The opening row of each row, in order."""
+    seeds, at = [], {}
+    for j in rows:
+        at[j] = next((i for i in seeds if near(i, j)), None)
+        if at[j] is None:
+            seeds.append(j)
+            at[j] = j
+    return {j: seeds.index(at[j]) for j in rows}
+
+
+def finished_by_hand():
+    rows = {(t, i): (leaf, nin, oob) for t, i, leaf, nin, oob in crowded()}
+    f = [1 / max(sum(rows[t, i][2] for t in range(TREES)), 1) for i in range(N)]
+    r = Counter((i, j) for t in range(TREES) for i in range(N) if rows[t, i][2] for j in range(N) if rows[t, j][1] > 0 and rows[t, i][0] == rows[t, j][0])
+    return r, lambda i, j: (r[i, j] + r[j, i]) / 2 * (f[i] + f[j]) / 2
+
+
+def test_pairs_of_rows_come_from_pairs_of_kinds(leaves):
+    r, p = finished_by_hand()
+    kinds, pairs = proximity.kind_proximity(leaves)
+    assert kinds.select("kind").distinct().count() == 12 and pairs.count() <= 12 * 11
+    assert {(x["i"], x["j"]): x["r"] for x in proximity.raw_proximity(leaves).collect()} == dict(r)
+    got = {(x["i"], x["j"]): x["p"] for x in proximity.finished_proximity(leaves).collect()}
+    old = {(x["i"], x["j"]): x["p"] for x in proximity.finished(proximity.raw_proximity(leaves), votes.oob_count(leaves)).collect()}
+    assert got.keys() == old.keys() and all(math.isclose(got[k], old[k]) for k in got)
+    assert all(math.isclose(v, 1.0 if i == j else p(i, j)) for (i, j), v in got.items())
+
+
+def test_gap_proximity_by_kinds(leaves):
+    g = {(x["i"], x["j"]): x["g"] for x in proximity.gap_directed(leaves).collect()}
+    want = {k: (g.get(k, 0.0) + g.get(k[::-1], 0.0)) / 2 for i, j in g for k in ((i, j), (j, i))}
+    got = {(x["i"], x["j"]): x["p"] for x in proximity.gap_proximity(leaves).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_clusters_take_the_lowest_opening_row(spark, leaves):
+    near = {(0, 1), (1, 2), (2, 4), (3, 4)}  # 3 opens a cluster before it is known that 2 does, but 2 comes first
+    pairs = spark.createDataFrame([(i, j, 0.9) for i, j in near | {(j, i) for i, j in near}], "i long, j long, p double")
+    got = {r["row_id"]: r["label"] for r in proximity.cluster_labels(pairs, spark.range(5).withColumnRenamed("id", "row_id")).collect()}
+    assert got == greedy(lambda i, j: (i, j) in near, range(5)) == {0: 0, 1: 0, 2: 1, 3: 2, 4: 1}
+    _, p = finished_by_hand()
+    for above in (0.0, 0.3):
+        got = {r["row_id"]: r["label"] for r in proximity.leaf_cluster_labels(leaves, above).collect()}
+        assert got == greedy(lambda i, j: p(i, j) > above, range(N))
+
+
+def test_outlier_sums_by_kinds(leaves, monkeypatch):
+    met = []
+
+    def counted(a, b, n_trees):
+        met.append((a.count(), b.count()))
+        return proximity.shared(a, b, n_trees)
+
+    monkeypatch.setattr(outlier, "shared", counted)
+    new = leaves.filter("row_id % 9 = 0").select("tree_id", "leaf_id", "row_id")
+    leaf = {(t, i): at for t, i, at, _, _ in crowded()}
+    shares = {i: [c for c in (sum(leaf[t, i] == leaf[t, j] for t in range(TREES)) / TREES for j in range(N)) if c] for i in range(0, N, 9)}
+    got = {r["row_id"]: r["raw"] for r in outlier.predicted_raw(new, leaves, TREES).collect()}
+    assert got.keys() == shares.keys() and all(math.isclose(got[i], len(c) / sum(x * x for x in c)) for i, c in shares.items())
+    every = leaves.select("tree_id", "leaf_id", "row_id")
+    sums = {r["row_id"]: r["total"] for r in outlier.squared_sums(every, new, TREES).collect()}
+    assert all(math.isclose(sums[i], sum((sum(leaf[t, i] == leaf[t, j] for t in range(TREES)) / TREES) ** 2 for j in range(0, N, 9))) for i in range(N))
+    assert met and all(a <= 4 * TREES and b <= 4 * TREES for a, b in met)
+
+
+def test_cells_are_filled_by_kinds(spark, leaves, monkeypatch):
+    met = []
+    pairs = proximity.shared(leaves, leaves, TREES)
+    monkeypatch.setattr(impute, "shared", lambda a, b, n: met.append((a.count(), b.count())) or proximity.shared(a, b, n))
+    rows = [(i, None if i % 5 == 0 else float(i * 7 % 11), None if i % 4 == 1 else float(i % 3)) for i in range(N)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double")
+    for top, how in ((7, "mean"), (7, "median"), (None, "mean"), (None, "median")):
+        found = []
+        for fills in (impute.donor_fills(df, pairs, ["a", "b"], ["b"], top, how), impute.leaf_fills(df, leaves, TREES, ["a", "b"], ["b"], top, how)):
+            found.append({(r["row_id"], r["feature"]): r["value"] for r in fills.collect()})
+        assert found[0] and found[0].keys() == found[1].keys() and all(math.isclose(found[0][k], found[1][k]) for k in found[0])
+    assert len(met) == 4 and all(a <= 4 * TREES and b <= 4 * TREES for a, b in met)
