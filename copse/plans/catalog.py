@@ -865,6 +865,4 @@ def forest_impute(spark, sf_dir):
 def scaling_coordinates(spark, sf_dir):
     from copse.operators import embed
 
-    leaves = Stub(spark, sf_dir).leaves
-    pairs = proximity.finished(proximity.raw_proximity(leaves), votes.oob_count(leaves))
-    return embed.scaling(pairs, leaves.select("row_id").distinct(), 3)
+    return embed.leaf_scaling(Stub(spark, sf_dir).leaves, 3)

@@ -393,18 +393,11 @@ def grow_all_features(spark, sf_dir):
 
 # -- factors and clusters: tested against numpy ------------------------------------------------------
 
-def _pairs(spark, sf_dir):
-    leaves = Stub(spark, sf_dir).leaves
-    return materialised(proximity.finished(proximity.raw_proximity(leaves), votes.oob_count(leaves)), "pairs"), leaves.select("row_id").distinct()
-
-
 @query()
 def low_rank_factors(spark, sf_dir):
-    pairs, rows = _pairs(spark, sf_dir)
-    return embed.factors(pairs, rows, 4)
+    return embed.leaf_factors(Stub(spark, sf_dir).leaves, 4)
 
 
 @query()
 def scaling_from_factors(spark, sf_dir):
-    pairs, rows = _pairs(spark, sf_dir)
-    return embed.scaling_of_factors(embed.factors(pairs, rows, 4), 2)
+    return embed.scaling_of_factors(embed.leaf_factors(Stub(spark, sf_dir).leaves, 4), 2)

@@ -76,10 +76,10 @@ class Fitted:
         return similar.prototypes(self.leaves, k)
 
     def coordinates(self, k: int = 3) -> DataFrame:
-        return embed.scaling(self.proximity(), self.rows.select("row_id"), k)
+        return embed.leaf_scaling(self.leaves, k, self.model.params.casewise)
 
     def factors(self, rank: int | None = None) -> DataFrame:
-        return embed.factors(self.proximity(), self.rows.select("row_id"), rank or (32 if self.kind == "classify" else 100))
+        return embed.leaf_factors(self.leaves, rank or (32 if self.kind == "classify" else 100), self.model.params.casewise)
 
     def cluster_labels(self, above: float = 0.5) -> DataFrame:
         return proximity.leaf_cluster_labels(self.leaves, above, self.model.params.casewise)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from copse.operators import impute, outlier, proximity, similar, votes
+from copse.operators import embed, importance, impute, outlier, proximity, similar, votes
+from copse.plans.stub import Stub
 
 TREES, N = 3, 240
 
@@ -129,3 +131,46 @@ def test_cells_are_filled_by_kinds(spark, leaves, monkeypatch):
             found.append({(r["row_id"], r["feature"]): r["value"] for r in fills.collect()})
         assert found[0] and found[0].keys() == found[1].keys() and all(math.isclose(found[0][k], found[1][k]) for k in found[0])
     assert len(met) == 4 and all(a <= 4 * TREES and b <= 4 * TREES for a, b in met)
+
+
+def test_eigenvectors_by_kinds(leaves, monkeypatch):
+    _, p = finished_by_hand()
+    full = np.array([[1.0 if i == j else p(i, j) for j in range(N)] for i in range(N)])
+    asked = []
+    for name in ("_factors", "_scaling"):
+        def counted(pairs, rows, *a, f=getattr(embed, name), **how):
+            asked.append((pairs.count(), rows.count()))
+            return f(pairs, rows, *a, **how)
+        monkeypatch.setattr(embed, name, counted)
+    got = np.array([list(r)[1:] for r in embed.leaf_factors(leaves, 4).orderBy("row_id").collect()])
+    values, vectors = np.linalg.eigh(full)
+    at = np.argsort(-np.abs(values))[:4]
+    want = (vectors[:, at] * np.maximum(values[at], 0)) @ vectors[:, at].T
+    assert np.allclose(got @ got.T, want, atol=1e-3 * np.abs(want).max())  # rounds end at eigenvalues to 1e-9, vectors to its root
+    got = np.array([list(r)[1:] for r in embed.leaf_scaling(leaves, 3).orderBy("row_id").collect()])
+    d = (full.max() - full) ** 2
+    np.fill_diagonal(d, 0.0)
+    centre = np.eye(N) - 1 / N
+    values, vectors = np.linalg.eigh(-0.5 * centre @ d @ centre)
+    at = np.argsort(-values)[:3]
+    want = (vectors[:, at] * values[at]) @ vectors[:, at].T
+    assert np.allclose(got @ got.T, want, atol=1e-3 * np.abs(want).max())  # rounds end at eigenvalues to 1e-9, vectors to its root
+    assert asked and all(a <= 12 * 12 and b <= 12 for a, b in asked)
+
+
+def test_tables_of_rows_are_not_broadcast(spark, small, monkeypatch):
+    s = Stub(spark, small)
+    donors = importance.oob_donors(s.leaves)
+
+    def asked():
+        return [
+            importance.predicted_permutation(s.rows, s.nodes, 3, 2), importance.predicted_permutation(s.rows, s.nodes, 3, 2, "regress"),
+            importance.median_change(s.rows, s.nodes, 3, 2), importance.predicted_proximity_importance(s.rows, s.nodes, 3, 2)]
+
+    sent, read = asked(), lambda df: {(r["row_id"], r["feature"]): round(r["importance"], 9) for r in df.collect()}
+    assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in sent)
+    for df in (importance.permutation_importance(s.rows, s.nodes, s.leaves, donors), importance.proximity_importance(s.rows, s.nodes, s.leaves)):
+        assert "dx" in (plan := df._jdf.queryExecution().optimizedPlan().toString()) and plan.count("strategy=merge") >= 2
+    monkeypatch.setattr(importance, "SENT_NODES", 0)
+    for one, other in zip(sent, asked()):
+        assert read(one) == read(other)
