@@ -423,6 +423,10 @@ def _walk(tree: _Tree, x: np.ndarray, steps: list | None = None) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows by features; a missing value is NaN."""
+    width = column.value_lengths()
+    if len(column) and not column.null_count and len(width.unique()) == 1:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
     return np.array([[math.nan if v is None else v for v in r] for r in column.to_pylist()], float)
 
 
