@@ -174,3 +174,21 @@ def test_tables_of_rows_are_not_broadcast(spark, small, monkeypatch):
     monkeypatch.setattr(importance, "SENT_NODES", 0)
     for one, other in zip(sent, asked()):
         assert read(one) == read(other)
+
+
+def test_equal_sets_meet_once(spark, monkeypatch):
+    words = ["a", "b", "a,b", 'c"', "d", "e", "f"]
+    sets = {i: {w for k, w in enumerate(words) if (i % 20 * 37 + 5) >> k & 1} for i in range(100)}
+    df = spark.createDataFrame([(i, w) for i, s in sets.items() for w in s], "id long, item string")
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    met = []
+    common = similar._common_by_item
+    monkeypatch.setattr(similar, "_common_by_item", lambda s: met.append(s.select("row_id").distinct().count()) or common(s))
+    for bounds in ({}, {"PAIRS_BY_ITEM": 0, "BLOCK_SETS": 7}, {"WHOLE_SET": 1}):
+        for name, v in bounds.items():
+            monkeypatch.setattr(similar, name, v)
+        for least in (0.0, 0.4):
+            got = similar.jaccard_pairs(df, least).collect()
+            assert len(got) == len({(r["a"], r["b"]) for r in got})
+            assert {(r["a"], r["b"]): r["jaccard"] for r in got} == {k: v for k, v in want.items() if v >= least}
+    assert met == [20, 20, 100, 100]  # by items; in blocks; and sets that are too long to be compared as a whole
