@@ -25,19 +25,24 @@ def _nearest(mine: DataFrame, leaves: DataFrame, k: int, n_trees: int | None = N
     Kinds of queries meet kinds of rows. The k nearest rows lie in the k nearest kinds, kinds at
     one distance by their lowest rows, and there they are the lowest rows of their kind.
     """
-    most = k + 1 if exclude_self else k
     asked, a = alike(mine)
     rows, b = alike(leaves)
     pairs = shared(a, b, n_trees or 1)
     if n_trees is None:
         pairs = pairs.join(a.groupBy(F.col("row_id").alias("i")).agg(F.count(F.lit(1)).alias("trees")), "i").withColumn("p", F.col("n") / F.col("trees"))
-    near = _top(pairs, "p", most).select("i", F.col("j").alias("kind"), "p")
+    return _of_rows(asked, rows, pairs, "p", k, exclude_self)
+
+
+def _of_rows(asked: DataFrame, rows: DataFrame, pairs: DataFrame, by: str, k: int, exclude_self: bool) -> DataFrame:
+    """``i, rank, j`` and ``by`` of rows, from pairs of kinds (i, j, by)."""
+    most = k + 1 if exclude_self else k
+    near = _top(pairs, by, most).select("i", F.col("j").alias("kind"), by)
     lowest = rows.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("row_id"))).filter(F.col("rank") <= most).select("kind", F.col("row_id").alias("j"))
-    near = _top(near.join(lowest, "kind"), "p", most).select(F.col("i").alias("kind"), "rank", "j", "p")
+    near = _top(near.join(lowest, "kind"), by, most).select(F.col("i").alias("kind"), "rank", "j", by)
     out = asked.select("kind", F.col("row_id").alias("i")).join(near, "kind")
     if exclude_self:
-        out = _top(out.filter("i <> j"), "p", k)
-    return out.select("i", "rank", "j", "p")
+        out = _top(out.filter("i <> j"), by, k)
+    return out.select("i", "rank", "j", by)
 
 
 def top_similar(leaves: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = True) -> DataFrame:
@@ -110,8 +115,43 @@ def prototypes(leaves: DataFrame, k: int, group: str | None = None) -> DataFrame
 def top_cosine(queries: DataFrame, rows: DataFrame, k: int, vector: str = "x", block_rows: int = 50_000) -> DataFrame:
     """``i, rank, j, cosine`` of vectors, itself left out; a query set against all rows, in blocks of some ``block_rows``, 16 at least.
 
-    Each block of rows keeps its k best of each query before blocks meet.
+    Equal vectors are one kind. Each block of kinds keeps its k best of each query, and those within
+    1e-8 of the last, before blocks meet; cosines are rounded to 1e-9 only then. Vectors with missing
+    entries or of several lengths are compared row by row.
     """
+    v = F.col(vector)
+    shape = [t.agg(F.min(F.size(v)), F.max(F.size(v)), F.max((v.isNull() | F.exists(v, lambda e: e.isNull())).cast("int"))).first() for t in (queries, rows)]
+    if len({n for s in shape for n in s[:2]}) > 1 or any(s[2] for s in shape):
+        return _top_cosine_by_rows(queries, rows, k, vector, block_rows)
+    asked, a = alike(queries.select("row_id", v.alias("x")), ["x"])
+    held, b = alike(rows.select("row_id", v.alias("x")), ["x"])
+    blocks = max(16, -(-b.count() // block_rows))
+    q = a.select("row_id", unit(F.col("x")).alias("u")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    r = b.select("row_id", unit(F.col("x")).alias("u")).withColumn("block", F.pmod(F.hash("row_id"), F.lit(blocks)))
+    most = k + 1  # the query's own kind may be among them
+
+    def run(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"i": pd.Series(dtype="int64"), "j": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})]
+        if len(others):
+            ids, all_v = others["row_id"].to_numpy(), np.stack(others["u"])
+            for start in range(0, len(mine), 64):
+                few = mine.iloc[start:start + 64]
+                u = np.stack(few["u"])
+                score = u @ all_v.T
+                score[np.isnan(score)] = np.inf  # they come first, as in SQL
+                last = np.partition(score, -most, axis=1)[:, -most] if len(ids) > most else np.full(len(u), -np.inf)
+                p, at = np.nonzero(score >= last[:, None] - 1e-8)
+                cosine = np.zeros(len(p))
+                for d in range(u.shape[1]):  # in the order of a sum over the array
+                    cosine += u[p, d] * all_v[at, d]
+                found.append(pd.DataFrame({"i": few["row_id"].to_numpy()[p], "j": ids[at], "cosine": cosine}))
+        return pd.concat(found, ignore_index=True)
+
+    local = q.groupBy("block").cogroup(r.groupBy("block")).applyInPandas(run, "i long, j long, cosine double")
+    return _of_rows(asked, held, local.withColumn("cosine", F.round("cosine", 9)), "cosine", k, True)
+
+
+def _top_cosine_by_rows(queries: DataFrame, rows: DataFrame, k: int, vector: str, block_rows: int) -> DataFrame:
     blocks = max(16, -(-rows.count() // block_rows))
     q = queries.select(F.col("row_id").alias("i"), unit(F.col(vector)).alias("u")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     r = rows.select(F.col("row_id").alias("j"), unit(F.col(vector)).alias("v")).withColumn("block", F.pmod(F.hash("j"), F.lit(blocks)))

@@ -192,3 +192,20 @@ def test_equal_sets_meet_once(spark, monkeypatch):
             assert len(got) == len({(r["a"], r["b"]) for r in got})
             assert {(r["a"], r["b"]): r["jaccard"] for r in got} == {k: v for k, v in want.items() if v >= least}
     assert met == [20, 20, 100, 100]  # by items; in blocks; and sets that are too long to be compared as a whole
+
+
+def test_equal_vectors_meet_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    few = rng.normal(size=(30, 5)).astype(np.float32).tolist() + [[0.0] * 5]
+    rows = spark.createDataFrame([(i, few[i % 31]) for i in range(200)], "row_id long, x array<float>")
+    met = []
+    of_rows = similar._of_rows
+    monkeypatch.setattr(similar, "_of_rows", lambda a, b, pairs, *how: met.append(pairs.count()) or of_rows(a, b, pairs, *how))
+    asked = rows.filter("row_id % 9 = 0")
+    for k in (3, 12):
+        one = sorted(map(tuple, similar.top_cosine(asked, rows, k).collect()))
+        assert one == sorted(map(tuple, similar._top_cosine_by_rows(asked, rows, k, "x", 50_000).collect()))
+        assert len(one) == 23 * k
+    assert met and all(n <= 23 * 31 for n in met)
+    holes = rows.union(spark.createDataFrame([(500, [1.0, None, 2.0, 0.0, 1.0])], "row_id long, x array<float>"))
+    assert similar.top_cosine(asked, holes, 3).count() == 69 and len(met) == 2
